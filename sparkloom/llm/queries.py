@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import packing, sentencepieces, token_files
+from sparkloom.llm import packing, quality_rules, sentencepieces, token_files
 from sparkloom.llm.common import shared_path
 from sparkloom.sources.tables import table
 
@@ -37,3 +37,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     decoded = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
