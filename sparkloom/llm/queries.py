@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import packing, quality_rules, sentencepieces, token_files
-from sparkloom.llm.common import shared_path
+from sparkloom.llm import packing, quality_classifier, quality_rules, sentencepieces, token_files
+from sparkloom.llm.common import remainder, shared_path
 from sparkloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -43,3 +43,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 0
+    network = quality_classifier.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = quality_classifier.score(docs, network)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
