@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import packing, quality_classifier, quality_rules, sentencepieces, token_files
+from sparkloom.llm import embedding_dedup, language_id, packing, quality_classifier, quality_rules, sentencepieces, token_files
 from sparkloom.llm.common import remainder, shared_path
 from sparkloom.sources.tables import table
 
@@ -52,3 +52,16 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = quality_classifier.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
     scored = quality_classifier.score(docs, network)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 4) == 2
+    model = language_id.train(docs.filter(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
