@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm import recurring
 from sparkloom.llm.common import written
 from sparkloom.llm.components import components
 from sparkloom.llm.tokens import slices
@@ -54,8 +55,10 @@ class WordHash:
         return np.fromiter(map(known.__getitem__, words), _U, len(words))
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    h = (h ^ (h >> _U(31))) * _U(_MIX[k % 8])
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes dealt anew, by the k-th of eight mixers; one to one."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> _U(31))) * _U(_MIX[k % 8])
     return h ^ (h >> _U(29))
 
 
@@ -76,7 +79,7 @@ def shingle_sets(texts: list[str | None], n: int, hashes: WordHash) -> list[np.n
                 continue
             h = np.full(len(w) - width + 1, width, _U)
             for k in range(width):
-                h = _mixed(h + w[k : len(w) - width + 1 + k], k)
+                h = mixed(h + w[k : len(w) - width + 1 + k], k)
             out.append(np.unique(h.view(np.int64)))
     return out
 
@@ -121,7 +124,7 @@ def keys(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
-def shared_counts(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def shared_counts(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
     """(d1, found): how many shingles of the sets' prefixes (the smallest hashes) other documents' prefixes hold too, by the first
     half of the digest. Forty bits of a hash and its bucket are compared: a false match keeps a set, and loses nothing."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -133,46 +136,15 @@ def shared_counts(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             for a, b in slices(texts, 8_000_000):
                 sets = [s for c, d in slices(texts[a:b], 1_000_000) for s in shingle_sets(texts[a + c : a + d], n, hashes)]
                 sets = [s for s in sets if len(s)]
-                if not sets:
-                    continue
-                names = np.array([digest(s)[0] for s in sets])
-                fronts = [s[: len(s) - least_overlap(len(s), percent) + -(-len(s) // 4)] for s in sets]
-                doc, h = np.repeat(np.arange(len(sets)), [len(f) for f in fronts]), np.concatenate(fronts).view(_U)
-                with np.errstate(over="ignore"):
-                    h = _mixed(h, 5)
-                bucket = ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                doc, h, bucket = doc[order], h[order], bucket[order]
-                short = (h & _U((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = []
-                for k in range(buckets):
-                    x, y = bounds[k], bounds[k + 1]
-                    if x < y:
-                        who, count = np.unique(doc[x:y], return_counts=True)
-                        rows.append((k, names[who].astype("<i8").tobytes(), count.astype("<u4").tobytes(), short[x:y].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "names", "counts", "hashes"])
+                fronts = [s[: len(s) - least_overlap(len(s), percent) + -(-len(s) // 4)].view(_U) for s in sets]
+                yield recurring.packed(np.array([digest(s)[0] for s in sets]), [mixed(f, 5) for f in fronts], buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(bucket, []).append(row)
-        for rows in parts.values():
-            names = np.concatenate([np.frombuffer(x, "<i8") for x, _, _ in rows])
-            counts = np.concatenate([np.frombuffer(x, "<u4") for _, x, _ in rows])
-            raw = np.frombuffer(b"".join(x for _, _, x in rows), np.uint8).reshape(-1, 5)
-            h = np.zeros((len(raw), 8), np.uint8)
-            h[:, :5] = raw
-            h = h.view("<u8").ravel()
-            order = np.argsort(h)
-            same = h[order][1:] == h[order][:-1]
-            several = np.zeros(len(h), bool)
-            several[order[1:][same]] = several[order[:-1][same]] = True
-            found = np.add.reduceat(several.astype(np.int64), np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64))
+        for names, counts, _, several in recurring.shared(batches):
+            found = np.add.reduceat(several.astype(np.int64), np.cumsum(counts) - counts)
             yield pa.RecordBatch.from_arrays([pa.array(names[found > 0]), pa.array(found[found > 0])], names=["d1", "found"])
 
-    packed = docs.select(docs[text_col].alias("text")).mapInArrow(emit, "bucket int, names binary, counts binary, hashes binary")
+    packed = docs.select(docs[text_col].alias("text")).mapInArrow(emit, recurring.BLOCK)
     return packed.repartition(buckets, "bucket").mapInArrow(count, "d1 long, found long").groupBy("d1").agg(F.sum("found").alias("found"))
 
 
@@ -180,7 +152,7 @@ def candidate_sets(docs: DataFrame, known: DataFrame, n: int, percent: int, id_c
     """(rid, n, d1, d2, shingles) of one document of each class whose set may have links with unlike sets."""
     classes = known.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     least = F.ceil(F.ceil(percent * F.col("n") / 100) / 4)
-    found = shared_counts(docs, n, percent, id_col, text_col)
+    found = shared_counts(docs, n, percent, text_col)
     some = classes.join(found, "d1").filter(F.col("found") >= least * F.col("copies")).select("doc_id", "d1", "d2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +187,20 @@ def _linked(common: Column, na: Column, nb: Column, percent: int) -> Column:
     return 100 * common >= percent * (na + nb - common)
 
 
-def groups_by_minimum(sets: DataFrame, postings: DataFrame, percent: int, rounds: int = 2, chunk: int = 256) -> DataFrame:
-    """(a, b) links between classes that share a minimum hash and a chunk: each with the leader that it is linked to."""
+def groups_by_minimum(sets: DataFrame, postings: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """(a, b) links between classes that share a minimum hash: each with the leader that it is linked to."""
     minima = postings.groupBy("rid").agg(*[F.min_by("h", F.xxhash64(F.lit(r), F.col("h"))).alias(f"m{r}") for r in range(rounds)])
     routes = minima.select("rid", F.explode(F.array(*[F.struct(F.lit(r).alias("round"), F.col(f"m{r}").alias("token")) for r in range(rounds)])).alias("r")).select("rid", "r.round", "r.token")
+    return leader_links(sets, routes, percent)
+
+
+def leader_links(sets: DataFrame, routes: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
+    """(a, b) of rids that are similar enough, where sets that share a route (round, token) meet in chunks of about `chunk`.
+
+    In a chunk, in the order of size, each set is compared with the leaders so far and linked to the first that is similar enough,
+    or becomes a leader. Chunks are dealt by a hash that differs from round to round, so no route's sets meet in one task,
+    and chunks of one round are connected by the next.
+    """
     sizes = routes.groupBy("round", "token").count().filter("count > 1")
     dealt = routes.join(sizes, ["round", "token"]).select("rid", "round", "token", F.pmod(F.xxhash64("rid", "round"), F.ceil(F.col("count") / chunk)).alias("part"))
     routed = dealt.join(sets.select("rid", "n", "shingles"), "rid").repartition("round", "token", "part").sortWithinPartitions("round", "token", "part", "n", "rid")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import embedding_dedup, jaccard_join, language_id, packing, quality_classifier, quality_rules, sentencepieces, token_files
+from sparkloom.llm import embedding_dedup, jaccard_join, language_id, packing, quality_classifier, quality_rules, sentencepieces, substring_dedup, token_files
 from sparkloom.llm.common import remainder, shared_path
 from sparkloom.sources.tables import table
 
@@ -70,3 +70,8 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated(table(spark, sf_dir, "documents"))
