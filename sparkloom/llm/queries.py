@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import embedding_dedup, jaccard_join, language_id, packing, quality_classifier, quality_rules, sentencepieces, substring_dedup, token_files
+from sparkloom.llm import embedding_dedup, jaccard_join, katz, language_id, packing, quality_classifier, quality_rules, sentencepieces, substring_dedup, token_files
 from sparkloom.llm.common import remainder, shared_path
 from sparkloom.sources.tables import table
 
@@ -75,3 +75,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 10) == 0
+    scored = katz.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
