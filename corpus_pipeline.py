@@ -1,4 +1,57 @@
-"""Training-data pipeline over `documents` (stages are added as their operators land)."""
+"""A corpus pipeline: quality rules, quality classifier, near-duplicates, repeated passages, packing."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from sparkloom.llm import jaccard_join, packing, quality_classifier, quality_rules, substring_dedup
+from sparkloom.llm.common import remainder, written
+from sparkloom.sources.tables import table
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.3 go. The network learns from labelled rows of the raw table, which has what the rules rejected."""
+    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
+    network = quality_classifier.train(table(spark, sf_dir, "documents"), labels)
+    return quality_classifier.score(docs, network, score_col="_quality").filter("_quality >= 0.3").drop("_quality")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has too are cut out."""
+    return substring_dedup.without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their ids and their places in sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("quality classifier", classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", passages),
+    ("best-fit packing", packed),
+]
+
+#: A trained network and an EM fit aren't SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Each stage's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -60,21 +60,21 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     a, b = F.col(left).cast("long"), F.col(right).cast("long")
     found = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(a.isNotNull() & b.isNotNull() & (a != b))
     now = written(found.mapInArrow(_forest, "a long, b long").distinct(), "edges")
-    while True:
-        if now.isEmpty():
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "large-star")
+        large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(smallest, "a")
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(smallest.select("a", F.col("m").alias("b"))).distinct()
-        after = written(small, "small-star")
-        changed = now.exceptAll(after).isEmpty() and after.exceptAll(now).isEmpty()
+        moved = large.join(smallest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = written(moved.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         discard(large)
         discard(now)
         now = after
-        if changed:
-            roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(roots)
+    roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(roots)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one smaller, and that is nobody's larger end: then the smaller ends are the components."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()

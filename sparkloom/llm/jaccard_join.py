@@ -315,3 +315,16 @@ def join(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str = "doc_i
     lone = F.col("n") == 0
     out = known.join(per_class, ["d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one document of each component, that with the smallest id; columns stay as they are.
+
+    Documents without shingles stay, and so do rows without id. Of repeated rows (same id and text) one stays.
+    """
+    found = written(join(docs, n=n, percent=percent, id_col=id_col, text_col=text_col), "joined")
+    ids = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col))
+    kept = docs.join(ids.distinct(), id_col, "left_semi").unionByName(docs.filter(docs[id_col].isNull())).select(*docs.columns)
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates([id_col, text_col])

@@ -170,5 +170,6 @@ def judge(docs: DataFrame, *, keep_from: float = 0.5, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, *, keep_from: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents that `judge` keeps, with their own columns and no others."""
     votes = {f"vote_{n}": v for n, v in rules().items()}
-    voted = written(measured(docs, text_col).filter(~base_failed()).select("row", *[v.alias(n) for n, v in votes.items()]), "votes")
-    return voted.filter(_fitted(voted).posterior() >= keep_from).select("row.*")
+    # the counts are written before the filter: pushed below them, it would repeat their expressions
+    voted = written(measured(docs, text_col).select("row", base_failed().alias("base_failed"), *[v.alias(n) for n, v in votes.items()]), "votes")
+    return voted.filter(~F.col("base_failed") & (_fitted(voted).posterior() >= keep_from)).select("row.*")
