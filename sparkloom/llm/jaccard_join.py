@@ -140,12 +140,20 @@ def shared_counts(docs: DataFrame, n: int, percent: int, text_col: str) -> DataF
                 yield recurring.packed(np.array([digest(s)[0] for s in sets]), [mixed(f, 5) for f in fronts], buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, counts, _, several in recurring.shared(batches):
-            found = np.add.reduceat(several.astype(np.int64), np.cumsum(counts) - counts)
-            yield pa.RecordBatch.from_arrays([pa.array(names[found > 0]), pa.array(found[found > 0])], names=["d1", "found"])
+        def found():
+            for names, counts, _, several in recurring.shared(batches):
+                n = np.add.reduceat(several.astype(np.int64), np.cumsum(counts) - counts)
+                yield names[n > 0], n[n > 0]
+
+        yield from recurring.sums(found(), buckets)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, found in recurring.added(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found)], names=["d1", "found"])
 
     packed = docs.select(docs[text_col].alias("text")).mapInArrow(emit, recurring.BLOCK)
-    return packed.repartition(buckets, "bucket").mapInArrow(count, "d1 long, found long").groupBy("d1").agg(F.sum("found").alias("found"))
+    counted = packed.repartition(buckets, "bucket").mapInArrow(count, recurring.SUMS)
+    return counted.repartition(buckets, "bucket").mapInArrow(add, "d1 long, found long")
 
 
 def candidate_sets(docs: DataFrame, known: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -253,32 +261,33 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
 
     groups = written(_labelled(index, components(near)), "grouped-index")
     several = groups.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("h")
-    lists = groups.join(several, "h")
-    heads = lists.select("h", "g").distinct()
-    pairs = heads.join(heads.select("h", F.col("g").alias("b")), "h").filter("g < b").select(F.col("g").alias("a"), "b").distinct()
+    lists = written(groups.join(several, "h"), "lists")
+    # an entry of a group in a list: its sizes, and the most that any member has behind its place
+    heads = lists.groupBy("h", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("behind"))
+    other = heads.select("h", *[F.col(c).alias(f"{c}_b") for c in ("g", "low", "high", "behind")])
+    size = (100 * F.col("high") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low"))
+    reach = (F.least("behind", "behind_b") + 1) * (100 + percent) >= percent * (F.col("low") + F.col("low_b"))
+    pairs = heads.alias("x").join(other.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("g") < F.col("g_b")) & size & reach)
+    pairs = pairs.select(F.col("g").alias("a"), F.col("g_b").alias("b")).distinct()
     first = written(_overlaps(pairs, sets), "leaders")
-    linked = first.filter(_linked(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-
-    links = written(near.unionByName(linked), "links")
-    lists = written(_labelled(lists.select("rid", "n", "h", "place", F.col("g").alias("leader")), components(links)), "lists")
-    several = lists.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("h")
-    lists = lists.join(several, "h")
-    other = lists.select("h", *[F.col(c).alias(f"{c}_b") for c in ("rid", "n", "place", "g", "leader")])
-    both = F.col("n") + F.col("n_b")
-    needed = F.ceil(percent * both / (100 + percent))
-    left = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
-    near_size = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
-    open_ = lists.join(other, "h").filter((F.col("g") < F.col("g_b")) & near_size)
-    # the first common shingle of the two prefixes decides: behind it lie all others
-    open_ = open_.groupBy("rid", "rid_b", "leader", "leader_b", "n", "n_b").agg(F.max(left).alias("behind")).filter(F.col("behind") + 1 >= needed)
-    open_ = written(open_, "open")
+    joined = _linked(F.col("common"), F.col("na"), F.col("nb"), percent)
+    links = near.unionByName(first.filter(joined).select("a", "b"))
+
+    # groups whose leaders are linked are one; what is left of the other groups is compared by members
+    apart = first.filter(~joined).select(F.col("a").alias("g"), F.col("b").alias("g_b"), "common")
+    member = lists.select("h", "g", "rid", "n", (F.col("n") - F.col("place")).alias("behind"))
+    left = member.join(apart, "g")
+    right = member.select("h", *[F.col(c).alias(f"{c}_b") for c in ("g", "rid", "n", "behind")])
+    fits = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & ((F.least("behind", "behind_b") + 1) * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))
+    followers = (F.col("rid") != F.col("g")) | (F.col("rid_b") != F.col("g_b"))
+    # the first common shingle of two prefixes decides: behind it lie all others
+    open_ = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.g_b") == F.col("y.g_b")) & fits & followers)
+    open_ = written(open_.select("rid", "rid_b", F.col("g").alias("leader"), F.col("x.g_b").alias("leader_b"), "n", "n_b", "common").distinct(), "open")
     # answers of followers, from their leaders' answers and their distance to them
     spokes = open_.select(F.col("rid").alias("b"), F.col("leader").alias("a")).unionByName(open_.select(F.col("rid_b").alias("b"), F.col("leader_b").alias("a"))).filter("a <> b").distinct()
     apart = written(_overlaps(spokes, sets).select(F.col("b").alias("rid"), (F.col("nb") - F.col("common")).alias("own"), (F.col("na") - F.col("common")).alias("lost")), "spokes")
-    known = first.select(F.col("a").alias("leader"), F.col("b").alias("leader_b"), "common")
-    known = known.unionByName(known.select(F.col("leader_b").alias("leader"), F.col("leader").alias("leader_b"), "common"))
     zero = F.lit(0)
-    bounded = open_.join(known, ["leader", "leader_b"], "left").join(apart, "rid", "left").join(apart.select(*[F.col(c).alias(f"{c}_b") for c in apart.columns]), "rid_b", "left")
+    bounded = open_.join(apart, "rid", "left").join(apart.select(*[F.col(c).alias(f"{c}_b") for c in apart.columns]), "rid_b", "left")
     own, lost = (F.coalesce(c, zero) + F.coalesce(f"{c}_b", zero) for c in ("own", "lost"))
     bounded = written(bounded.withColumn("most", F.col("common") + own).withColumn("least", F.col("common") - lost).select("rid", "rid_b", "n", "n_b", "most", "least"), "bounded")
     derived = bounded.filter(_linked(F.col("least"), F.col("n"), F.col("n_b"), percent)).select(F.col("rid").alias("a"), F.col("rid_b").alias("b"))

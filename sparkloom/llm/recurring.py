@@ -67,3 +67,31 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         found = np.zeros(len(items), bool)
         found[order] = np.repeat(several, np.diff([*first, len(items)]))
         yield names, counts, items, found
+
+
+def sums(named: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Numbers by name, packed for the partition that adds up a name's numbers: a row for each such partition, not for each name."""
+    for names, numbers in named:
+        to = (names.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        bounds = np.searchsorted(to[order], np.arange(buckets + 1))
+        rows = [(int(k), names[order[bounds[k] : bounds[k + 1]]].tobytes(), numbers[order[bounds[k] : bounds[k + 1]]].astype("<i8").tobytes()) for k in np.flatnonzero(np.diff(bounds))]
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "names", "numbers"])
+
+
+SUMS = "bucket int, names binary, numbers binary"
+
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From the rows of `sums` for whole buckets: distinct names and the sums of their numbers."""
+    parts: dict[int, list] = {}
+    for batch in batches:
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts.setdefault(bucket, []).append(row)
+    for bucket in list(parts):
+        rows = parts.pop(bucket)
+        names, at = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x, _ in rows]), return_inverse=True)
+        total = np.zeros(len(names), np.int64)
+        np.add.at(total, at, np.concatenate([np.frombuffer(x, "<i8") for _, x in rows]))
+        yield names, total
