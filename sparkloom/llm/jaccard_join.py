@@ -274,15 +274,15 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     links = near.unionByName(first.filter(joined).select("a", "b"))
 
     # groups whose leaders are linked are one; what is left of the other groups is compared by members
-    apart = first.filter(~joined).select(F.col("a").alias("g"), F.col("b").alias("g_b"), "common")
+    apart = first.filter(~joined).select(F.col("a").alias("g"), F.col("b").alias("to"), "common")
     member = lists.select("h", "g", "rid", "n", (F.col("n") - F.col("place")).alias("behind"))
     left = member.join(apart, "g")
     right = member.select("h", *[F.col(c).alias(f"{c}_b") for c in ("g", "rid", "n", "behind")])
     fits = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & ((F.least("behind", "behind_b") + 1) * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))
     followers = (F.col("rid") != F.col("g")) | (F.col("rid_b") != F.col("g_b"))
     # the first common shingle of two prefixes decides: behind it lie all others
-    open_ = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.g_b") == F.col("y.g_b")) & fits & followers)
-    open_ = written(open_.select("rid", "rid_b", F.col("g").alias("leader"), F.col("x.g_b").alias("leader_b"), "n", "n_b", "common").distinct(), "open")
+    open_ = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("to") == F.col("g_b")) & fits & followers)
+    open_ = written(open_.select("rid", "rid_b", F.col("g").alias("leader"), F.col("to").alias("leader_b"), "n", "n_b", "common").distinct(), "open")
     # answers of followers, from their leaders' answers and their distance to them
     spokes = open_.select(F.col("rid").alias("b"), F.col("leader").alias("a")).unionByName(open_.select(F.col("rid_b").alias("b"), F.col("leader_b").alias("a"))).filter("a <> b").distinct()
     apart = written(_overlaps(spokes, sets).select(F.col("b").alias("rid"), (F.col("nb") - F.col("common")).alias("own"), (F.col("na") - F.col("common")).alias("lost")), "spokes")

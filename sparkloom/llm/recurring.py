@@ -83,15 +83,27 @@ def sums(named: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterat
 SUMS = "bucket int, names binary, numbers binary"
 
 
-def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """From the rows of `sums` for whole buckets: distinct names and the sums of their numbers."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     parts: dict[int, list] = {}
     for batch in batches:
         for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             parts.setdefault(bucket, []).append(row)
     for bucket in list(parts):
         rows = parts.pop(bucket)
-        names, at = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x, _ in rows]), return_inverse=True)
+        yield np.concatenate([np.frombuffer(x, "<i8") for x, _ in rows]), np.concatenate([np.frombuffer(x, "<i8") for _, x in rows])
+
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From the rows of `sums` for whole buckets: distinct names and the sums of their numbers."""
+    for names, numbers in _gathered(batches):
+        names, at = np.unique(names, return_inverse=True)
         total = np.zeros(len(names), np.int64)
-        np.add.at(total, at, np.concatenate([np.frombuffer(x, "<i8") for _, x in rows]))
+        np.add.at(total, at, numbers)
         yield names, total
+
+
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From the rows of `sums` for whole buckets: names and numbers, ordered by name."""
+    for names, numbers in _gathered(batches):
+        order = np.argsort(names, kind="stable")
+        yield names[order], numbers[order]
