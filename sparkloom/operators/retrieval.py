@@ -118,7 +118,7 @@ def rank_features(source: Column, updated: Column, channels: Column, as_of: Colu
     """Bonus for known file types, freshness within a year, and several channels."""
     low = F.lower(F.coalesce(source, F.lit("")))
     kind = F.when(low == "", 0.0).when(low.rlike(r"\.(md|pdf|docx|txt)$"), 1.0).otherwise(0.6)
-    age = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(updated)) / 86_400e6)
+    age = F.greatest(F.lit(0.0), (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(updated.cast("timestamp"))) / 86_400e6)
     fresh = F.coalesce(F.greatest(F.lit(0.0), 1 - F.least(age / 365, F.lit(1.0))), F.lit(0.0))
     several = F.least(F.lit(1.0), F.size(F.array_distinct(channels)) / 2)
     return weights[0] * kind + weights[1] * fresh + weights[2] * several

@@ -177,3 +177,24 @@ def graph_fuzzy(spark, sf_dir):
     names = nation.select(F.substr("n_name", F.lit(2)).alias("name")).distinct()
     entities = nation.select(F.col("n_name").alias("entity")).unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("entity"))).distinct()
     return G.fuzzy_matches(names, entities)
+
+
+@query(
+    "source_pages",
+    r"""WITH a AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g') AS h FROM pages), b AS (SELECT page_id, url, regexp_replace(h, '(?s)<[^>]*>', ' ', 'g') AS h FROM a),
+    c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS t FROM b)
+    SELECT page_id, md5(t) AS digest, length(t) AS n, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM c""",
+)
+def source_pages(spark, sf_dir):
+    from sparkloom.sources.files import html_text
+
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", html_text("html").alias("t"))
+    return rows.select("page_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
+
+
+@query("source_tiers", "SELECT event_id, ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 14 DAY AS cold FROM events")
+def source_tiers(spark, sf_dir):
+    from sparkloom.sources.files import tiers
+
+    hot, cold = tiers(table(spark, sf_dir, "events"), "ts", "2024-01-20 00:00:00")
+    return hot.select("event_id", F.lit(False).alias("cold")).unionByName(cold.select("event_id", F.lit(True).alias("cold")))
