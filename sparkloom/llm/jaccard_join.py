@@ -37,9 +37,9 @@ _MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB866
 
 
 class WordHash:
-    """64-bit hashes of words, those of the last million words remembered."""
+    """64-bit hashes of words, those of up to `remembered` words remembered."""
 
-    def __init__(self, remembered: int = 1_000_000):
+    def __init__(self, remembered: int = 400_000):
         import xxhash
 
         self.hash = xxhash.xxh3_64_intdigest
