@@ -133,7 +133,7 @@ def shared_counts(docs: DataFrame, n: int, percent: int, text_col: str) -> DataF
         hashes = WordHash()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 8_000_000):
+            for a, b in slices(texts, 4_000_000):
                 sets = [s for c, d in slices(texts[a:b], 1_000_000) for s in shingle_sets(texts[a + c : a + d], n, hashes)]
                 sets = [s for s in sets if len(s)]
                 fronts = [s[: len(s) - least_overlap(len(s), percent) + -(-len(s) // 4)].view(_U) for s in sets]

@@ -77,7 +77,7 @@ class Network:
         g |= {"dense": both.T @ d_hidden, "dense_bias": d_hidden.sum(0)}
         d_both = d_hidden @ self.p["dense"].T
         doc = np.repeat(np.arange(len(docs)), sizes)
-        first_max = pool == both[doc, FILTERS:]
+        first_max = pool == np.maximum.reduceat(pool, starts)[doc]
         ties = np.add.reduceat(first_max.astype(np.float32), starts)
         d_pool = d_both[doc, :FILTERS] / sizes[doc, None] + np.where(first_max, d_both[doc, FILTERS:] / ties[doc], 0)
         d_pool = (d_pool * (pool > 0)).astype(np.float32)
