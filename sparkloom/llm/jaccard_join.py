@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import recurring
 from sparkloom.llm.common import written
 from sparkloom.llm.components import components
-from sparkloom.llm.tokens import slices
+from sparkloom.llm.tokens import column_slices, give_back, slices
 
 _U = np.uint64
 _MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
@@ -39,7 +39,7 @@ _MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB866
 class WordHash:
     """64-bit hashes of words, those of up to `remembered` words remembered."""
 
-    def __init__(self, remembered: int = 400_000):
+    def __init__(self, remembered: int = 150_000):
         import xxhash
 
         self.hash = xxhash.xxh3_64_intdigest
@@ -115,11 +115,11 @@ def keys(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                sets = shingle_sets(texts[a:b], n, hashes)
+            for a, b, texts in column_slices(batch.column(1), 1_000_000):
+                sets = shingle_sets(texts, n, hashes)
                 d1, d2 = zip(*map(digest, sets), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "n", "d1", "d2"])
+        give_back()
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
@@ -132,12 +132,12 @@ def shared_counts(docs: DataFrame, n: int, percent: int, text_col: str) -> DataF
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 4_000_000):
-                sets = [s for c, d in slices(texts[a:b], 1_000_000) for s in shingle_sets(texts[a + c : a + d], n, hashes)]
+            for _, _, texts in column_slices(batch.column(0), 4_000_000):
+                sets = [s for c, d in slices(texts, 500_000) for s in shingle_sets(texts[c:d], n, hashes)]
                 sets = [s for s in sets if len(s)]
                 fronts = [s[: len(s) - least_overlap(len(s), percent) + -(-len(s) // 4)].view(_U) for s in sets]
                 yield recurring.packed(np.array([digest(s)[0] for s in sets]), [mixed(f, 5) for f in fronts], buckets)
+        give_back()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
@@ -146,6 +146,7 @@ def shared_counts(docs: DataFrame, n: int, percent: int, text_col: str) -> DataF
                 yield names[n > 0], n[n > 0]
 
         yield from recurring.sums(found(), buckets)
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, found in recurring.added(batches):
@@ -166,9 +167,9 @@ def candidate_sets(docs: DataFrame, known: DataFrame, n: int, percent: int, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            ids, texts, d1, d2 = (c.to_pylist() for c in batch.columns)
-            for a, b in slices(texts):
-                sets = shingle_sets(texts[a:b], n, hashes)
+            d1, d2 = (batch.column(c).to_pylist() for c in ("d1", "d2"))
+            for a, _, texts in column_slices(batch.column("text"), 1_000_000):
+                sets = shingle_sets(texts, n, hashes)
                 fine = [i for i, s in enumerate(sets) if digest(s) == (d1[a + i], d2[a + i])]  # else another row of the same id
                 yield pa.RecordBatch.from_arrays([pa.array([d1[a + i] for i in fine], pa.int64()), pa.array([d2[a + i] for i in fine], pa.int64()), pa.array([len(sets[i]) for i in fine], pa.int64()), pa.array([sets[i] for i in fine], pa.list_(pa.int64()))], names=["d1", "d2", "n", "shingles"])
 

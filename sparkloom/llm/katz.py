@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import written
 from sparkloom.llm.jaccard_join import WordHash, mixed
-from sparkloom.llm.tokens import slices
+from sparkloom.llm.tokens import column_slices, give_back
 
 CUT = 5
 BEGIN, END = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -90,18 +90,19 @@ def coded(docs: DataFrame, train: Column, id_col: str, text_col: str, characters
         held: tuple[list, list, list] = ([], [], [])
         size = 0
         for batch in batches:
-            ids, flags, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in slices(texts, 1_000_000):
-                h, lengths = words(texts[a:b])
+            ids, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b, texts in column_slices(batch.column(2), 1_000_000):
+                h, lengths = words(texts)
                 held[0].extend(zip(ids[a:b], flags[a:b], strict=True))
                 held[1].append(h)
                 held[2].extend(lengths)
-                size += sum(len(t or "") for t in texts[a:b])
+                size += sum(len(t or "") for t in texts)
                 if size >= characters:
                     yield block(*held)
                     held, size = ([], [], []), 0
         if held[0]:
             yield block(*held)
+        give_back()
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, BLOCKS)

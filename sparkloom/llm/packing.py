@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.tokens import WORD_END, encoder, slices
+from sparkloom.llm.tokens import WORD_END, column_slices, encoder, give_back
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -70,10 +70,10 @@ def pack(docs: DataFrame, tokenizer: str, *, cut: str = WORD_END, end_id: int =
         place = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 33).place
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in column_slices(batch.column(1)):
                 rows: list[tuple] = []
-                for doc, found in zip(ids[a:b], encode(texts[a:b]), strict=True):
+                for doc, found in zip(ids[a:b], encode(texts), strict=True):
                     data = found + end
                     for k, start in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[start : start + 4 * capacity]
@@ -81,5 +81,6 @@ def pack(docs: DataFrame, tokenizer: str, *, cut: str = WORD_END, end_id: int =
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
                 names = ("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+        give_back()
 
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, SCHEMA)

@@ -6,11 +6,16 @@ its pieces' ids one after the other. The library encodes each new piece; a text
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 from array import array
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: White space as the library's patterns have it (Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -55,11 +60,28 @@ def encoder(tokenizer: str, cut: str) -> TextEncoder:
 
 def slices(texts: list[str | None], characters: int = 2_000_000):
     """(from, to) over `texts`, so that each slice but a single long text stays below so many characters."""
+    yield from _cut([len(t or "") for t in texts], characters)
+
+
+def column_slices(column: pa.Array, size: int = 2_000_000):
+    """(from, to, texts) over a column, of about `size` bytes each: only one slice is in Python's strings at a time."""
+    for a, b in _cut(pc.fill_null(pc.binary_length(column), 0).to_pylist(), size):
+        yield a, b, column.slice(a, b - a).to_pylist()
+
+
+def _cut(lengths: list[int], most: int):
     start = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t or "") > characters:
+    for i, n in enumerate(lengths):
+        if held and held + n > most:
             yield start, i
             start, held = i, 0
-        held += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
+        held += n
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system: the next task in it may be of another kind, and its neighbours need the memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
