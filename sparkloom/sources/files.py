@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Suffixes of files that can be loaded.
 TEXT_SUFFIXES = ["txt", "md", "markdown", "csv", "json", "html", "htm", "log", "rst"]
 
 
+@F.pandas_udf(T.StringType())
+def _gb18030(content: pd.Series) -> pd.Series:
+    """Spark's own decoder has no GB18030; bytes that aren't any become replacement marks."""
+    return content.map(lambda b: bytes(b).decode("gb18030", errors="replace"), na_action="ignore")
+
+
 def documents(spark: SparkSession, path: str, suffixes: list[str] = TEXT_SUFFIXES) -> DataFrame:
     """(path, suffix, size, mtime, sha256, text) of the text files below a folder; UTF-8, else GB18030. Other suffixes are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    text = F.when(F.expr("is_valid_utf8(content)"), F.decode("content", "UTF-8")).otherwise(F.decode("content", "GB18030"))
+    text = F.when(F.expr("is_valid_utf8(content)"), F.decode("content", "UTF-8")).otherwise(_gb18030("content"))
     kept = files.withColumn("suffix", suffix).filter(F.col("suffix").isin(suffixes))
     return kept.select("path", "suffix", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"), text.alias("text"))
 

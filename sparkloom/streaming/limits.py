@@ -127,8 +127,8 @@ def decided(rows: DataFrame, key: str, order: list[str], machine: Callable[[], o
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def stateful(stream: DataFrame, key: str, machine: Callable[[], object], out: str, idle: str = "1 hour") -> DataFrame:
-    """The same decisions on a stream (columns: key, t in seconds, and what the machine reads), in the order of arrival; a key's state goes after `idle`."""
+def stateful(stream: DataFrame, key: str, machine: Callable[[], object], out: str, idle_seconds: int | None = 3600) -> DataFrame:
+    """The same decisions on a stream (columns: key, t in seconds, and what the machine reads), in the order of arrival; a key's state goes after `idle_seconds` without rows (None: never, for keys that are few)."""
     names = [f.split()[0] for f in out.split(", ")]
     columns = stream.columns
 
@@ -144,10 +144,11 @@ def stateful(stream: DataFrame, key: str, machine: Callable[[], object], out: st
             made = [m.step(r) for r in pdf.to_dict("records")]
             yield pdf.assign(**{n: [x[n] for x in made] for n in names})[[*columns, *names]]
         state.update((m.save(),))
-        state.setTimeoutDuration(idle)
+        if idle_seconds:
+            state.setTimeoutDuration(1000 * idle_seconds)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in stream.dtypes) + ", " + out
-    return stream.groupBy(key).applyInPandasWithState(run, schema, "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(run, schema, "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout)
 
 
 def ready_files(scans: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def test_scopes(spark):
 
 
 def test_bm25_edges(spark):
-    docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a b"), (4, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a b"), (4, None), (5, "d"), (6, "e")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "b"), (2, "zzz"), (3, ""), (4, "a")], "item_id long, text string")
     found = [(r.query, r.doc, r["rank"]) for r in R.bm25(docs, asked, 2).orderBy("query", "rank").collect()]
     assert [f for f in found if f[0] == 1] == [(1, 1, 1), (1, 3, 2)] and not [f for f in found if f[0] in (2, 3)]
@@ -181,9 +181,9 @@ def test_batch_and_stream_agree(spark, tmp_path):
     for i, part in enumerate((rows[:6], rows[6:])):
         spark.createDataFrame(part, "k string, t double").coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
     stream = spark.readStream.schema("k string, t double").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = L.stateful(stream, "k", lambda: L.SlidingWindow(1, 5), out).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = L.stateful(stream, "k", lambda: L.SlidingWindow(1, 5), out, idle_seconds=None).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(120)
         assert {tuple(r) for r in spark.sql("SELECT * FROM limited").collect()} == batch
     finally:
         q.stop()
