@@ -108,11 +108,11 @@ def coded(docs: DataFrame, train: Column, id_col: str, text_col: str, characters
     return rows.mapInArrow(run, BLOCKS)
 
 
-def _stored(df: DataFrame, buckets: int) -> DataFrame:
-    """A table bucketed by block in the warehouse: joins with answers leave it where it is."""
+def _stored(df: DataFrame, buckets: int) -> str:
+    """The name of a table bucketed by block in the warehouse: joins with answers leave it where it is."""
     name = f"sparkloom_blocks_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, "block").format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+    return name
 
 
 class Discounts:
@@ -306,7 +306,8 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _stored(coded(docs, train, id_col, text_col), buckets)
+    stored = _stored(coded(docs, train, id_col, text_col), buckets)
+    blocks = spark.table(stored)
     words = written(_words(blocks, buckets), "unigrams")
     unigrams = Unigrams(*_sum(words.filter("kind = 1").select("a").collect()))  # a row per partition
     begun = docs.filter(F.coalesce(train, F.lit(False))).count()
@@ -349,5 +350,6 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
         return pa.Table.from_arrays(columns, names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     answers = word_answers.unionByName(pairs.filter("kind in (3, 4)"))
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORES)
+    out = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORES), "scores")
+    spark.sql(f"DROP TABLE {stored}")
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
