@@ -2,8 +2,8 @@
 
 Each round points every node's larger (then smaller) neighbours at its smallest neighbour. The number of edges never grows and
 the number of rounds is about the logarithm of the longest path. A hub's edges meet in a minimum that is aggregated before
-the shuffle, and in a join that adaptive execution can split, so no task holds a group. First each task reduces its own edges
-to a spanning forest. Every round is written to the shared folder, which ends its lineage.
+the shuffle, and in a join that adaptive execution can split, so no task holds a group. First the edges are dealt to
+tasks of bounded size, which reduce their own edges to stars. Every round is written to the shared folder, which ends its lineage.
 """
 
 from __future__ import annotations
@@ -43,13 +43,21 @@ class Forest:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch's edges without those that close a circle in it: a batch is bounded, and so is the forest."""
+    """A task's edges as stars: each end and the smallest id that the task's own edges lead to."""
+    forest = Forest()
     for batch in batches:
-        forest = Forest()
-        kept = [(a, b) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) if forest.join(a, b)]
-        if kept:
-            a, b = zip(*kept, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            forest.join(a, b)
+    ends = list(forest.parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([forest.find(x) for x in ends], pa.int64())], names=["a", "b"])
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges dealt evenly, 10,000 to a task or as many as the shuffle partitions leave, but never over a million; each task's are reduced to stars."""
+    n = edges.count()
+    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(-(-n // 10_000), partitions), -(-n // 1_000_000))
+    return edges.repartition(tasks).mapInArrow(_forest, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -59,7 +67,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     a, b = F.col(left).cast("long"), F.col(right).cast("long")
     found = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(a.isNotNull() & b.isNotNull() & (a != b))
-    now = written(found.mapInArrow(_forest, "a long, b long").distinct(), "edges")
+    given = written(found, "edges")
+    now = written(_contracted(given), "forest")
+    discard(given)
     while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
