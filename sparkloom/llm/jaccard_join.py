@@ -10,8 +10,9 @@ first; a pair from a list is skipped by its positions in both sets if what is le
 Answer level. Identical sets are one class. Classes that share a minimum hash meet in chunks of bounded size and are joined to
 a leader that they are similar enough to, so a group of many copies costs a comparison each and not one for each pair. Then
 index lists join whole groups: the answer for two leaders comes first, and the answers for their followers are derived from it:
-with d the number of shingles by which a follower differs from its leader, an overlap moves by at most d. Only what these
-bounds leave open is compared. A pair within one group needs no answer, since it can't change what is reachable.
+with d the number of shingles by which a follower differs from its leader, an overlap moves by at most d. With the largest d of
+each group that settles most pairs of groups at once. Only what these bounds leave open is compared. A pair within one group, or
+within groups that leaders' links connect, needs no answer, since it can't change what is reachable.
 
 A group's lists are never held in one task: chunks are dealt by a hash, and joins split. All figures are exact: no list,
 group or candidate is capped. Shingles are compared by 64-bit hashes.
@@ -244,7 +245,7 @@ def leader_links(sets: DataFrame, routes: DataFrame, percent: int, chunk: int =
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("g", F.coalesce("component_id", "rid")).drop("component_id")
+    return rows.join(labels, "rid", "left").withColumn("g", F.coalesce("g", "rid"))
 
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -260,7 +261,8 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     index = written(index.select("rid", "n", "h", "place"), "index")
     near = written(groups_by_minimum(sets, shared, percent), "near")
 
-    groups = written(_labelled(index, components(near)), "grouped-index")
+    labels = written(components(near).select(F.col("id").alias("rid"), F.col("component_id").alias("g")), "groups")
+    groups = written(_labelled(index, labels), "grouped-index")
     several = groups.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("h")
     lists = written(groups.join(several, "h"), "lists")
     # an entry of a group in a list: its sizes, and the most that any member has behind its place
@@ -272,30 +274,46 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.select(F.col("g").alias("a"), F.col("g_b").alias("b")).distinct()
     first = written(_overlaps(pairs, sets), "leaders")
     joined = _linked(F.col("common"), F.col("na"), F.col("nb"), percent)
-    links = near.unionByName(first.filter(joined).select("a", "b"))
-
-    # groups whose leaders are linked are one; what is left of the other groups is compared by members
-    apart = first.filter(~joined).select(F.col("a").alias("g"), F.col("b").alias("to"), "common")
-    member = lists.select("h", "g", "rid", "n", (F.col("n") - F.col("place")).alias("behind"))
-    left = member.join(apart, "g")
-    right = member.select("h", *[F.col(c).alias(f"{c}_b") for c in ("g", "rid", "n", "behind")])
-    fits = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & ((F.least("behind", "behind_b") + 1) * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))
-    followers = (F.col("rid") != F.col("g")) | (F.col("rid_b") != F.col("g_b"))
-    # the first common shingle of two prefixes decides: behind it lie all others
-    open_ = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("to") == F.col("g_b")) & fits & followers)
-    open_ = written(open_.select("rid", "rid_b", F.col("g").alias("leader"), F.col("to").alias("leader_b"), "n", "n_b", "common").distinct(), "open")
-    # answers of followers, from their leaders' answers and their distance to them
-    spokes = open_.select(F.col("rid").alias("b"), F.col("leader").alias("a")).unionByName(open_.select(F.col("rid_b").alias("b"), F.col("leader_b").alias("a"))).filter("a <> b").distinct()
-    apart = written(_overlaps(spokes, sets).select(F.col("b").alias("rid"), (F.col("nb") - F.col("common")).alias("own"), (F.col("na") - F.col("common")).alias("lost")), "spokes")
+    merged = written(components(first.filter(joined)), "merged")
+
+    # groups that the leaders' links connect, directly or not, are one; the others' answers follow from their leaders'
+    into = merged.select(F.col("id").alias("a"), F.col("component_id").alias("ma"))
+    into_b = merged.select(F.col("id").alias("b"), F.col("component_id").alias("mb"))
+    apart = first.filter(~joined).join(into, "a", "left").join(into_b, "b", "left").filter(F.coalesce("ma", "a") != F.coalesce("mb", "b"))
+    apart = written(apart.select("a", "b", "na", "nb", "common"), "apart")
+    asked = apart.select(F.col("a").alias("g")).unionByName(apart.select(F.col("b").alias("g"))).distinct()
+    followers = labels.filter("rid <> g").join(asked, "g").select(F.col("g").alias("a"), F.col("rid").alias("b"))
+    # how many shingles a follower has besides its leader's, and how many of these it lacks
+    spokes = _overlaps(followers, sets).select(F.col("a").alias("g"), F.col("b").alias("rid"), F.col("nb").alias("n"), (F.col("nb") - F.col("common")).alias("own"), (F.col("na") - F.col("common")).alias("lost"))
+    spokes = written(spokes, "spokes")
+    # no two members of two groups share more than the leaders share and the members have besides
+    wide = spokes.groupBy("g").agg(F.max("own").alias("own"), F.min("n").alias("low"))
     zero = F.lit(0)
-    bounded = open_.join(apart, "rid", "left").join(apart.select(*[F.col(c).alias(f"{c}_b") for c in apart.columns]), "rid_b", "left")
-    own, lost = (F.coalesce(c, zero) + F.coalesce(f"{c}_b", zero) for c in ("own", "lost"))
-    bounded = written(bounded.withColumn("most", F.col("common") + own).withColumn("least", F.col("common") - lost).select("rid", "rid_b", "n", "n_b", "most", "least"), "bounded")
-    derived = bounded.filter(_linked(F.col("least"), F.col("n"), F.col("n_b"), percent)).select(F.col("rid").alias("a"), F.col("rid_b").alias("b"))
-    asked = bounded.filter(F.coalesce(_linked(F.col("most"), F.col("n"), F.col("n_b"), percent), F.lit(True)) & ~F.coalesce(_linked(F.col("least"), F.col("n"), F.col("n_b"), percent), F.lit(False)))
-    compared = _overlaps(asked.select(F.col("rid").alias("a"), F.col("rid_b").alias("b")), sets)
+    ends = apart
+    for end in ("a", "b"):
+        ends = ends.join(wide.select(F.col("g").alias(end), F.col("own").alias(f"own_{end}"), F.col("low").alias(f"low_{end}")), end, "left")
+        ends = ends.withColumns({f"own_{end}": F.coalesce(f"own_{end}", zero), f"low_{end}": F.least(f"low_{end}", f"n{end}")})
+    open_groups = ends.filter((F.col("common") + F.col("own_a") + F.col("own_b")) * (100 + percent) >= percent * (F.col("low_a") + F.col("low_b")))
+    open_groups = written(open_groups.select(F.col("a").alias("g"), F.col("b").alias("to"), "common", F.col("own_b").alias("own_to"), F.col("low_b").alias("low_to")), "open-groups")
+
+    # what is left open is compared by members, those that share a shingle within their prefixes
+    distance = spokes.select("rid", "own", "lost")
+    member = lists.join(distance, "rid", "left").select("h", "g", "rid", "n", (F.col("n") - F.col("place")).alias("behind"), F.coalesce("own", zero).alias("own"), F.coalesce("lost", zero).alias("lost"))
+    member = written(member.join(open_groups.select("g").unionByName(open_groups.select(F.col("to").alias("g"))).distinct(), "g", "left_semi"), "members")
+    possible = (F.col("common") + F.col("own") + F.col("own_to")) * (100 + percent) >= percent * (F.col("n") + F.col("low_to"))
+    left = member.alias("x").join(open_groups.alias("y"), (F.col("x.g") == F.col("y.g")) & possible).select("h", F.col("x.g").alias("g"), "rid", "n", "behind", "own", "lost", "to", "common")
+    right = member.select("h", *[F.col(c).alias(f"{c}_b") for c in ("g", "rid", "n", "behind", "own", "lost")])
+    size = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    reach = (F.least("behind", "behind_b") + 1) * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
+    most, least = F.col("common") + F.col("own") + F.col("own_b"), F.col("common") - F.col("lost") - F.col("lost_b")
+    fits = size & reach & (most * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))
+    not_leaders = (F.col("rid") != F.col("g")) | (F.col("rid_b") != F.col("g_b"))
+    pairs = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("to") == F.col("g_b")) & fits & not_leaders)
+    pairs = written(pairs.select(F.col("rid").alias("a"), F.col("rid_b").alias("b"), _linked(least, F.col("n"), F.col("n_b"), percent).alias("derived")).distinct(), "open")
+    compared = _overlaps(pairs.filter("not derived").select("a", "b"), sets)
     compared = compared.filter(_linked(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    return links.unionByName(derived).unionByName(compared)
+    known = labels.select(F.col("rid").alias("a"), F.col("g").alias("b")).unionByName(merged.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+    return known.unionByName(pairs.filter("derived").select("a", "b")).unionByName(compared)
 
 
 def _by_rarity():
