@@ -1,9 +1,12 @@
-"""Repeated passages by MinHash banding of paragraphs.
+"""Repeated passages by exact runs of words and by MinHash banding of paragraphs.
 
-A paragraph here is a run of whole sentences of at least 28 words that begins at a sentence which is chosen by content: of the sentences
-that begin within 24 words of any sentence's start, the one whose first words have the smallest hash. So a passage of 51 words or
-more that stands in two documents, wherever in a line, has at least one paragraph in common in both, while a text has about
-one paragraph for 15 words.
+A run is 28 words that begin at a word which is chosen by content: of 24 neighbouring words that a run can begin at, the one
+whose first five words have the smallest hash. So a passage of 51 words or more that stands in two documents, wherever it begins
+and ends and however it is punctuated, has at least one run in common in both, while a text has about one run for 12 words. Runs
+are compared by 128-bit digests; equal ones are one cluster.
+
+Copies with changed words are found by paragraphs: whole sentences of at least 28 words that begin at a sentence which is chosen
+the same way, of the sentences that begin within 24 words of any sentence's start.
 
 Paragraphs have a MinHash signature over their word 5-grams, cut into bands of two rows: at a similarity of 0.75 five bands
 find a pair with a chance of 0.98, equal paragraphs always. Only paragraphs that share a band with another document go on;
@@ -30,8 +33,19 @@ _ENDS = np.array([ord(c) for c in ".!?:;…。！？"], np.uint32)
 BANDS, ROWS, N = 5, 2, 5
 
 
+def _slid(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """`f` (minimum or maximum) over each `width` neighbours."""
+    done = 1
+    while 2 * done <= width:
+        x, done = f(x[:-done], x[done:]), 2 * done
+    return f(x[: len(x) - width + done], x[width - done :]) if done < width else x
+
+
 class Passages:
-    """The paragraphs of some texts: text, bounds in words (of all texts, one after the other) and in characters, and the shingles."""
+    """The paragraphs of some texts: text, bounds in words (of all texts, one after the other) and in characters, and the shingles.
+
+    The same of the exact runs stands in `runs`.
+    """
 
     def __init__(self, texts: list[str], hashes: WordHash, least_words: int, spread: int):
         joined = "\n".join(texts)
@@ -60,6 +74,7 @@ class Passages:
         self.first, self.last = starts[at], last[at]
         self.text = text[self.first]
         self.start, self.stop = begins[self.first] - offsets[self.text], ends[self.last - 1] - offsets[self.text]
+        self.runs = Runs(self.shingles, text, begins, ends, offsets, least_words, spread)
 
     def _chosen(self, starts: np.ndarray, text: np.ndarray, spread: int) -> np.ndarray:
         """Of each run of sentence starts within `spread` words of one text, the place with the smallest hash."""
@@ -97,12 +112,42 @@ class Passages:
         return np.unique(self.shingles[self.first[i] : self.last[i] - N + 1].view(np.int64))
 
 
+class Runs:
+    """The exact runs of some texts: text, bounds in characters, and two hashes of the words."""
+
+    def __init__(self, shingles: np.ndarray, text: np.ndarray, begins: np.ndarray, ends: np.ndarray, offsets: np.ndarray, words: int, spread: int):
+        fits = np.flatnonzero(text[words - 1 :] == text[: max(0, len(text) - words + 1)])
+        at = fits[self._chosen(mixed(shingles[fits], 4), text[fits], spread)]
+        self.text = text[at]
+        self.start, self.stop = begins[at] - offsets[self.text], ends[at + words - 1] - offsets[self.text]
+        self.hashes = np.full((2, len(at)), words, np.uint64)
+        with np.errstate(over="ignore"):
+            for half in range(2):
+                for k, d in enumerate([*range(0, words - N, N), words - N]):
+                    self.hashes[half] = mixed(self.hashes[half] + mixed(shingles[at + d], 7 - half), 3 * half + k % 3)
+
+    def _chosen(self, value: np.ndarray, text: np.ndarray, spread: int) -> np.ndarray:
+        """Which places have the smallest hash of some `spread` neighbours of one text, or of all if the text has fewer."""
+        chosen, n = np.zeros(len(value), bool), len(value)
+        if not n:
+            return chosen
+        value = value | np.uint64(1)
+        if n >= spread:
+            least = _slid(np.minimum, value, spread)
+            least[text[spread - 1 :] != text[: n - spread + 1]] = 0
+            none = np.zeros(spread - 1, np.uint64)
+            chosen = _slid(np.maximum, np.concatenate([none, least, none]), spread) == value
+        first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        count = np.diff([*first, n])
+        return chosen | ((value == np.repeat(np.minimum.reduceat(value, first), count)) & np.repeat(count < spread, count))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).dropna()
 
 
 def shared_bands(docs: DataFrame, least_words: int, spread: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keys): band keys of a document that another document has too."""
+    """(doc_id, keys): band keys and hashes of runs of a document that another document has too."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +159,9 @@ def shared_bands(docs: DataFrame, least_words: int, spread: int, id_col: str = "
                 for c, d in slices(texts, 500_000):
                     p = Passages(texts[c:d], hashes, least_words, spread)
                     bounds = np.searchsorted(p.text, np.arange(d - c + 1))
-                    keys = p.bands()
-                    lists += [np.unique(keys[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                    of_run = np.searchsorted(p.runs.text, np.arange(d - c + 1))
+                    keys, runs = p.bands(), p.runs.hashes[0]
+                    lists += [np.unique(np.concatenate([keys[x:y].ravel(), runs[v:w]])) for x, y, v, w in zip(bounds[:-1], bounds[1:], of_run[:-1], of_run[1:], strict=True)]
                 yield recurring.packed(ids[a:b], lists, buckets)
         give_back()
 
@@ -137,7 +183,10 @@ def shared_bands(docs: DataFrame, least_words: int, spread: int, id_col: str = "
 
 
 def paragraphs(docs: DataFrame, least_words: int, spread: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The paragraphs that share a band with another document: doc_id, bounds in characters, digest, band keys, shingles (32 bits of their hashes)."""
+    """The paragraphs that share a band with another document: doc_id, bounds in characters, digest, band keys, shingles (32 bits of their hashes).
+
+    The runs whose hash another document has too are among them; their band keys and shingles are null.
+    """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +206,16 @@ def paragraphs(docs: DataFrame, least_words: int, spread: int, id_col: str = "do
                     [pa.array(ids[a:b][p.text[at]]), pa.array(p.start[at].astype(np.int32)), pa.array(p.stop[at].astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(list(bands[at].view(np.int64)), pa.list_(pa.int64())), pa.array([np.unique(s.astype(np.int32)) for s in sets], pa.list_(pa.int32()))],
                     names=["doc_id", "start", "stop", "d1", "d2", "bands", "shingles"],
                 )
+                r = p.runs
+                short = recurring.short_items(r.hashes[0], buckets)
+                bounds = np.searchsorted(r.text, np.arange(b - a + 1))
+                hits = [x + np.flatnonzero(np.isin(short[x:y], keys[a + i].values.to_numpy())) for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if x < y]
+                at = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+                d1, d2 = r.hashes[:, at].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[a:b][r.text[at]]), pa.array(r.start[at].astype(np.int32)), pa.array(r.stop[at].astype(np.int32)), pa.array(d1), pa.array(d2), pa.nulls(len(at), pa.list_(pa.int64())), pa.nulls(len(at), pa.list_(pa.int32()))],
+                    names=["doc_id", "start", "stop", "d1", "d2", "bands", "shingles"],
+                )
         give_back()
 
     joined = _rows(docs, id_col, text_col).join(shared_bands(docs, least_words, spread, id_col, text_col), "doc_id").select("doc_id", "text", "keys")
@@ -167,11 +226,13 @@ def repeated(docs: DataFrame, *, least_words: int = 28, spread: int = 24, percen
     """One row per passage that another document has too: doc_id, start and stop in characters, component_id, removed.
 
     Passages of one document that overlap or touch and fare alike are one row. component_id (any number) names the cluster of its first
-    paragraph; a cluster lies in two documents at least. The passages of the cluster's smallest doc_id stay, all others are
+    paragraph or run; a cluster lies in two documents at least. The passages of the cluster's smallest doc_id stay, all others are
     removed. Repetitions within one document alone are left. Rows without id or text have no passages; rows with the same id
     are one document. Other columns aren't read, and an empty table gives no rows.
     """
     found = written(paragraphs(docs, least_words, spread, id_col, text_col), "paragraphs")
+    runs = found.filter("bands IS NULL").select("doc_id", "start", "stop", F.col("d1").alias("component_id"), F.col("d2").alias("half"))
+    found = found.filter("bands IS NOT NULL")
     where = found.select("doc_id", "start", "stop", "d1", "d2")
     classes = found.groupBy("d1", "d2").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("rid"), "d1", "d2", "bands", F.size("shingles").alias("n"), "shingles"), "paragraph-classes")
@@ -179,11 +240,11 @@ def repeated(docs: DataFrame, *, least_words: int = 28, spread: int = 24, percen
     grouped = components(leader_links(classes, routes, percent))
     named = classes.select("rid", "d1", "d2").join(grouped.withColumnRenamed("id", "rid"), "rid", "left")
     named = named.select("d1", "d2", F.coalesce("component_id", "rid").alias("component_id"))
-    placed = written(where.join(named, ["d1", "d2"]).select("doc_id", "start", "stop", "component_id"), "placed")
-    first = placed.groupBy("component_id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    placed = written(where.join(named, ["d1", "d2"]).select("doc_id", "start", "stop", "component_id", F.lit(0).cast("long").alias("half")).unionByName(runs), "placed")
+    first = placed.groupBy("component_id", "half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     # written, so that both sides of the join are plain and a cluster with many paragraphs can be split
-    first = written(first.select("component_id", "low"), "first")
-    marked = placed.join(first, "component_id").withColumn("removed", F.col("doc_id") != F.col("low"))
+    first = written(first.select("component_id", "half", "low"), "first")
+    marked = placed.join(first, ["component_id", "half"]).withColumn("removed", F.col("doc_id") != F.col("low"))
     spans = marked.groupBy("doc_id", "removed").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "component_id"))).alias("spans"))  # no more than a document's own paragraphs
     one = F.aggregate(
         "spans",

@@ -120,6 +120,37 @@ def test_every_passage_has_a_paragraph(words):
         assert sets[0] & sets[1] & sets[2]
 
 
+def loose(seed, n):
+    """Words without an end of a sentence."""
+    return " ".join(f"{chr(97 + (seed + i) % 26)}{seed}x{i * 7919 % 1009}" for i in range(n))
+
+
+@pytest.mark.parametrize("words", [51, 55, 120])
+def test_passages_that_no_sentence_bounds(make_docs, words):
+    """A passage that begins and ends inside unpunctuated lines or long sentences has a run in all of its documents."""
+    rows, passages = [], {}
+    for i in range(12):
+        passages[i] = loose(1000 + i, words)
+        rows += [(10 * i, loose(2000 + i, 3 + 5 * i) + " " + passages[i] + " " + loose(3000 + i, 40)), (10 * i + 1, prose(i + 1) + " And " + passages[i] + " at last. " + prose(i + 50)), (10 * i + 2, passages[i])]
+    texts = dict(rows)
+    found = substring_dedup.repeated(make_docs(rows)).collect()
+    assert {r.doc_id for r in found if r.removed} == {i for i in texts if i % 10}
+    assert {r.doc_id for r in found} == set(texts)
+    for r in found:
+        assert not r.removed or texts[r.doc_id][r.start : r.stop] in passages[r.doc_id // 10]
+
+
+def test_runs_dont_depend_on_the_batch():
+    hashes = jaccard_join.WordHash()
+    texts = [loose(1, 300), "", "word " * 60, loose(2, 27), loose(3, 28), loose(4, 50), prose(3, 3)]
+    whole = substring_dedup.Passages(texts, hashes, 28, 24).runs
+    for i, t in enumerate(texts):
+        one = substring_dedup.Passages([t], hashes, 28, 24).runs
+        at = whole.text == i
+        assert whole.start[at].tolist() == one.start.tolist() and whole.hashes[:, at].tolist() == one.hashes.tolist()
+    assert {4, 5} <= set(whole.text.tolist()) and not {1, 3} & set(whole.text.tolist())
+
+
 def test_passages_dont_depend_on_the_batch():
     hashes = jaccard_join.WordHash()
     texts = [prose(1), "", prose(2), "x", prose(3, 3)]
