@@ -97,7 +97,7 @@ def claims(c: str | Column, least: int = 10) -> Column:
     return F.transform(said, one)
 
 
-def compressed(sentences: Column, terms: Column, keep: float = 0.6, budget: int = 400) -> Column:
+def compressed(sentences: Column, terms: Column, keep: float = 0.6, budget: int | Column = 400) -> Column:
     """The best share of sentences by query terms and position, in their order, until one doesn't fit the budget of characters."""
     n = F.size(sentences)
 
@@ -115,3 +115,15 @@ def compressed(sentences: Column, terms: Column, keep: float = 0.6, budget: int
         return F.struct(F.when(over, a["out"]).when(a["out"] == "", x["t"]).otherwise(F.concat(a["out"], F.lit(" "), x["t"])).alias("out"), F.when(over, a["used"]).otherwise(a["used"] + F.length(x["t"])).alias("used"), over.alias("full"))
 
     return F.when(n > 0, F.aggregate(ordered, state, step, lambda a: a["out"])).otherwise("")
+
+
+def compressed_in_turn(docs: Column, terms: Column, keep: float = 0.6, budget: int = 400) -> Column:
+    """Of a query's documents (doc, sentences) in the order of rank: (doc, text) of those of which the shared budget leaves something."""
+    none = F.array().cast("array<struct<doc:bigint,text:string>>")
+
+    def step(a: Column, x: Column) -> Column:
+        text = F.when(a["used"] < budget, compressed(x["sentences"], terms, keep, budget - a["used"])).otherwise("")
+        kept = F.when(F.length(text) > 0, F.concat(a["done"], F.array(F.struct(x["doc"].alias("doc"), text.alias("text"))))).otherwise(a["done"])
+        return F.struct(kept.alias("done"), (a["used"] + F.length(text)).alias("used"))
+
+    return F.aggregate(docs, F.struct(none.alias("done"), F.lit(0).alias("used")), step, lambda a: a["done"])

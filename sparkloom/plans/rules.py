@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import rules as U
 from sparkloom.functions import text as T
+from sparkloom.operators import retrieval as R
 from sparkloom.plans.registry import query
+from sparkloom.plans.retrieve import _candidates
 from sparkloom.sources.tables import table
 
 
@@ -58,10 +60,11 @@ def rules_claims(spark, sf_dir):
 
 @query("rules_compressed")
 def rules_compressed(spark, sf_dir):
-    """Documents cut to the sentences that a query's words favour; the budget stops at the first overflow, which is a fold."""
-    terms = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(T.tokens("text").alias("terms"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.sentences("text").alias("s"))
-    return docs.crossJoin(F.broadcast(terms)).select("doc_id", F.md5(U.compressed(F.col("s"), F.array_distinct("terms"))).alias("digest"))
+    """The ranked documents of each query cut to the sentences that its words favour, within one budget for all of them; each stop is a fold."""
+    found = R.rerank_lexical(_candidates(spark, sf_dir), 1000).select("query", "query_text", "rank", F.struct(F.col("doc").cast("long").alias("doc"), T.sentences("text").alias("sentences")).alias("d"))
+    asked = found.groupBy("query").agg(F.first("query_text").alias("query_text"), F.array_sort(F.collect_list(F.struct("rank", "d"))).alias("docs"))
+    kept = U.compressed_in_turn(F.transform("docs", lambda x: x["d"]), F.array_distinct(T.tokens("query_text")))
+    return asked.select(F.col("query").alias("item_id"), F.explode(kept).alias("k")).select("item_id", F.col("k.doc").alias("doc_id"), F.md5("k.text").alias("digest"))
 
 
 @query(

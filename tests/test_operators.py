@@ -213,3 +213,18 @@ def test_files(spark, tmp_path):
     files.append_json(rows, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).filter("created_at is not null").count() == 4
     assert "# TYPE a counter\na 1\n" in files.prometheus([("a", "counter", 1.0)])
+
+
+def test_compression_of_every_query(spark):
+    """Each query with documents has rows, and its documents share one budget in the order of rank."""
+    from sparkloom.functions import rules as U
+    from sparkloom.plans import registry
+
+    registry.load_all()
+    rows = registry.QUERIES["rules_compressed"](spark, "/root/testdata/sf0.001").collect()
+    asked = registry.QUERIES["retrieve_reranked"](spark, "/root/testdata/sf0.001").select("query").distinct().collect()
+    assert {r.item_id for r in rows} == {r.query for r in asked} and len(asked) > 1
+    docs = [(1, ["a" * 30]), (2, ["b" * 80]), (3, ["c" * 20]), (4, []), (5, ["d" * 50]), (6, ["e"])]
+    df = spark.createDataFrame([(docs, ["x"])], "docs array<struct<doc:long,sentences:array<string>>>, terms array<string>")
+    found = df.select(U.compressed_in_turn(F.col("docs"), F.col("terms"), budget=100).alias("k")).first().k
+    assert [(k.doc, len(k.text)) for k in found] == [(1, 30), (3, 20), (5, 50)]
