@@ -7,14 +7,14 @@ Index level. Only shingles that another document has too can make a link. A firs
 falls below is left out. Of what remains, the index lists hold prefixes in the order of document frequency, the rarest
 first; a pair from a list is skipped by its positions in both sets if what is left behind them can't reach the overlap.
 
-Answer level. Identical sets are one class. Classes that share a minimum hash meet in chunks of bounded size and are joined to
-a leader that they are similar enough to, so a group of many copies costs a comparison each and not one for each pair. Then
-index lists join whole groups: the answer for two leaders comes first, and the answers for their followers are derived from it:
-with d the number of shingles by which a follower differs from its leader, an overlap moves by at most d. With the largest d of
-each group that settles most pairs of groups at once. Only what these bounds leave open is compared. A pair within one group, or
-within groups that leaders' links connect, needs no answer, since it can't change what is reachable.
-
-A group's lists are never held in one task: chunks are dealt by a hash, and joins split. All figures are exact: no list,
+Answer level. Identical sets are one class. Classes adopt a head, the most common set among those that share their minimum hashes,
+and the links within a head's family are derived from each member's small difference to the head (see `families`). So a group of many
+copies costs a comparison each and not one for each pair. Only entries of different families are then joined through the index lists.
+
+Lists are joined by blocks of at most about `BLOCK_ENTRIES` entries with like positions. The block's largest rest, its sizes and its family
+come first: a pair of blocks that can't reach the overlap, or that lies within one family, is skipped as a whole.
+
+A group's lists are never held in one task: blocks are dealt by a hash, and joins split. All figures are exact: no list,
 group or candidate is capped. Shingles are compared by 64-bit hashes.
 """
 
@@ -25,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import recurring
-from sparkloom.llm.common import written
+from sparkloom.llm.common import discard, written
 from sparkloom.llm.components import components
+from sparkloom.llm.families import derived_links, members, overlap
 from sparkloom.llm.tokens import column_slices, give_back, slices
 
 _U = np.uint64
+MINIMA = 8
+BLOCK_ENTRIES = 64
 _MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
 
@@ -95,15 +98,10 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common elements of two sorted arrays without repetitions."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a))
+def minima(s: np.ndarray) -> np.ndarray:
+    """Of each of `MINIMA` orders the shingle that comes first."""
+    h = s.view(_U)
+    return s[[int(np.argmin(mixed(h, k))) for k in range(MINIMA)]]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,7 +109,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def keys(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: size and 128-bit digest of its set."""
+    """One row per document: a hash of its text, size and 128-bit digest of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -119,10 +117,10 @@ def keys(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
             for a, b, texts in column_slices(batch.column(1), 1_000_000):
                 sets = shingle_sets(texts, n, hashes)
                 d1, d2 = zip(*map(digest, sets), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "of_text", "n", "d1", "d2"])
         give_back()
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return _texts(docs, id_col, text_col).withColumn("of_text", F.xxhash64("text")).mapInArrow(run, "doc_id long, of_text long, n long, d1 long, d2 long")
 
 
 def shared_counts(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
@@ -159,7 +157,7 @@ def shared_counts(docs: DataFrame, n: int, percent: int, text_col: str) -> DataF
 
 
 def candidate_sets(docs: DataFrame, known: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(rid, n, d1, d2, shingles) of one document of each class whose set may have links with unlike sets."""
+    """(rid, n, d1, d2, shingles, minima) of one document of each class whose set may have links with unlike sets."""
     classes = known.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     least = F.ceil(F.ceil(percent * F.col("n") / 100) / 4)
     found = shared_counts(docs, n, percent, text_col)
@@ -172,11 +170,11 @@ def candidate_sets(docs: DataFrame, known: DataFrame, n: int, percent: int, id_c
             for a, _, texts in column_slices(batch.column("text"), 1_000_000):
                 sets = shingle_sets(texts, n, hashes)
                 fine = [i for i, s in enumerate(sets) if digest(s) == (d1[a + i], d2[a + i])]  # else another row of the same id
-                yield pa.RecordBatch.from_arrays([pa.array([d1[a + i] for i in fine], pa.int64()), pa.array([d2[a + i] for i in fine], pa.int64()), pa.array([len(sets[i]) for i in fine], pa.int64()), pa.array([sets[i] for i in fine], pa.list_(pa.int64()))], names=["d1", "d2", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([d1[a + i] for i in fine], pa.int64()), pa.array([d2[a + i] for i in fine], pa.int64()), pa.array([len(sets[i]) for i in fine], pa.int64()), pa.array([sets[i] for i in fine], pa.list_(pa.int64())), pa.array([minima(sets[i]) for i in fine], pa.list_(pa.int64()))], names=["d1", "d2", "n", "shingles", "minima"])
 
     joined = _texts(docs, id_col, text_col).join(some, "doc_id").select("doc_id", "text", "d1", "d2")
-    sets = joined.mapInArrow(run, "d1 long, d2 long, n long, shingles array<long>")
-    return sets.dropDuplicates(["d1", "d2"]).select(F.monotonically_increasing_id().alias("rid"), "d1", "d2", "n", "shingles")
+    sets = joined.mapInArrow(run, "d1 long, d2 long, n long, shingles array<long>, minima array<long>")
+    return sets.dropDuplicates(["d1", "d2"]).select(F.monotonically_increasing_id().alias("rid"), "d1", "d2", "n", "shingles", "minima")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,133 +195,61 @@ def _linked(common: Column, na: Column, nb: Column, percent: int) -> Column:
     return 100 * common >= percent * (na + nb - common)
 
 
-def groups_by_minimum(sets: DataFrame, postings: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """(a, b) links between classes that share a minimum hash: each with the leader that it is linked to."""
-    minima = postings.groupBy("rid").agg(*[F.min_by("h", F.xxhash64(F.lit(r), F.col("h"))).alias(f"m{r}") for r in range(rounds)])
-    routes = minima.select("rid", F.explode(F.array(*[F.struct(F.lit(r).alias("round"), F.col(f"m{r}").alias("token")) for r in range(rounds)])).alias("r")).select("rid", "r.round", "r.token")
-    return leader_links(sets, routes, percent)
-
-
-def leader_links(sets: DataFrame, routes: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
-    """(a, b) of rids that are similar enough, where sets that share a route (round, token) meet in chunks of about `chunk`.
-
-    In a chunk, in the order of size, each set is compared with the leaders so far and linked to the first that is similar enough,
-    or becomes a leader. Chunks are dealt by a hash that differs from round to round, so no route's sets meet in one task,
-    and chunks of one round are connected by the next.
-    """
-    sizes = routes.groupBy("round", "token").count().filter("count > 1")
-    dealt = routes.join(sizes, ["round", "token"]).select("rid", "round", "token", F.pmod(F.xxhash64("rid", "round"), F.ceil(F.col("count") / chunk)).alias("part"))
-    routed = dealt.join(sets.select("rid", "n", "shingles"), "rid").repartition("round", "token", "part").sortWithinPartitions("round", "token", "part", "n", "rid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders = None, []
-        for batch in batches:
-            ids, s = batch.column("rid").to_pylist(), batch.column("shingles")
-            at = list(zip(*(batch.column(c).to_pylist() for c in ("round", "token", "part")), strict=True))
-            out = []
-            for i, rid in enumerate(ids):
-                if at[i] != last:
-                    last, leaders = at[i], []
-                x = s[i].values.to_numpy()
-                leader = None
-                for name, y in reversed(leaders):
-                    if 100 * len(y) < percent * len(x):
-                        break  # leaders come in order of size
-                    common = overlap(x, y)
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        leader = name
-                        break
-                if leader is None:
-                    leaders.append((rid, x.copy()))
-                else:
-                    out.append((leader, rid))
-            if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return routed.select("rid", "round", "token", "part", "shingles").mapInArrow(run, "a long, b long")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels, "rid", "left").withColumn("g", F.coalesce("g", "rid"))
-
-
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of rids: links that connect all that any links connect."""
+    least = F.ceil(percent * F.col("n") / 100)
     exploded = sets.select("rid", "n", F.explode("shingles").alias("h"))
     df = exploded.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     shared = written(exploded.join(df, "h"), "postings")
-    enough = shared.groupBy("rid", "n").agg(F.count("*").alias("found")).filter(F.col("found") >= F.ceil(percent * F.col("n") / 100))
-    shared = shared.join(enough.select("rid", "found"), "rid")
+    enough = shared.groupBy("rid", "n").agg(F.count("*").alias("found"), F.sum("df").alias("held")).filter(F.col("found") >= least)
+    enough = written(enough, "enough")
+    shared_by = shared.join(enough.select("rid", "found"), "rid")
     # shingles that are in one set only would come first, so the others' places begin behind them
-    place = F.row_number().over(_by_rarity()) + F.col("n") - F.col("found")
-    index = shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
-    index = written(index.select("rid", "n", "h", "place"), "index")
-    near = written(groups_by_minimum(sets, shared, percent), "near")
-
-    labels = written(components(near).select(F.col("id").alias("rid"), F.col("component_id").alias("g")), "groups")
-    groups = written(_labelled(index, labels), "grouped-index")
-    several = groups.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("h")
-    lists = written(groups.join(several, "h"), "lists")
-    # an entry of a group in a list: its sizes, and the most that any member has behind its place
-    heads = lists.groupBy("h", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("behind"))
-    other = heads.select("h", *[F.col(c).alias(f"{c}_b") for c in ("g", "low", "high", "behind")])
-    size = (100 * F.col("high") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low"))
-    reach = (F.least("behind", "behind_b") + 1) * (100 + percent) >= percent * (F.col("low") + F.col("low_b"))
-    pairs = heads.alias("x").join(other.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("g") < F.col("g_b")) & size & reach)
-    pairs = pairs.select(F.col("g").alias("a"), F.col("g_b").alias("b")).distinct()
-    first = written(_overlaps(pairs, sets), "leaders")
-    joined = _linked(F.col("common"), F.col("na"), F.col("nb"), percent)
-    merged = written(components(first.filter(joined)), "merged")
-
-    # groups that the leaders' links connect, directly or not, are one; the others' answers follow from their leaders'
-    into = merged.select(F.col("id").alias("a"), F.col("component_id").alias("ma"))
-    into_b = merged.select(F.col("id").alias("b"), F.col("component_id").alias("mb"))
-    apart = first.filter(~joined).join(into, "a", "left").join(into_b, "b", "left").filter(F.coalesce("ma", "a") != F.coalesce("mb", "b"))
-    apart = written(apart.select("a", "b", "na", "nb", "common"), "apart")
-    asked = apart.select(F.col("a").alias("g")).unionByName(apart.select(F.col("b").alias("g"))).distinct()
-    followers = labels.filter("rid <> g").join(asked, "g").select(F.col("g").alias("a"), F.col("rid").alias("b"))
-    # how many shingles a follower has besides its leader's, and how many of these it lacks
-    spokes = _overlaps(followers, sets).select(F.col("a").alias("g"), F.col("b").alias("rid"), F.col("nb").alias("n"), (F.col("nb") - F.col("common")).alias("own"), (F.col("na") - F.col("common")).alias("lost"))
-    spokes = written(spokes, "spokes")
-    # no two members of two groups share more than the leaders share and the members have besides
-    wide = spokes.groupBy("g").agg(F.max("own").alias("own"), F.min("n").alias("low"))
-    zero = F.lit(0)
-    ends = apart
-    for end in ("a", "b"):
-        ends = ends.join(wide.select(F.col("g").alias(end), F.col("own").alias(f"own_{end}"), F.col("low").alias(f"low_{end}")), end, "left")
-        ends = ends.withColumns({f"own_{end}": F.coalesce(f"own_{end}", zero), f"low_{end}": F.least(f"low_{end}", f"n{end}")})
-    open_groups = ends.filter((F.col("common") + F.col("own_a") + F.col("own_b")) * (100 + percent) >= percent * (F.col("low_a") + F.col("low_b")))
-    open_groups = written(open_groups.select(F.col("a").alias("g"), F.col("b").alias("to"), "common", F.col("own_b").alias("own_to"), F.col("low_b").alias("low_to")), "open-groups")
-
-    # what is left open is compared by members, those that share a shingle within their prefixes
-    distance = spokes.select("rid", "own", "lost")
-    member = lists.join(distance, "rid", "left").select("h", "g", "rid", "n", (F.col("n") - F.col("place")).alias("behind"), F.coalesce("own", zero).alias("own"), F.coalesce("lost", zero).alias("lost"))
-    member = written(member.join(open_groups.select("g").unionByName(open_groups.select(F.col("to").alias("g"))).distinct(), "g", "left_semi"), "members")
-    possible = (F.col("common") + F.col("own") + F.col("own_to")) * (100 + percent) >= percent * (F.col("n") + F.col("low_to"))
-    left = member.alias("x").join(open_groups.alias("y"), (F.col("x.g") == F.col("y.g")) & possible).select("h", F.col("x.g").alias("g"), "rid", "n", "behind", "own", "lost", "to", "common")
-    right = member.select("h", *[F.col(c).alias(f"{c}_b") for c in ("g", "rid", "n", "behind", "own", "lost")])
-    size = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-    reach = (F.least("behind", "behind_b") + 1) * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
-    most, least = F.col("common") + F.col("own") + F.col("own_b"), F.col("common") - F.col("lost") - F.col("lost_b")
-    fits = size & reach & (most * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))
-    not_leaders = (F.col("rid") != F.col("g")) | (F.col("rid_b") != F.col("g_b"))
-    pairs = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("to") == F.col("g_b")) & fits & not_leaders)
-    pairs = written(pairs.select(F.col("rid").alias("a"), F.col("rid_b").alias("b"), _linked(least, F.col("n"), F.col("n_b"), percent).alias("derived")).distinct(), "open")
-    compared = _overlaps(pairs.filter("not derived").select("a", "b"), sets)
-    compared = compared.filter(_linked(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    known = labels.select(F.col("rid").alias("a"), F.col("g").alias("b")).unionByName(merged.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
-    return known.unionByName(pairs.filter("derived").select("a", "b")).unionByName(compared)
-
-
-def _by_rarity():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("rid").orderBy("df", "h")
+    place = F.row_number().over(Window.partitionBy("rid").orderBy("df", "h")) + F.col("n") - F.col("found")
+    index = shared_by.withColumn("place", place).filter(F.col("place") <= F.col("n") - least + 1)
+    index = written(index.select("rid", "n", "h", (F.col("n") - F.col("place")).alias("behind")), "index")
+    discard(shared)
+
+    asked = sets.join(enough.select("rid", (F.col("held") / F.col("n")).alias("score")), "rid")
+    routes = asked.select("rid", "score", F.posexplode("minima").alias("round", "token"))
+    family = members(sets, written(routes, "routes"), least=30)
+    discard(enough)
+    links = written(derived_links(family, percent), "links")
+    labelled = index.join(family.select("rid", "g"), "rid", "left").withColumn("g", F.coalesce("g", "rid"))
+    pairs = written(_across(written(labelled, "labelled"), percent).distinct(), "across")
+    discard(index)
+    discard(family)
+    compared = _overlaps(pairs, sets).filter(_linked(F.col("common"), F.col("na"), F.col("nb"), percent))
+    return links.unionByName(compared.select("a", "b"))
+
+
+def _across(index: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rids of different families that share an entry of the index and may reach the overlap; pairs may be repeated."""
+    lists = index.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.ceil(F.count("*") / BLOCK_ENTRIES).alias("parts")).filter("low < high")
+    entry = index.join(lists.select("h", "parts"), "h")
+    # a block holds like positions, and the entries of a long list are dealt evenly over as many parts as it needs
+    block = F.when(F.col("parts") > 1, F.floor(F.log2(F.col("behind") + 1)) * 1_000_000_007 + F.pmod(F.xxhash64("rid"), "parts")).otherwise(0)
+    blocks = entry.groupBy("h", block.alias("block")).agg(
+        F.min("n").alias("small"), F.max("n").alias("large"), F.max("behind").alias("behind"), F.min("g").alias("low"), F.max("g").alias("high"),
+        F.collect_list(F.struct("rid", "n", "behind", "g")).alias("entries"),
+    )
+    blocks = written(blocks, "blocks")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    sizes = (100 * F.col("x.large") >= percent * F.col("y.small")) & (100 * F.col("y.large") >= percent * F.col("x.small"))
+    reach = (F.least("x.behind", "y.behind") + 1) * (100 + percent) >= percent * (F.col("x.small") + F.col("y.small"))
+    other = (F.col("x.low") < F.col("x.high")) | (F.col("y.low") < F.col("y.high")) | (F.col("x.low") != F.col("y.low"))
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.block") <= F.col("y.block")) & sizes & reach & other)
+    one = met.select(F.explode("x.entries").alias("p"), F.col("y.entries").alias("others"), (F.col("x.block") == F.col("y.block")).alias("same"))
+    p, q = F.col("p"), F.col("q")
+    fits = (p["g"] != q["g"]) & (~F.col("same") | (p["rid"] < q["rid"]))
+    fits = fits & (100 * F.least(p["n"], q["n"]) >= percent * F.greatest(p["n"], q["n"]))
+    fits = fits & ((F.least(p["behind"], q["behind"]) + 1) * (100 + percent) >= percent * (p["n"] + q["n"]))
+    pairs = one.select("p", "same", F.explode("others").alias("q")).filter(fits)
+    return pairs.select(F.least(p["rid"], q["rid"]).alias("a"), F.greatest(p["rid"], q["rid"]).alias("b"))
 
 
 def join(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, class_id, component_id.
+    """One row per row of `docs`: doc_id, n_shingles, class_id, component_id, of_text (a hash of the text).
 
     Two documents link when 100 * intersection >= percent * union of their sets. class_id is the smallest doc_id with the same
     set, component_id the smallest that links lead to, itself included. Null and empty texts, and texts without words, have no
@@ -335,14 +261,17 @@ def join(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str = "doc_i
     known = written(keys(docs, n, id_col, text_col), "keys")
     sets = written(candidate_sets(docs, known, n, percent, id_col, text_col), "sets")
     classes = known.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    grouped = components(class_links(sets, percent))
-    named = grouped.join(sets.select(F.col("rid").alias("id"), "d1", "d2"), "id").join(classes, ["d1", "d2"])
+    links = written(class_links(sets.select("rid", "n", "shingles", "minima"), percent), "class-links")
+    grouped = components(links)
+    discard(links)
+    named = written(grouped.join(sets.select(F.col("rid").alias("id"), "d1", "d2"), "id").join(classes, ["d1", "d2"]), "named")
+    discard(sets)
     least = named.groupBy("component_id").agg(F.min("class_id").alias("least"))
     reached = named.join(least, "component_id").select("d1", "d2", "least")
     per_class = classes.join(reached, ["d1", "d2"], "left").select("d1", "d2", "class_id", F.coalesce("least", "class_id").alias("component_id"))
     lone = F.col("n") == 0
     out = known.join(per_class, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "of_text", F.col("n").alias("n_shingles"), F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,9 +279,8 @@ def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str =
 
     Documents without shingles stay, and so do rows without id. Of repeated rows (same id and text) one stays.
     """
-    found = written(join(docs, n=n, percent=percent, id_col=id_col, text_col=text_col), "joined")
-    ids = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    kept = docs.join(ids.distinct(), id_col, "left_semi").unionByName(docs.filter(docs[id_col].isNull())).select(*docs.columns)
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col, text_col])
+    found = join(docs, n=n, percent=percent, id_col=id_col, text_col=text_col).filter("doc_id = component_id")
+    found = written(found.groupBy(F.col("doc_id").alias("_id"), F.col("of_text").alias("_of_text")).agg(F.count("*").alias("_copies")), "joined")
+    same = (docs[id_col].cast("long") == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_of_text"))
+    once, again = (docs.join(found.filter(some), same, "left_semi") for some in ("_copies = 1", "_copies > 1"))
+    return once.unionByName(again.dropDuplicates([id_col, text_col])).unionByName(docs.filter(docs[id_col].isNull()))

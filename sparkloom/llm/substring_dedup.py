@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import recurring
 from sparkloom.llm.common import written
 from sparkloom.llm.components import components
-from sparkloom.llm.jaccard_join import WordHash, digest, leader_links, mixed
+from sparkloom.llm.jaccard_join import WordHash, digest, mixed, overlap
 from sparkloom.llm.tokens import column_slices, give_back, slices
 
 _ENDS = np.array([ord(c) for c in ".!?:;…。！？"], np.uint32)
@@ -222,6 +222,46 @@ def paragraphs(docs: DataFrame, least_words: int, spread: int, id_col: str = "do
     return joined.mapInArrow(run, "doc_id long, start int, stop int, d1 long, d2 long, bands array<long>, shingles array<int>")
 
 
+def leader_links(sets: DataFrame, routes: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
+    """(a, b) of rids that are similar enough, where sets that share a route (round, token) meet in chunks of about `chunk`.
+
+    In a chunk, in the order of size, each set is compared with the leaders so far and linked to the first that is similar enough,
+    or becomes a leader. Chunks are dealt by a hash that differs from round to round, so no route's sets meet in one task,
+    and chunks of one round are connected by the next.
+    """
+    sizes = routes.groupBy("round", "token").count().filter("count > 1")
+    dealt = routes.join(sizes, ["round", "token"]).select("rid", "round", "token", F.pmod(F.xxhash64("rid", "round"), F.ceil(F.col("count") / chunk)).alias("part"))
+    routed = dealt.join(sets.select("rid", "n", "shingles"), "rid").repartition("round", "token", "part").sortWithinPartitions("round", "token", "part", "n", "rid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leaders = None, []
+        for batch in batches:
+            ids, s = batch.column("rid").to_pylist(), batch.column("shingles")
+            at = list(zip(*(batch.column(c).to_pylist() for c in ("round", "token", "part")), strict=True))
+            out = []
+            for i, rid in enumerate(ids):
+                if at[i] != last:
+                    last, leaders = at[i], []
+                x = s[i].values.to_numpy()
+                leader = None
+                for name, y in reversed(leaders):
+                    if 100 * len(y) < percent * len(x):
+                        break  # leaders come in order of size
+                    common = overlap(x, y)
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        leader = name
+                        break
+                if leader is None:
+                    leaders.append((rid, x.copy()))
+                else:
+                    out.append((leader, rid))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return routed.select("rid", "round", "token", "part", "shingles").mapInArrow(run, "a long, b long")
+
+
 def repeated(docs: DataFrame, *, least_words: int = 28, spread: int = 24, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage that another document has too: doc_id, start and stop in characters, component_id, removed.
 
