@@ -53,10 +53,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    """Edges dealt evenly, 10,000 to a task or as many as the shuffle partitions leave, but never over a million; each task's are reduced to stars."""
+    """Edges dealt evenly, 100,000 to a task or as many as the shuffle partitions leave, but never over a million; each task's are reduced to stars."""
     n = edges.count()
     partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(-(-n // 10_000), partitions), -(-n // 1_000_000))
+    tasks = max(1, min(-(-n // 100_000), partitions), -(-n // 1_000_000))
     return edges.repartition(tasks).mapInArrow(_forest, "a long, b long").distinct()
 
 

@@ -11,7 +11,7 @@ Answer level. Identical sets are one class. Classes adopt a head, the most commo
 and the links within a head's family are derived from each member's small difference to the head (see `families`). So a group of many
 copies costs a comparison each and not one for each pair. Only entries of different families are then joined through the index lists.
 
-Lists are joined by blocks of at most about `BLOCK_ENTRIES` entries with like positions. The block's largest rest, its sizes and its family
+Lists are joined by blocks of about 64 entries at most with like positions. The block's largest rest, its sizes and its family
 come first: a pair of blocks that can't reach the overlap, or that lies within one family, is skipped as a whole.
 
 A group's lists are never held in one task: blocks are dealt by a hash, and joins split. All figures are exact: no list,
@@ -25,45 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import recurring
 from sparkloom.llm.common import discard, written
 from sparkloom.llm.components import components
-from sparkloom.llm.families import derived_links, members, overlap
+from sparkloom.llm.families import links, minima
+from sparkloom.llm.hashes import WordHash, mixed
 from sparkloom.llm.tokens import column_slices, give_back, slices
 
 _U = np.uint64
-MINIMA = 8
-BLOCK_ENTRIES = 64
-_MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
-
-
-class WordHash:
-    """64-bit hashes of words, those of up to `remembered` words remembered."""
-
-    def __init__(self, remembered: int = 150_000):
-        import xxhash
-
-        self.hash = xxhash.xxh3_64_intdigest
-        self.known: dict[bytes, int] = {}
-        self.remembered = remembered
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.hash(w)
-        return np.fromiter(map(known.__getitem__, words), _U, len(words))
-
-
-def mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The hashes dealt anew, by the k-th of eight mixers; one to one."""
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> _U(31))) * _U(_MIX[k % 8])
-    return h ^ (h >> _U(29))
 
 
 def shingle_sets(texts: list[str | None], n: int, hashes: WordHash) -> list[np.ndarray]:
@@ -98,12 +70,6 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """Of each of `MINIMA` orders the shingle that comes first."""
-    h = s.view(_U)
-    return s[[int(np.argmin(mixed(h, k))) for k in range(MINIMA)]]
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
@@ -177,24 +143,6 @@ def candidate_sets(docs: DataFrame, known: DataFrame, n: int, percent: int, id_c
     return sets.dropDuplicates(["d1", "d2"]).select(F.monotonically_increasing_id().alias("rid"), "d1", "d2", "n", "shingles", "minima")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) of rids with both sizes and the overlap, the sets side by side in numpy."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            found = [overlap(x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(found, pa.int64())], names=["a", "b", "na", "nb", "common"])
-
-    left = sets.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, common long")
-
-
-def _linked(common: Column, na: Column, nb: Column, percent: int) -> Column:
-    return 100 * common >= percent * (na + nb - common)
-
-
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of rids: links that connect all that any links connect."""
     least = F.ceil(percent * F.col("n") / 100)
@@ -212,40 +160,7 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
 
     asked = sets.join(enough.select("rid", (F.col("held") / F.col("n")).alias("score")), "rid")
     routes = asked.select("rid", "score", F.posexplode("minima").alias("round", "token"))
-    family = members(sets, written(routes, "routes"), least=30)
-    discard(enough)
-    links = written(derived_links(family, percent), "links")
-    labelled = index.join(family.select("rid", "g"), "rid", "left").withColumn("g", F.coalesce("g", "rid"))
-    pairs = written(_across(written(labelled, "labelled"), percent).distinct(), "across")
-    discard(index)
-    discard(family)
-    compared = _overlaps(pairs, sets).filter(_linked(F.col("common"), F.col("na"), F.col("nb"), percent))
-    return links.unionByName(compared.select("a", "b"))
-
-
-def _across(index: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of rids of different families that share an entry of the index and may reach the overlap; pairs may be repeated."""
-    lists = index.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.ceil(F.count("*") / BLOCK_ENTRIES).alias("parts")).filter("low < high")
-    entry = index.join(lists.select("h", "parts"), "h")
-    # a block holds like positions, and the entries of a long list are dealt evenly over as many parts as it needs
-    block = F.when(F.col("parts") > 1, F.floor(F.log2(F.col("behind") + 1)) * 1_000_000_007 + F.pmod(F.xxhash64("rid"), "parts")).otherwise(0)
-    blocks = entry.groupBy("h", block.alias("block")).agg(
-        F.min("n").alias("small"), F.max("n").alias("large"), F.max("behind").alias("behind"), F.min("g").alias("low"), F.max("g").alias("high"),
-        F.collect_list(F.struct("rid", "n", "behind", "g")).alias("entries"),
-    )
-    blocks = written(blocks, "blocks")
-    x, y = blocks.alias("x"), blocks.alias("y")
-    sizes = (100 * F.col("x.large") >= percent * F.col("y.small")) & (100 * F.col("y.large") >= percent * F.col("x.small"))
-    reach = (F.least("x.behind", "y.behind") + 1) * (100 + percent) >= percent * (F.col("x.small") + F.col("y.small"))
-    other = (F.col("x.low") < F.col("x.high")) | (F.col("y.low") < F.col("y.high")) | (F.col("x.low") != F.col("y.low"))
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.block") <= F.col("y.block")) & sizes & reach & other)
-    one = met.select(F.explode("x.entries").alias("p"), F.col("y.entries").alias("others"), (F.col("x.block") == F.col("y.block")).alias("same"))
-    p, q = F.col("p"), F.col("q")
-    fits = (p["g"] != q["g"]) & (~F.col("same") | (p["rid"] < q["rid"]))
-    fits = fits & (100 * F.least(p["n"], q["n"]) >= percent * F.greatest(p["n"], q["n"]))
-    fits = fits & ((F.least(p["behind"], q["behind"]) + 1) * (100 + percent) >= percent * (p["n"] + q["n"]))
-    pairs = one.select("p", "same", F.explode("others").alias("q")).filter(fits)
-    return pairs.select(F.least(p["rid"], q["rid"]).alias("a"), F.greatest(p["rid"], q["rid"]).alias("b"))
+    return links(sets, written(routes, "routes"), index, percent)
 
 
 def join(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,9 +176,9 @@ def join(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str = "doc_i
     known = written(keys(docs, n, id_col, text_col), "keys")
     sets = written(candidate_sets(docs, known, n, percent, id_col, text_col), "sets")
     classes = known.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    links = written(class_links(sets.select("rid", "n", "shingles", "minima"), percent), "class-links")
-    grouped = components(links)
-    discard(links)
+    between = written(class_links(sets.select("rid", "n", "shingles", "minima"), percent), "class-links")
+    grouped = components(between)
+    discard(between)
     named = written(grouped.join(sets.select(F.col("rid").alias("id"), "d1", "d2"), "id").join(classes, ["d1", "d2"]), "named")
     discard(sets)
     least = named.groupBy("component_id").agg(F.min("class_id").alias("least"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import written
-from sparkloom.llm.jaccard_join import WordHash, mixed
+from sparkloom.llm.hashes import WordHash, mixed
 from sparkloom.llm.tokens import column_slices, give_back
 
 CUT = 5

@@ -10,23 +10,30 @@ the same way, of the sentences that begin within 24 words of any sentence's star
 
 Paragraphs have a MinHash signature over their word 5-grams, cut into bands of two rows: at a similarity of 0.75 five bands
 find a pair with a chance of 0.98, equal paragraphs always. Only paragraphs that share a band with another document go on;
-equal ones are one class; classes that share a band are verified by exact Jaccard similarity in chunks of bounded size, and what
-is verified is clustered by connected components. In each cluster the smallest document keeps its passage.
+equal ones are one class. All classes that share a band with another are joined and verified by
+exact Jaccard similarity, as `jaccard_join` does it: through the differences to common heads and an index that skips by position, so
+that no bucket is listed pair by pair, none is cut, and no pair that is similar enough is lost. What is verified is clustered by connected
+components. In each cluster the smallest document keeps its passage. Where a removed passage begins or ends with a run or an equal
+paragraph, it is extended word by word for as long as the words agree with those around it in the document that keeps it; as runs lie less than 24
+words apart, 24 words on each side reach the ends of what the two have in common.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import recurring
-from sparkloom.llm.common import written
+from sparkloom.llm.common import WORD, discard, written
 from sparkloom.llm.components import components
-from sparkloom.llm.jaccard_join import WordHash, digest, mixed, overlap
+from sparkloom.llm.families import minima
+from sparkloom.llm.hashes import WordHash, mixed
+from sparkloom.llm.jaccard_join import class_links, digest
 from sparkloom.llm.tokens import column_slices, give_back, slices
 
 _ENDS = np.array([ord(c) for c in ".!?:;…。！？"], np.uint32)
@@ -143,11 +150,13 @@ class Runs:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).dropna()
+    """(doc_id, key, text): key tells rows with the same id and other texts apart."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).dropna()
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
 def shared_bands(docs: DataFrame, least_words: int, spread: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keys): band keys and hashes of runs of a document that another document has too."""
+    """(key, keys): band keys and hashes of runs of a row that another row has too."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,15 +184,15 @@ def shared_bands(docs: DataFrame, least_words: int, spread: int, id_col: str = "
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, items in recurring.listed(batches):
             first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names[first]), pa.ListArray.from_arrays(pa.array([*first, len(names)], pa.int32()), pa.array(items))], names=["doc_id", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[first]), pa.ListArray.from_arrays(pa.array([*first, len(names)], pa.int32()), pa.array(items))], names=["key", "keys"])
 
-    blocks = _rows(docs, id_col, text_col).mapInArrow(emit, recurring.BLOCK)
+    blocks = _rows(docs, id_col, text_col).select("key", "text").mapInArrow(emit, recurring.BLOCK)
     found = blocks.repartition(buckets, "bucket").mapInArrow(find, recurring.SUMS)
-    return found.repartition(buckets, "bucket").mapInArrow(gather, "doc_id long, keys array<long>")
+    return found.repartition(buckets, "bucket").mapInArrow(gather, "key long, keys array<long>")
 
 
 def paragraphs(docs: DataFrame, least_words: int, spread: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The paragraphs that share a band with another document: doc_id, bounds in characters, digest, band keys, shingles (32 bits of their hashes).
+    """The paragraphs that share a band with another document: doc_id, key, bounds in characters, digest, band keys, shingles (32 bits of their hashes).
 
     The runs whose hash another document has too are among them; their band keys and shingles are null.
     """
@@ -192,8 +201,8 @@ def paragraphs(docs: DataFrame, least_words: int, spread: int, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(), batch.column(2)
-            for a, b, texts in column_slices(batch.column(1), 500_000):
+            ids, names, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for a, b, texts in column_slices(batch.column(2), 500_000):
                 p = Passages(texts, hashes, least_words, spread)
                 bands = p.bands()
                 short = recurring.short_items(bands.ravel(), buckets).reshape(bands.shape)
@@ -203,8 +212,8 @@ def paragraphs(docs: DataFrame, least_words: int, spread: int, id_col: str = "do
                 sets = [p.shingle_set(i) for i in at]
                 d = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b][p.text[at]]), pa.array(p.start[at].astype(np.int32)), pa.array(p.stop[at].astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(list(bands[at].view(np.int64)), pa.list_(pa.int64())), pa.array([np.unique(s.astype(np.int32)) for s in sets], pa.list_(pa.int32()))],
-                    names=["doc_id", "start", "stop", "d1", "d2", "bands", "shingles"],
+                    [pa.array(ids[a:b][p.text[at]]), pa.array(names[a:b][p.text[at]]), pa.array(p.start[at].astype(np.int32)), pa.array(p.stop[at].astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(list(bands[at].view(np.int64)), pa.list_(pa.int64())), pa.array([np.unique(s.astype(np.int32)) for s in sets], pa.list_(pa.int32()))],
+                    names=["doc_id", "key", "start", "stop", "d1", "d2", "bands", "shingles"],
                 )
                 r = p.runs
                 short = recurring.short_items(r.hashes[0], buckets)
@@ -213,106 +222,148 @@ def paragraphs(docs: DataFrame, least_words: int, spread: int, id_col: str = "do
                 at = np.concatenate(hits) if hits else np.zeros(0, np.int64)
                 d1, d2 = r.hashes[:, at].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b][r.text[at]]), pa.array(r.start[at].astype(np.int32)), pa.array(r.stop[at].astype(np.int32)), pa.array(d1), pa.array(d2), pa.nulls(len(at), pa.list_(pa.int64())), pa.nulls(len(at), pa.list_(pa.int32()))],
-                    names=["doc_id", "start", "stop", "d1", "d2", "bands", "shingles"],
+                    [pa.array(ids[a:b][r.text[at]]), pa.array(names[a:b][r.text[at]]), pa.array(r.start[at].astype(np.int32)), pa.array(r.stop[at].astype(np.int32)), pa.array(d1), pa.array(d2), pa.nulls(len(at), pa.list_(pa.int64())), pa.nulls(len(at), pa.list_(pa.int32()))],
+                    names=["doc_id", "key", "start", "stop", "d1", "d2", "bands", "shingles"],
                 )
         give_back()
 
-    joined = _rows(docs, id_col, text_col).join(shared_bands(docs, least_words, spread, id_col, text_col), "doc_id").select("doc_id", "text", "keys")
-    return joined.mapInArrow(run, "doc_id long, start int, stop int, d1 long, d2 long, bands array<long>, shingles array<int>")
+    joined = _rows(docs, id_col, text_col).join(shared_bands(docs, least_words, spread, id_col, text_col), "key").select("doc_id", "key", "text", "keys")
+    return joined.mapInArrow(run, "doc_id long, key long, start int, stop int, d1 long, d2 long, bands array<long>, shingles array<int>")
 
 
-def leader_links(sets: DataFrame, routes: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
-    """(a, b) of rids that are similar enough, where sets that share a route (round, token) meet in chunks of about `chunk`.
+def clusters(classes: DataFrame, percent: int) -> DataFrame:
+    """(rid, component_id) of the classes (rid, bands, n, shingles) that links between classes with a common band lead to."""
+    keys = classes.select("rid", F.explode("bands").alias("band"))
+    several = keys.groupBy("band").agg(F.count("*").alias("classes")).filter("classes > 1").select("band")
+    collide = keys.join(several, "band").select("rid").distinct()
 
-    In a chunk, in the order of size, each set is compared with the leaders so far and linked to the first that is similar enough,
-    or becomes a leader. Chunks are dealt by a hash that differs from round to round, so no route's sets meet in one task,
-    and chunks of one round are connected by the next.
-    """
-    sizes = routes.groupBy("round", "token").count().filter("count > 1")
-    dealt = routes.join(sizes, ["round", "token"]).select("rid", "round", "token", F.pmod(F.xxhash64("rid", "round"), F.ceil(F.col("count") / chunk)).alias("part"))
-    routed = dealt.join(sets.select("rid", "n", "shingles"), "rid").repartition("round", "token", "part").sortWithinPartitions("round", "token", "part", "n", "rid")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.sort(x.values.to_numpy().astype(np.int64)) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int64())), pa.array([minima(x) for x in sets], pa.list_(pa.int64()))], names=["rid", "n", "shingles", "minima"])
+
+    sets = classes.join(collide, "rid").select("rid", "n", "shingles").mapInArrow(run, "rid long, n long, shingles array<long>, minima array<long>")
+    sets = written(sets, "colliding")
+    found = components(written(class_links(sets, percent), "band-links")).withColumnRenamed("id", "rid")
+    discard(sets)
+    return found
+
+
+def _islands(spans: DataFrame, *more) -> DataFrame:
+    """Spans (doc_id, key, removed, start, stop, component_id) of one row that overlap or touch and fare alike as one, with more aggregates."""
+    w = Window.partitionBy("doc_id", "key", "removed").orderBy("start", "stop")
+    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum((F.coalesce(before, F.lit(-2)) + 1 < F.col("start")).cast("int")).over(w)
+    return spans.withColumn("island", island).groupBy("doc_id", "key", "removed", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("component_id", F.struct("start", "stop")).alias("component_id"), *more).drop("island")
+
+
+def surroundings(docs: DataFrame, asked: DataFrame, spread: int, id_col: str, text_col: str) -> DataFrame:
+    """Of places (key, side, at) the `spread` words before (side 0) or after (side 1), the nearest first, in lower case, and where each begins or ends."""
+    word = re.compile(WORD)
+    lower = {c: c + 32 for c in range(65, 91)}
+
+    def nearest(text: str, side: int, at: int) -> list[re.Match]:
+        if side:
+            return [m for m, _ in zip(word.finditer(text, at), range(spread), strict=False)]
+        reach = 16 * spread
+        while True:
+            low = max(0, at - reach)
+            found = list(word.finditer(text, low, at))
+            if low == 0 or len(found) > spread:  # the first may be the end of a longer word
+                return found[-1 : -spread - 1 : -1]
+            reach *= 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders = None, []
         for batch in batches:
-            ids, s = batch.column("rid").to_pylist(), batch.column("shingles")
-            at = list(zip(*(batch.column(c).to_pylist() for c in ("round", "token", "part")), strict=True))
-            out = []
-            for i, rid in enumerate(ids):
-                if at[i] != last:
-                    last, leaders = at[i], []
-                x = s[i].values.to_numpy()
-                leader = None
-                for name, y in reversed(leaders):
-                    if 100 * len(y) < percent * len(x):
-                        break  # leaders come in order of size
-                    common = overlap(x, y)
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        leader = name
-                        break
-                if leader is None:
-                    leaders.append((rid, x.copy()))
-                else:
-                    out.append((leader, rid))
-            if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return routed.select("rid", "round", "token", "part", "shingles").mapInArrow(run, "a long, b long")
+            for a, b, texts in column_slices(batch.column(1)):
+                rows = []
+                for key, text, places in zip(batch.column(0).slice(a, b - a).to_pylist(), texts, batch.column(2).slice(a, b - a).to_pylist(), strict=True):
+                    for p in places:
+                        found = nearest(text, p["side"], p["at"])
+                        rows.append((key, p["side"], p["at"], [m[0].translate(lower) for m in found], [m.end() if p["side"] else m.start() for m in found]))
+                columns = zip(*rows, strict=True) if rows else [[]] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "side", "at", "words", "bounds"])
+
+    places = asked.groupBy("key").agg(F.collect_set(F.struct("side", "at")).alias("places"))  # no more than a row's own runs
+    joined = _rows(docs, id_col, text_col).join(places, "key").select("key", "text", "places")
+    return joined.mapInArrow(run, "key long, side int, at int, words array<string>, bounds array<int>").dropDuplicates(["key", "side", "at"])
+
+
+def _extended(docs: DataFrame, marked: DataFrame, spread: int, id_col: str, text_col: str) -> DataFrame:
+    """The removed spans as islands, those that begin or end with what the kept document has word for word extended as far as the words agree with the kept document's."""
+    edge = F.when(F.col("d1") == F.col("low.d1"), F.struct("start", "stop", "low"))
+    islands = written(_islands(marked, F.min_by(edge, F.struct("start", "stop")).alias("left"), F.max_by(edge, F.struct("stop", -F.col("start"))).alias("right")), "islands")
+    own = [islands.filter(f"{e} is not null").select("key", F.lit(k).alias("side"), F.col(f"{e}.{at}").alias("at")) for k, (e, at) in enumerate((("left", "start"), ("right", "stop")))]
+    kept = [islands.filter(f"{e} is not null").select(F.col(f"{e}.low.key").alias("key"), F.lit(k).alias("side"), F.col(f"{e}.low.{at}").alias("at")) for k, (e, at) in enumerate((("left", "start"), ("right", "stop")))]
+    asked = own[0].unionByName(own[1]).unionByName(kept[0]).unionByName(kept[1]).distinct()
+    found = written(surroundings(docs, asked, spread, id_col, text_col), "surroundings")
+    out = islands
+    for side, (e, at) in enumerate((("left", "start"), ("right", "stop"))):
+        here = found.filter(f"side = {side}").select("key", F.col("at").alias(f"{e}_at"), F.col("words").alias(f"{e}_words"), "bounds")
+        there = found.filter(f"side = {side}").select(F.col("key").alias(f"{e}_key"), F.col("at").alias(f"{e}_low"), F.col("words").alias(f"{e}_other"))
+        out = out.withColumns({f"{e}_at": F.col(f"{e}.{at}"), f"{e}_key": F.col(f"{e}.low.key"), f"{e}_low": F.col(f"{e}.low.{at}")})
+        out = out.join(here, ["key", f"{e}_at"], "left").join(there, [f"{e}_key", f"{e}_low"], "left")
+        differs = F.array_position(F.zip_with(f"{e}_words", f"{e}_other", lambda x, y: x.eqNullSafe(y)), False)
+        agree = F.when(differs > 0, differs - 1).otherwise(F.size(f"{e}_words"))
+        out = out.withColumn(at, F.when(agree > 0, F.get("bounds", (agree - 1).cast("int"))).otherwise(F.col(at))).drop("bounds")
+    return _islands(out.select("doc_id", "key", "removed", "start", "stop", "component_id"))
 
 
 def repeated(docs: DataFrame, *, least_words: int = 28, spread: int = 24, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per passage that another document has too: doc_id, start and stop in characters, component_id, removed.
+    """One row per passage that another document has too: doc_id, start and stop in characters, component_id, removed, key.
 
     Passages of one document that overlap or touch and fare alike are one row. component_id (any number) names the cluster of its first
     paragraph or run; a cluster lies in two documents at least. The passages of the cluster's smallest doc_id stay, all others are
-    removed. Repetitions within one document alone are left. Rows without id or text have no passages; rows with the same id
-    are one document. Other columns aren't read, and an empty table gives no rows.
+    removed, up to the first word on each side in which they differ. Repetitions within one document alone are left. Rows without id or
+    text have no passages. Rows with the same id and other texts are documents of their own, which `key` tells apart; repeated
+    rows (same id and text) are one document. Other columns aren't read, and an empty table gives no rows.
     """
     found = written(paragraphs(docs, least_words, spread, id_col, text_col), "paragraphs")
-    runs = found.filter("bands IS NULL").select("doc_id", "start", "stop", F.col("d1").alias("component_id"), F.col("d2").alias("half"))
-    found = found.filter("bands IS NOT NULL")
-    where = found.select("doc_id", "start", "stop", "d1", "d2")
-    classes = found.groupBy("d1", "d2").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("rid"), "d1", "d2", "bands", F.size("shingles").alias("n"), "shingles"), "paragraph-classes")
-    routes = classes.select("rid", F.posexplode("bands").alias("round", "token"))
-    grouped = components(leader_links(classes, routes, percent))
-    named = classes.select("rid", "d1", "d2").join(grouped.withColumnRenamed("id", "rid"), "rid", "left")
+    runs = found.filter("bands IS NULL").select("doc_id", "key", "start", "stop", F.col("d1").alias("component_id"), F.col("d2").alias("half"), "d1")
+    near = found.filter("bands IS NOT NULL")
+    classes = near.groupBy("d1", "d2").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("rid"), "d1", "d2", "bands", F.size("shingles").cast("long").alias("n"), "shingles"), "paragraph-classes")
+    named = classes.select("rid", "d1", "d2").join(clusters(classes, percent), "rid", "left")
     named = named.select("d1", "d2", F.coalesce("component_id", "rid").alias("component_id"))
-    placed = written(where.join(named, ["d1", "d2"]).select("doc_id", "start", "stop", "component_id", F.lit(0).cast("long").alias("half")).unionByName(runs), "placed")
-    first = placed.groupBy("component_id", "half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    placed = near.select("doc_id", "key", "start", "stop", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "key", "start", "stop", "component_id", F.lit(None).cast("long").alias("half"), "d1")
+    placed = written(placed.unionByName(runs), "placed")
+    discard(classes)
+    discard(found)
+    where = F.struct("doc_id", "key", "start", "stop", "d1")
+    first = placed.groupBy("component_id", "half").agg(F.min(where).alias("low"), F.max(where).alias("high"))
+    first = first.filter((F.col("low.doc_id") != F.col("high.doc_id")) | (F.col("low.key") != F.col("high.key")))
     # written, so that both sides of the join are plain and a cluster with many paragraphs can be split
-    first = written(first.select("component_id", "half", "low"), "first")
-    marked = placed.join(first, ["component_id", "half"]).withColumn("removed", F.col("doc_id") != F.col("low"))
-    spans = marked.groupBy("doc_id", "removed").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "component_id"))).alias("spans"))  # no more than a document's own paragraphs
-    one = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<start:int,stop:int,component_id:bigint>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["stop"] + 1 >= s["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], s["stop"]).alias("stop"), F.element_at(done, -1)["component_id"].alias("component_id")))),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-    return spans.select("doc_id", "removed", F.explode(one).alias("s")).select("doc_id", "s.start", "s.stop", "s.component_id", "removed")
+    first = written(first.select(F.col("component_id").alias("c"), F.col("half").alias("h"), "low"), "first")
+    same = (F.col("component_id") == F.col("c")) & F.col("half").eqNullSafe(F.col("h"))
+    marked = placed.join(first, same).drop("c", "h").withColumn("removed", (F.col("doc_id") != F.col("low.doc_id")) | (F.col("key") != F.col("low.key")))
+    marked = written(marked, "marked")
+    discard(placed)
+    spans = _islands(marked.filter("not removed")).unionByName(_extended(docs, marked.filter("removed"), spread, id_col, text_col))
+    return spans.select("doc_id", "start", "stop", "component_id", "removed", "key")
 
 
 def without_repeats(docs: DataFrame, *, least_words: int = 28, spread: int = 24, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the repeated passages cut out of their texts; documents of which no word is left go. Columns stay as they are."""
+    """`docs` with the repeated passages cut out of their texts; documents of which no word is left go. Columns stay as they are.
+
+    Cuts are found by id and text, so rows that share an id lose only what is theirs. Rows without id or text stay as they are.
+    """
     spans = repeated(docs, least_words=least_words, spread=spread, percent=percent, id_col=id_col, text_col=text_col).filter("removed")
-    cuts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(cuts, "doc_id", "left")
+    cuts = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    key = F.when(docs[id_col].isNotNull() & docs[text_col].isNotNull(), F.xxhash64(docs[id_col].cast("long"), docs[text_col]))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"), docs[text_col].alias("text")).join(cuts, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, emptied = [], []
             for text, spots in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 at, parts = 0, []
                 for s in spots or []:
                     parts.append(text[at : s["start"]].rstrip(" "))
                     at = s["stop"]
                 out.append(text if not spots else "".join([*parts, text[at:]]).strip())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b is not None and not t for t, b in zip(out, batch.column(2).to_pylist(), strict=True)]), pa.array(out, pa.string())], names=["row", "emptied", "text"])
+                emptied.append(bool(spots) and not out[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(emptied, pa.bool_()), pa.array(out, pa.string())], names=["row", "emptied", "text"])
 
     schema = type(rows.schema)([rows.schema["row"]]).add("emptied", "boolean").add("text", "string")
     cut = rows.select("row", "text", "cuts").mapInArrow(run, schema).filter("not emptied")

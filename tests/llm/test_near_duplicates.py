@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from texts import prose, sentence
 
-from sparkloom.llm import embedding_dedup, jaccard_join, queries, substring_dedup
+from sparkloom.llm import embedding_dedup, hashes, jaccard_join, queries, substring_dedup
 from sparkloom.llm.components import Forest, components
 
 SF = "/root/testdata/sf0.001"
@@ -103,7 +103,7 @@ def test_passages(make_docs):
 @pytest.mark.parametrize("words", [51, 60, 90])
 def test_every_passage_has_a_paragraph(words):
     """Whatever stands around a passage of whole sentences, one of its paragraphs is chosen in both texts."""
-    hashes = jaccard_join.WordHash()
+    known = hashes.WordHash()
     for seed in range(40):
         lengths, left = [], words
         while left:
@@ -114,7 +114,7 @@ def test_every_passage_has_a_paragraph(words):
         texts = [prose(seed + 1) + " " + passage + " " + prose(seed + 2), "Short. " + passage, passage]
         sets = []
         for t in texts:
-            p = substring_dedup.Passages([t], hashes, 28, 24)
+            p = substring_dedup.Passages([t], known, 28, 24)
             a = t.find(passage)
             sets.append({t[x:y] for x, y in zip(p.start, p.stop, strict=True) if a <= x and y <= a + len(passage)})
         assert sets[0] & sets[1] & sets[2]
@@ -141,22 +141,22 @@ def test_passages_that_no_sentence_bounds(make_docs, words):
 
 
 def test_runs_dont_depend_on_the_batch():
-    hashes = jaccard_join.WordHash()
+    known = hashes.WordHash()
     texts = [loose(1, 300), "", "word " * 60, loose(2, 27), loose(3, 28), loose(4, 50), prose(3, 3)]
-    whole = substring_dedup.Passages(texts, hashes, 28, 24).runs
+    whole = substring_dedup.Passages(texts, known, 28, 24).runs
     for i, t in enumerate(texts):
-        one = substring_dedup.Passages([t], hashes, 28, 24).runs
+        one = substring_dedup.Passages([t], known, 28, 24).runs
         at = whole.text == i
         assert whole.start[at].tolist() == one.start.tolist() and whole.hashes[:, at].tolist() == one.hashes.tolist()
     assert {4, 5} <= set(whole.text.tolist()) and not {1, 3} & set(whole.text.tolist())
 
 
 def test_passages_dont_depend_on_the_batch():
-    hashes = jaccard_join.WordHash()
+    known = hashes.WordHash()
     texts = [prose(1), "", prose(2), "x", prose(3, 3)]
-    whole = substring_dedup.Passages(texts, hashes, 28, 24)
+    whole = substring_dedup.Passages(texts, known, 28, 24)
     for i, t in enumerate(texts):
-        one = substring_dedup.Passages([t], hashes, 28, 24)
+        one = substring_dedup.Passages([t], known, 28, 24)
         at = whole.text == i
         assert whole.start[at].tolist() == one.start.tolist() and whole.stop[at].tolist() == one.stop.tolist()
         assert whole.bands()[at].tolist() == one.bands().tolist()
@@ -218,3 +218,92 @@ def test_vectors_on_the_table(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     found = {r.vec_id: (r.n_links, r.component_id) for r in queries.op5_embedding_dedup(spark, SF).collect()}
     assert found == brute_vectors(rows)
+
+
+def components_of(sets, percent=75):
+    """Of sets by name, the smallest name that links lead to, by all overlaps at once."""
+    names, items = list(sets), {}
+    for s in sets.values():
+        for x in s:
+            items.setdefault(x, len(items))
+    member = np.zeros((len(names), len(items)), np.float32)
+    for i, name in enumerate(names):
+        member[i, [items[x] for x in sets[name]]] = 1
+    common, size = member @ member.T, member.sum(axis=1)
+    forest = Forest()
+    for i, j in np.argwhere(np.triu(100 * common >= percent * (size[:, None] + size - common), 1)):
+        forest.join(names[i], names[j])
+    return {name: forest.find(name) for name in names}
+
+
+def variants(n, words, most, seed):
+    """Copies of one text with 0 to `most` words changed, some changes common to many."""
+    r = np.random.default_rng(seed)
+    base, out = [f"b{i}" for i in range(words)], []
+    for i in range(n):
+        w = list(base)
+        for at in r.integers(0, words, r.integers(0, most + 1)):
+            w[at] = f"often{at}" if r.random() < 0.6 else f"e{i}x{at}"
+        out.append(" ".join(w[: words - int(r.integers(0, 4))]))
+    return out
+
+
+@pytest.mark.parametrize(("words", "most"), [(60, 8), (150, 22)])
+def test_join_of_a_large_family(make_docs, words, most):
+    rows = list(enumerate(variants(500, words, most, words) + variants(120, words // 2, 4, 9)))
+    found = {r.doc_id: r.component_id for r in jaccard_join.join(make_docs(rows)).collect()}
+    want = components_of({i: shingles(t) for i, t in rows})
+    assert found == want
+    assert 20 < len(set(want.values())) < 560  # neither one component nor all alone
+
+
+def test_a_bucket_of_2000_near_copies_loses_no_link(make_docs):
+    """One paragraph in 2,100 versions: paragraphs that are similar enough are in one cluster, all pairs compared."""
+    texts = [t.capitalize() + "." for t in variants(2100, 34, 5, 3)]
+    rows = [(i, f"Only here {i}.\n{t}\nLast line {i}.") for i, t in enumerate(texts)]
+    found = {}
+    for r in substring_dedup.repeated(make_docs(rows)).collect():
+        found.setdefault(r.doc_id, set()).add(r.removed)
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = components_of(sets)
+    members = {}
+    for i, c in want.items():
+        members.setdefault(c, []).append(i)
+    linked = [i for c in members.values() if len(c) > 1 for i in c]
+    assert len(linked) > 700
+    assert set(linked) <= set(found)
+    for c in members.values():
+        assert len(c) == 1 or all(True in found[i] for i in c if i != min(c))
+
+
+def test_rows_with_one_id_keep_their_own_text(make_docs):
+    passage = " ".join(sentence(700 + i, 13) for i in range(6))
+    other = prose(77, 9)
+    docs = make_docs([(1, prose(5) + " " + passage), (2, passage + " " + prose(6)), (2, other), (2, other), (3, None), (None, passage)])
+    out = [(r.doc_id, r.text) for r in substring_dedup.without_repeats(docs).collect()]
+    assert out.count((2, other)) == 2 and (3, None) in out and (None, passage) in out and (1, prose(5) + " " + passage) in out
+    assert (2, prose(6)) in out and len(out) == 6
+
+
+@pytest.mark.parametrize("words", [51, 70])
+def test_passages_are_cut_to_their_ends(make_docs, words):
+    """What stays of a copy is its own words and no other."""
+    rows, own = [], {}
+    for i in range(10):
+        passage = loose(500 + i, words)
+        rows.append((10 * i, loose(600 + i, 30 + i) + " " + passage + " " + loose(700 + i, 30)))
+        own[10 * i + 1] = (loose(800 + i, 7 + i), loose(900 + i, 9))
+        rows.append((10 * i + 1, own[10 * i + 1][0] + " " + passage.upper() + " " + own[10 * i + 1][1]))
+    texts = dict(rows)
+    out = {r.doc_id: r.text for r in substring_dedup.without_repeats(make_docs(rows)).collect()}
+    assert {i: t for i, t in out.items() if i % 10 == 0} == {i: t for i, t in texts.items() if i % 10 == 0}
+    assert {i: t.split() for i, t in out.items() if i % 10} == {i: (a + " " + b).split() for i, (a, b) in own.items()}
+
+
+def test_repeats_in_odd_texts(make_docs, odd_texts):
+    docs = make_docs([*odd_texts, (8, "word " * 20_000), (6, prose(50)), (9, prose(50))])
+    rows = substring_dedup.repeated(docs).collect()
+    assert {r.doc_id for r in rows if r.removed} == {7, 8, 9} and {r.doc_id for r in rows if not r.removed} == {5, 6}
+    out = substring_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted(i for (i,) in out.select("doc_id").collect() if i is not None) == [0, 1, 2, 3, 4, 5, 6, 6]
