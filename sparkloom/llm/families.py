@@ -249,12 +249,15 @@ def pairs_across(blocks: DataFrame, percent: int) -> DataFrame:
         other = other & ((F.col(f"x.low{c}") < F.col(f"x.high{c}")) | (F.col(f"y.low{c}") < F.col(f"y.high{c}")) | (F.col(f"x.low{c}") != F.col(f"y.low{c}")))
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.block") <= F.col("y.block")) & sizes & reach & other)
     one = met.select(F.explode("x.entries").alias("p"), F.col("y.entries").alias("others"), (F.col("x.block") == F.col("y.block")).alias("same"))
-    p, q = F.col("p"), F.col("q")
-    fits = (p["g"] != q["g"]) & (p["c"] != q["c"]) & (~F.col("same") | (p["rid"] < q["rid"]))
-    fits = fits & (100 * F.least(p["n"], q["n"]) >= percent * F.greatest(p["n"], q["n"]))
-    fits = fits & ((F.least(p["behind"], q["behind"]) + 1) * (100 + percent) >= percent * (p["n"] + q["n"]))
-    pairs = one.select("p", "same", F.explode("others").alias("q")).filter(fits)
-    return pairs.select(F.least(p["rid"], q["rid"]).alias("a"), F.greatest(p["rid"], q["rid"]).alias("b"))
+    p = F.col("p")
+
+    def fits(q: Column) -> Column:
+        apart = (p["g"] != q["g"]) & (p["c"] != q["c"]) & (~F.col("same") | (p["rid"] < q["rid"]))
+        size = 100 * F.least(p["n"], q["n"]) >= percent * F.greatest(p["n"], q["n"])
+        return apart & size & ((F.least(p["behind"], q["behind"]) + 1) * (100 + percent) >= percent * (p["n"] + q["n"]))
+
+    pairs = one.select(p["rid"].alias("one"), F.explode(F.transform(F.filter("others", fits), lambda q: q["rid"])).alias("other"))
+    return pairs.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))
 
 
 def links_across(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

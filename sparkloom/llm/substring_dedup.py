@@ -254,7 +254,7 @@ def _islands(spans: DataFrame, *more) -> DataFrame:
     w = Window.partitionBy("doc_id", "key", "removed").orderBy("start", "stop")
     before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum((F.coalesce(before, F.lit(-2)) + 1 < F.col("start")).cast("int")).over(w)
-    return spans.withColumn("island", island).groupBy("doc_id", "key", "removed", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("component_id", F.struct("start", "stop")).alias("component_id"), *more).drop("island")
+    return spans.withColumn("island", island).groupBy("doc_id", "key", "removed", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("component_id", F.when(F.col("component_id").isNotNull(), F.struct("start", "stop"))).alias("component_id"), *more).drop("island")
 
 
 def surroundings(docs: DataFrame, asked: DataFrame, spread: int, id_col: str, text_col: str) -> DataFrame:
@@ -294,20 +294,19 @@ def _extended(docs: DataFrame, marked: DataFrame, spread: int, id_col: str, text
     """The removed spans as islands, those that begin or end with what the kept document has word for word extended as far as the words agree with the kept document's."""
     edge = F.when(F.col("d1") == F.col("low.d1"), F.struct("start", "stop", "low"))
     islands = written(_islands(marked, F.min_by(edge, F.struct("start", "stop")).alias("left"), F.max_by(edge, F.struct("stop", -F.col("start"))).alias("right")), "islands")
-    own = [islands.filter(f"{e} is not null").select("key", F.lit(k).alias("side"), F.col(f"{e}.{at}").alias("at")) for k, (e, at) in enumerate((("left", "start"), ("right", "stop")))]
-    kept = [islands.filter(f"{e} is not null").select(F.col(f"{e}.low.key").alias("key"), F.lit(k).alias("side"), F.col(f"{e}.low.{at}").alias("at")) for k, (e, at) in enumerate((("left", "start"), ("right", "stop")))]
-    asked = own[0].unionByName(own[1]).unionByName(kept[0]).unionByName(kept[1]).distinct()
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"{e}.{at}").alias("at"), F.col(f"{e}.low.key").alias("low"), F.col(f"{e}.low.{at}").alias("low_at")) for k, (e, at) in enumerate((("left", "start"), ("right", "stop")))])
+    edges = written(islands.select("key", F.explode(sides).alias("e")).select("key", "e.*").filter("at is not null").distinct(), "edges-of-passages")
+    asked = edges.select("key", "side", "at").unionByName(edges.select(F.col("low").alias("key"), "side", F.col("low_at").alias("at"))).distinct()
     found = written(surroundings(docs, asked, spread, id_col, text_col), "surroundings")
-    out = islands
-    for side, (e, at) in enumerate((("left", "start"), ("right", "stop"))):
-        here = found.filter(f"side = {side}").select("key", F.col("at").alias(f"{e}_at"), F.col("words").alias(f"{e}_words"), "bounds")
-        there = found.filter(f"side = {side}").select(F.col("key").alias(f"{e}_key"), F.col("at").alias(f"{e}_low"), F.col("words").alias(f"{e}_other"))
-        out = out.withColumns({f"{e}_at": F.col(f"{e}.{at}"), f"{e}_key": F.col(f"{e}.low.key"), f"{e}_low": F.col(f"{e}.low.{at}")})
-        out = out.join(here, ["key", f"{e}_at"], "left").join(there, [f"{e}_key", f"{e}_low"], "left")
-        differs = F.array_position(F.zip_with(f"{e}_words", f"{e}_other", lambda x, y: x.eqNullSafe(y)), False)
-        agree = F.when(differs > 0, differs - 1).otherwise(F.size(f"{e}_words"))
-        out = out.withColumn(at, F.when(agree > 0, F.get("bounds", (agree - 1).cast("int"))).otherwise(F.col(at))).drop("bounds")
-    return _islands(out.select("doc_id", "key", "removed", "start", "stop", "component_id"))
+    there = found.select(F.col("key").alias("low"), "side", F.col("at").alias("low_at"), F.col("words").alias("other"))
+    met = edges.join(found, ["key", "side", "at"]).join(there, ["low", "side", "low_at"])
+    differs = F.array_position(F.zip_with("words", "other", lambda x, y: x.eqNullSafe(y)), False)
+    agree = F.when(differs > 0, differs - 1).otherwise(F.size("words"))
+    moved = met.select("key", "side", "at", F.when(agree > 0, F.get("bounds", (agree - 1).cast("int"))).alias("to")).filter("to is not null")
+    # an edge that reaches further is a span of its own from the old edge to the new one, which joins its island
+    more = moved.select("key", F.least("at", "to").alias("start"), F.greatest("at", "to").alias("stop"))
+    more = more.join(islands.select("doc_id", "key").distinct(), "key").select("doc_id", "key", F.lit(True).alias("removed"), "start", "stop", F.lit(None).cast("long").alias("component_id"))
+    return _islands(islands.select("doc_id", "key", "removed", "start", "stop", "component_id").unionByName(more))
 
 
 def repeated(docs: DataFrame, *, least_words: int = 28, spread: int = 24, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
