@@ -11,7 +11,7 @@ BM25_TOKEN = r"[A-Za-z0-9_\-]+|[\x{4e00}-\x{9fff}]"
 REWRITE_TOKEN = r"[A-Za-z0-9_\-]{2,}|[\x{4e00}-\x{9fff}]{2,}"
 GRAPH_TOKEN = r"[A-Za-z0-9_\-]+|[\x{4e00}-\x{9fff}]{2,}"
 SIMILARITY_TOKEN = r"[A-Za-z0-9_]+|[\x{4e00}-\x{9fff}]"
-EMBEDDING_TOKEN = r"[A-Za-z0-9_]{2,}|[\x{4e00}-\x{9fff}]"
+EMBEDDING_TOKEN = r"[A-Za-z0-9_\-]{2,}|[\x{4e00}-\x{9fff}]"
 REWRITE_STOP_WORDS = ["the", "is", "are", "a", "an", "to", "of", "in", "on", "for", "and", "or", "请问", "帮我", "一下", "这个", "那个"]
 SECRETS = [
     r"sk-[A-Za-z0-9]{16,}",

@@ -125,11 +125,11 @@ def eval_grid(spark, sf_dir):
     return rows.orderBy(F.desc("score"), "pos").limit(1).select("threshold", "score")
 
 
-@query("eval_cited", "WITH c AS (SELECT l_orderkey AS answer, l_partkey AS doc, l_linenumber AS page FROM lineitem WHERE l_orderkey % 20 = 0), d AS (SELECT p_partkey AS doc, 1 + p_partkey % 3 AS page FROM part WHERE p_partkey % 4 <> 0) SELECT answer, count(*) AS citations, round(count(d.doc) / count(*), 8) AS valid FROM c LEFT JOIN d ON c.doc = d.doc AND c.page = d.page GROUP BY answer")
+@query("eval_cited", "WITH c AS (SELECT l_orderkey AS answer, l_partkey AS doc, l_linenumber AS page FROM lineitem), d AS (SELECT p_partkey AS doc, 1 + p_partkey % 3 AS page FROM part) SELECT answer, count(*) AS citations, round(count(d.doc) / count(*), 8) AS valid FROM c LEFT JOIN d ON c.doc = d.doc AND c.page = d.page GROUP BY answer")
 def eval_cited(spark, sf_dir):
     """Share of an answer's citations whose document and page exist."""
-    cited = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("answer"), F.col("l_partkey").alias("doc"), F.col("l_linenumber").cast("long").alias("page"))
-    there = table(spark, sf_dir, "part").filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("doc"), (1 + F.col("p_partkey") % 3).alias("page"), F.lit(1).alias("ok"))
+    cited = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("answer"), F.col("l_partkey").alias("doc"), F.col("l_linenumber").cast("long").alias("page"))
+    there = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), (1 + F.col("p_partkey") % 3).alias("page"), F.lit(1).alias("ok"))
     return cited.join(there, ["doc", "page"], "left").groupBy("answer").agg(F.count("*").alias("citations"), F.round(F.count("ok") / F.count("*"), 8).alias("valid"))
 
 

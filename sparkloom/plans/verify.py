@@ -136,7 +136,7 @@ def eval_must_contain(spark, sf_dir):
 
 @query("text_normalised")
 def text_normalised(spark, sf_dir):
-    """Unicode normalisation and categories are in neither engine's SQL; tests compare with the plain function."""
+    """Unicode normalisation and categories are in neither engine's SQL; tests/test_vectorised.py compares with plain Python."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(V.normalise("text"), F.lit(""))).alias("digest"))
 
 
