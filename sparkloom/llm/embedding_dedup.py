@@ -5,10 +5,12 @@ kept. For unit vectors x = s q + e and y = t r + f, the exact cosine differs fro
 |e| |t r| + |s q| |f| + |e| |f|, whatever the vectors are. Tiles of vectors are multiplied in small integers; only pairs whose bound reaches the
 threshold are computed again in double precision from the vectors as they are stored.
 
-Only vectors with the same label meet. Identical vectors of a label are one class first. A label's classes are dealt to cells
-around pivots (a hash sample of the label), large cells are split into tiles, and two tiles meet only if the distance of
-their centres, less their radii, allows a pair above the threshold: that loses nothing, by the triangle inequality. A hot
-label is so many tiles, not one task.
+Only vectors with the same label meet. Identical vectors of a label are one class first. A label's classes are dealt by a hash to slices of
+bounded size, a slice is split into cells of neighbours (tiles), and two tiles meet only if the distance of their centres, less
+their radii, allows a pair above the threshold: that loses nothing, by the triangle inequality. A hot label is so many tiles,
+not one task. Tiles are quantised once and only their small integers travel to be multiplied; the vectors as they are stored follow for those
+pairs of tiles that hold a pair which may reach the threshold. A pair of tiles answers with a row for each class that has links in
+it, the number of its partners and the smallest class it leads to, and not with a row for each pair.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import written
-from sparkloom.llm.components import components
+from sparkloom.llm.common import discard, written
+from sparkloom.llm.components import Forest, components
 
 #: What float arithmetic may add to any bound here; cosines near the threshold within it are computed exactly.
 SLACK = 1e-6
@@ -54,9 +56,23 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.frombuffer(v, "<f8") for v in column]) if len(column) else np.zeros((0, 1))
 
 
-def links(vectors: DataFrame, *, threshold: float = 0.98, tile: int = 1024, pivots: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members has vec_id and class_id (the smallest vec_id with that vector and label) of every row that can
-    link, pairs has class_a < class_b and their cosine for the classes that link. Members of a class link with one another.
+def _stored(column: pa.Array) -> list[bytes | None]:
+    """Lists of numbers as little-endian doubles; None for those that are null, zero or hold null or non-finite components."""
+    lengths = column.value_lengths().fill_null(0).to_numpy()
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).astype("<f8", copy=False)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    fine = lengths > 0
+    if fine.any():
+        with np.errstate(over="ignore", invalid="ignore"):
+            squares = np.add.reduceat(flat * flat, starts[fine])  # not finite where a component isn't
+        fine[fine] = np.isfinite(squares) & (squares > 0)
+    data = flat.tobytes()
+    return [data[8 * a : 8 * b] if ok else None for a, b, ok in zip(starts, ends, fine, strict=True)]
+
+
+def classes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
+    """(members, classes): members has vec_id and class_id (the smallest vec_id with that vector and label) of every row that can link.
 
     Rows without id or label link with nothing, nor do vectors that are null, zero or hold null or non-finite components. Rows with
     the same id are kept as they are. Vectors of unlike length are never compared.
@@ -64,35 +80,31 @@ def links(vectors: DataFrame, *, threshold: float = 0.98, tile: int = 1024, pivo
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column(2).to_pylist():
-                x = np.array([np.nan if c is None else c for c in v] if v else [], np.float64)
-                fine = len(x) and np.isfinite(x).all() and np.isfinite(n := np.linalg.norm(x)) and n > 0
-                out.append(x.astype("<f8").tobytes() if fine else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["vec_id", "label", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_stored(batch.column(2)), pa.binary())], names=["vec_id", "label", "v"])
 
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].alias("v"))
     rows = rows.filter("vec_id is not null and label is not null and v is not null").mapInArrow(packed, "vec_id long, label string, v binary").filter("v is not null")
     # -0.0 and 0.0 differ in their bytes, so they are two classes, which the products link
     rows = written(rows.withColumn("hash", F.sha2("v", 256)), "vectors")
-    classes = rows.groupBy("label", "hash").agg(F.min("vec_id").alias("class_id"), F.first("v").alias("v"), F.count("*").alias("copies"))
-    classes = written(classes, "classes")
-    members = rows.join(classes.select("label", "hash", "class_id"), ["label", "hash"]).select("vec_id", "class_id")
-    return members, _pairs(classes, threshold, tile, pivots)
-
-
-def _pairs(classes: DataFrame, threshold: float, tile: int, pivots: int) -> DataFrame:
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK  # the largest distance of two linked unit vectors
-    sizes = classes.withColumn("dim", F.length("v") / 8).groupBy("label", "dim").count()
-    parts = classes.withColumn("dim", F.length("v") / 8).join(sizes, ["label", "dim"])
-    n_tiles = F.greatest(F.lit(1), F.ceil(F.col("count") / tile))
-    # as many pivots as tiles, at most `pivots`; a vector's first key is a slice of its label, dealt by a hash
-    dealt = parts.withColumn("slice", F.pmod(F.xxhash64("class_id"), n_tiles)).withColumn("k", F.least(F.lit(pivots), n_tiles))
-
-    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A slice's vectors in cells: neighbours of the direction that splits best come together, by repeated halving."""
-        x = _matrix(pdf["v"])
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = rows.groupBy("label", "hash").agg(F.min("vec_id").alias("class_id"), F.first("v").alias("v"), F.count("*").alias("copies"))
+    found = written(found, "classes")
+    members = written(rows.join(found.select("label", "hash", "class_id"), ["label", "hash"]).select("vec_id", "class_id"), "members")
+    discard(rows)
+    return members, found
+
+
+def _tiles(rows: DataFrame, tile: int, cells: int) -> DataFrame:
+    """Tiles of the classes: label, dim, centre, radius; q, scales and errors of the unit vectors; ids, copies and vs of the vectors as they are."""
+    dim = (F.length("v") / 8).cast("int")
+    sizes = rows.groupBy("label", dim.alias("dim")).count()
+    slices = F.greatest(F.lit(1), F.ceil(F.col("count") / tile))
+    parts = rows.withColumn("dim", dim).join(sizes, ["label", "dim"])
+    dealt = parts.withColumn("slice", F.pmod(F.xxhash64("class_id"), slices)).withColumn("k", F.least(F.lit(cells), slices))
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A slice's vectors in tiles: neighbours of the direction that splits best come together, by repeated halving."""
+        stored = _matrix(pdf["v"])
+        x = stored / np.linalg.norm(stored, axis=1, keepdims=True)
         groups, done = [np.arange(len(x))], []
         least = max(32, len(x) // max(1, int(pdf["k"].iloc[0])))
         while groups:
@@ -107,15 +119,20 @@ def _pairs(classes: DataFrame, threshold: float, tile: int, pivots: int) -> Data
                 direction /= np.linalg.norm(direction) or 1
             order = np.argsort(y @ direction, kind="stable")
             groups += [g[order[: len(g) // 2]], g[order[len(g) // 2 :]]]
-        out = []
-        for i, g in enumerate(done):
+        out, ids, copies = [], pdf["class_id"].to_numpy(), pdf["copies"].to_numpy()
+        for g in done:
             centre = x[g].mean(axis=0)
-            radius = float(np.linalg.norm(x[g] - centre, axis=1).max())
-            out.append((pdf["label"].iloc[0], int(pdf["dim"].iloc[0]), int(pdf["slice"].iloc[0]), i, centre.astype("<f8").tobytes(), radius, pdf["class_id"].to_numpy()[g].tobytes(), np.stack([np.frombuffer(pdf["v"].iloc[j], "<f8") for j in g]).tobytes()))
-        return pd.DataFrame(out, columns=["label", "dim", "slice", "cell", "centre", "radius", "ids", "vs"])
+            small = [a.tobytes() for a in quantised(x[g])]
+            out.append((pdf["label"].iloc[0], int(pdf["dim"].iloc[0]), centre.astype("<f8").tobytes(), float(np.linalg.norm(x[g] - centre, axis=1).max()), *small, ids[g].tobytes(), copies[g].tobytes(), stored[g].tobytes()))
+        return pd.DataFrame(out, columns=["label", "dim", "centre", "radius", "q", "scales", "errors", "ids", "copies", "vs"])
 
-    kind = "label string, dim int, slice long, cell int, centre binary, radius double, ids binary, vs binary"
-    tiles = written(dealt.groupBy("label", "dim", "slice").applyInPandas(cells, kind).withColumn("tile", F.monotonically_increasing_id()), "tiles")
+    kind = "label string, dim int, centre binary, radius double, q binary, scales binary, errors binary, ids binary, copies binary, vs binary"
+    return dealt.groupBy("label", "dim", "slice").applyInPandas(split, kind).withColumn("tile", F.monotonically_increasing_id())
+
+
+def _partners(tiles: DataFrame, threshold: float) -> DataFrame:
+    """(class_id, partners, root): for each pair of tiles the classes with links in it, how many vectors they link with there, and the smallest class they lead to."""
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK  # the largest distance of two linked unit vectors
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -123,41 +140,66 @@ def _pairs(classes: DataFrame, threshold: float, tile: int, pivots: int) -> Data
                 apart = [np.linalg.norm(np.frombuffer(a) - np.frombuffer(b)) - r - s for a, b, r, s in zip(pdf["centre"], pdf["centre_b"], pdf["radius"], pdf["radius_b"], strict=True)]
                 yield pdf[np.array(apart) <= reach][["tile", "tile_b"]]
 
-    heads = tiles.select("label", "dim", "tile", "centre", "radius")
-    others = heads.select("label", "dim", F.col("tile").alias("tile_b"), F.col("centre").alias("centre_b"), F.col("radius").alias("radius_b"))
-    meet = heads.join(others, ["label", "dim"]).filter("tile <= tile_b").mapInPandas(near, "tile long, tile_b long")
-    right = tiles.select(F.col("tile").alias("tile_b"), F.col("ids").alias("ids_b"), F.col("vs").alias("vs_b"))
-    met = meet.join(tiles.select("tile", "dim", "ids", "vs"), "tile").join(right, "tile_b")
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of tiles with the places of the pairs that may reach the threshold, by the small integers."""
         for pdf in batches:
+            rows = []
             for row in pdf.itertuples():
-                x, y = (np.frombuffer(v, "<f8").reshape(-1, row.dim) for v in (row.vs, row.vs_b))
-                i, j = (np.frombuffer(v, "<i8") for v in (row.ids, row.ids_b))
-                unit = [quantised(m / np.linalg.norm(m, axis=1, keepdims=True)) for m in (x, y)]
-                at = possible(*unit, threshold)
+                x, y = ((np.frombuffer(q, np.int8).reshape(-1, row.dim), np.frombuffer(s), np.frombuffer(e)) for q, s, e in ((row.q, row.scales, row.errors), (row.q_b, row.scales_b, row.errors_b)))
+                at = possible(x, y, threshold)
                 if row.tile == row.tile_b:
                     at = at[at[:, 0] < at[:, 1]]
-                cos = cosines(x[at[:, 0]], y[at[:, 1]])
-                at, cos = at[cos >= threshold], cos[cos >= threshold]
-                a, b = i[at[:, 0]], j[at[:, 1]]
-                yield pd.DataFrame({"class_a": np.minimum(a, b), "class_b": np.maximum(a, b), "cosine": cos})
+                if len(at):
+                    rows.append((row.tile, row.tile_b, at.astype("<i4").tobytes()))
+            yield pd.DataFrame(rows, columns=["tile", "tile_b", "places"])
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples():
+                x, y = (np.frombuffer(v, "<f8").reshape(-1, row.dim) for v in (row.vs, row.vs_b))
+                (i, n), (j, m) = ((np.frombuffer(a, "<i8"), np.frombuffer(c, "<i8")) for a, c in ((row.ids, row.copies), (row.ids_b, row.copies_b)))
+                at = np.frombuffer(row.places, "<i4").reshape(-1, 2)
+                at = at[cosines(x[at[:, 0]], y[at[:, 1]]) >= threshold]
+                forest = Forest()
+                for a, b in at.tolist():
+                    forest.join(int(i[a]), int(j[b]))
+                ends = np.concatenate([i[at[:, 0]], j[at[:, 1]]])
+                names, place = np.unique(ends, return_inverse=True)
+                count = np.bincount(place, np.concatenate([m[at[:, 1]], n[at[:, 0]]]), len(names)).astype(np.int64)
+                rows += [(name, c, forest.find(name)) for name, c in zip(names.tolist(), count.tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["class_id", "partners", "root"])
+
+    def second(columns: list[str]) -> DataFrame:
+        return tiles.select(F.col("tile").alias("tile_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
 
-    return met.mapInPandas(multiply, "class_a long, class_b long, cosine double")
+    heads = tiles.select("label", "dim", "tile", "centre", "radius")
+    others = heads.select("label", "dim", F.col("tile").alias("tile_b"), F.col("centre").alias("centre_b"), F.col("radius").alias("radius_b"))
+    meet = heads.join(others, ["label", "dim"]).filter("tile <= tile_b").mapInPandas(near, "tile long, tile_b long")
+    small, whole = ["q", "scales", "errors"], ["ids", "copies", "vs"]
+    met = meet.join(tiles.select("tile", "dim", *small), "tile").join(second(small), "tile_b")
+    screened = written(met.mapInPandas(screen, "tile long, tile_b long, places binary"), "screened")
+    again = screened.join(tiles.select("tile", "dim", *whole), "tile").join(second(whole), "tile_b")
+    found = written(again.mapInPandas(exact, "class_id long, partners long, root long"), "partners")
+    discard(screened)
+    return found
 
 
-def dedup(vectors: DataFrame, *, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", **how) -> DataFrame:
+def dedup(vectors: DataFrame, *, threshold: float = 0.98, tile: int = 1024, cells: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of `vectors`: vec_id, n_links (other rows linked directly), component_id, kept (vec_id = component_id).
 
-    A row that can't link has no links and is its own component; with a null id its component is null and kept is false.
+    A row that can't link has no links and is its own component; with a null id its component is null and kept is false. Repeated rows
+    link with each other. An empty table gives no rows; other columns aren't read. `cells` bounds the tiles of a slice of `tile` vectors.
     """
-    members, pairs = links(vectors, threshold=threshold, id_col=id_col, vector_col=vector_col, label_col=label_col, **how)
-    members, pairs = written(members, "members"), written(pairs, "pairs")
+    members, found = classes(vectors, id_col=id_col, vector_col=vector_col, label_col=label_col)
+    tiles = written(_tiles(found, tile, cells), "tiles")
+    links = _partners(tiles, threshold)
+    discard(tiles)
+    discard(found)
     copies = members.groupBy("class_id").count()
-    both = pairs.select("class_a", "class_b").unionByName(pairs.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
-    partners = both.join(copies.withColumnRenamed("class_id", "class_b"), "class_b").groupBy("class_a").agg(F.sum("count").alias("partners"))
-    found = components(pairs, "class_a", "class_b")
-    per_class = copies.join(partners.withColumnRenamed("class_a", "class_id"), "class_id", "left").join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
+    partners = links.groupBy("class_id").agg(F.sum("partners").alias("partners"))
+    reached = components(links, "class_id", "root")
+    per_class = copies.join(partners, "class_id", "left").join(reached.withColumnRenamed("id", "class_id"), "class_id", "left")
     per_class = per_class.select("class_id", (F.col("count") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
     linked = members.join(per_class, "class_id").select("vec_id", "n_links", "component_id").distinct()
     ids = vectors.select(vectors[id_col].cast("long").alias("vec_id"))
