@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names (seen by the driver and all executors); where none is named, as in tests, a new one."""
+    """The checkpoint folder that the cluster names (seen by the driver and all executors); where none is named, as in local tests, a new one."""
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found

@@ -307,7 +307,15 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = _stored(coded(docs, train, id_col, text_col), buckets)
-    blocks = spark.table(stored)
+    try:
+        out, total = _scored(docs, train, spark.table(stored), buckets)
+    finally:
+        spark.sql(f"DROP TABLE {stored}")
+    return out.withColumn("train_tokens", F.lit(total).cast("long"))
+
+
+def _scored(docs: DataFrame, train: Column, blocks: DataFrame, buckets: int) -> tuple[DataFrame, int]:
+    """(scores of all documents, written; number of training tokens) from the stored blocks."""
     words = written(_words(blocks, buckets), "unigrams")
     unigrams = Unigrams(*_sum(words.filter("kind = 1").select("a").collect()))  # a row per partition
     begun = docs.filter(F.coalesce(train, F.lit(False))).count()
@@ -351,5 +359,4 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
 
     answers = word_answers.unionByName(pairs.filter("kind in (3, 4)"))
     out = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORES), "scores")
-    spark.sql(f"DROP TABLE {stored}")
-    return out.withColumn("train_tokens", F.lit(total).cast("long"))
+    return out, total
