@@ -152,7 +152,10 @@ def train(docs: DataFrame, *, max_docs: int = 3000, id_col: str = "doc_id", text
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: lang_pred and its calibrated probability; `und` and 0 where the text is null or has no letter. Other columns aren't read."""
+    """One row per document: lang_pred and its calibrated probability; `und` and 0 where the text is null or has no letter. Other columns aren't read.
+
+    Repeated rows, and rows with the same id or none, each have a row; an empty table gives none.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS rows of a number per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

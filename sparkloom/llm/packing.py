@@ -25,7 +25,7 @@ class BestFit:
     def __init__(self, capacity: int, open_bins: int, first: int = 0):
         self.capacity, self.open_bins, self.next = capacity, open_bins, first
         self.free = 0  # bit f: an open bin has f free
-        self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # by free space, the oldest first
+        self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # by free space; of equally free ones the last is taken
         self.opened = 0
 
     def _take(self, f: int) -> int:

@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = 3000, chunks_pe
 def score(docs: DataFrame, network: Network, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` and each whole text's probability of label 1 as a last column; a null text counts as an empty one.
 
-    `score_col` must not be a column of `docs`.
+    Repeated rows each have a row of their own, an empty table gives none. `score_col` must not be a column of `docs`.
     """
     if score_col in docs.columns:
         raise ValueError(f"{score_col} is a column already")

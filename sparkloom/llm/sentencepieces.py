@@ -128,7 +128,10 @@ def agenda(model: str) -> Agenda:
 
 
 def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its ids with begin and end id. A null or empty text has those two alone. Other columns aren't read."""
+    """One row per document: its ids with begin and end id. A null or empty text has those two alone. Other columns aren't read.
+
+    Repeated rows, and rows with the same id or none, each have a row; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = agenda(model)
