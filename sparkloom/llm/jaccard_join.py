@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import recurring
@@ -118,8 +118,8 @@ def shared_counts(docs: DataFrame, n: int, percent: int, text_col: str) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found)], names=["d1", "found"])
 
     packed = docs.select(docs[text_col].alias("text")).mapInArrow(emit, recurring.BLOCK)
-    counted = packed.repartition(buckets, "bucket").mapInArrow(count, recurring.SUMS)
-    return counted.repartition(buckets, "bucket").mapInArrow(add, "d1 long, found long")
+    counted = recurring.dealt(packed, buckets).mapInArrow(count, recurring.SUMS)
+    return recurring.dealt(counted, buckets).mapInArrow(add, "d1 long, found long")
 
 
 def candidate_sets(docs: DataFrame, known: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -143,22 +143,59 @@ def candidate_sets(docs: DataFrame, known: DataFrame, n: int, percent: int, id_c
     return sets.dropDuplicates(["d1", "d2"]).select(F.monotonically_increasing_id().alias("rid"), "d1", "d2", "n", "shingles", "minima")
 
 
+def fronts(sets: DataFrame, percent: int) -> DataFrame:
+    """(rid, found, held, front) of the sets (rid, shingles): how many elements another set has too, the sum of their frequencies,
+    and the rarest of them, as many as the prefix of a set of no more than these would hold.
+
+    Elements travel in packed blocks to be counted, and back to their sets. An element is named by bucket and forty bits; elements that share a name
+    count as one here, which adds entries to the index and loses none.
+    """
+    buckets = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, shingles = batch.column(0).to_numpy(), batch.column(1)
+            bounds = shingles.offsets.to_numpy()
+            values = mixed(shingles.values.to_numpy().view(_U), 5)
+            a = 0
+            while a < len(names):
+                b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 2_000_000, "right")) - 1)
+                yield recurring.packed(names[a:b], np.split(values[bounds[a] : bounds[b]], bounds[a + 1 : b] - bounds[a]), buckets)
+                a = b
+        give_back()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        several = ((names[often > 1], np.stack([items, often], axis=1)[often > 1]) for names, items, often in recurring.frequencies(batches))
+        yield from recurring.sums(several, buckets)
+        give_back()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, items, often in recurring.ranked(batches):
+            if not len(names):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+            found = np.diff([*first, len(names)])
+            reach = found + 1 + -percent * found // 100
+            kept = np.arange(len(names)) - np.repeat(first, found) < np.repeat(reach, found)
+            ends = pa.array(np.concatenate([[0], np.cumsum(reach)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(names[first]), pa.array(found), pa.array(np.add.reduceat(often, first)), pa.ListArray.from_arrays(ends, pa.array(items[kept]))], names=["rid", "found", "held", "front"])
+        give_back()
+
+    counted = recurring.dealt(sets.select("rid", "shingles").mapInArrow(emit, recurring.BLOCK), buckets).mapInArrow(count, recurring.SUMS)
+    return recurring.dealt(counted, buckets).mapInArrow(gather, "rid long, found long, held long, front array<long>")
+
+
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of rids: links that connect all that any links connect."""
     least = F.ceil(percent * F.col("n") / 100)
-    exploded = sets.select("rid", "n", F.explode("shingles").alias("h"))
-    df = exploded.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = written(exploded.join(df, "h"), "postings")
-    enough = shared.groupBy("rid", "n").agg(F.count("*").alias("found"), F.sum("df").alias("held")).filter(F.col("found") >= least)
-    enough = written(enough, "enough")
-    shared_by = shared.join(enough.select("rid", "found"), "rid")
-    # shingles that are in one set only would come first, so the others' places begin behind them
-    place = F.row_number().over(Window.partitionBy("rid").orderBy("df", "h")) + F.col("n") - F.col("found")
-    index = shared_by.withColumn("place", place).filter(F.col("place") <= F.col("n") - least + 1)
-    index = written(index.select("rid", "n", "h", (F.col("n") - F.col("place")).alias("behind")), "index")
-    discard(shared)
-
-    asked = sets.join(enough.select("rid", (F.col("held") / F.col("n")).alias("score")), "rid")
+    enough = fronts(sets, percent).join(sets.select("rid", "n"), "rid").filter(F.col("found") >= least)
+    reach = (F.col("found") - least + 1).cast("int")
+    enough = written(enough.select("rid", "n", "found", (F.col("held") / F.col("n")).alias("score"), F.slice("front", 1, reach).alias("front")), "fronts")
+    # elements that are in one set only would come first, so the others' places begin behind them
+    places = enough.select("rid", "n", "found", F.posexplode("front").alias("pos", "h"))
+    index = places.select("rid", "n", "h", (F.col("found") - F.col("pos") - 1).alias("behind"))
+
+    asked = sets.join(enough.select("rid", "score"), "rid")
     routes = asked.select("rid", "score", F.posexplode("minima").alias("round", "token"))
     return links(sets, written(routes, "routes"), index, percent)
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 BLOCK = "bucket int, names binary, counts binary, items binary"
 _MASK = np.uint64((1 << 40) - 1)
@@ -45,8 +46,8 @@ def short_items(h: np.ndarray, buckets: int) -> np.ndarray:
     return (bucket_of(h, buckets) << 40) | (h & _MASK).astype(np.int64)
 
 
-def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """From the blocks of whole buckets, for each bucket: names and counts of the lists, all items, and which of them another name has too."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From the blocks of whole buckets, for each bucket: names and counts of the lists, and all items."""
     parts: dict[int, list] = {}
     for batch in batches:
         for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -58,7 +59,12 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         raw = np.frombuffer(b"".join(x for _, _, x in rows), np.uint8).reshape(-1, 5)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :5] = raw
-        items = wide.view("<u8").ravel().astype(np.int64) | (bucket << 40)
+        yield names, counts, wide.view("<u8").ravel().astype(np.int64) | (bucket << 40)
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From the blocks of whole buckets, for each bucket: names and counts of the lists, all items, and which of them another name has too."""
+    for names, counts, items in _buckets(batches):
         owner = np.repeat(names, counts)
         order = np.argsort(items, kind="stable")
         ordered, owners = items[order], owner[order]
@@ -69,8 +75,19 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         yield names, counts, items, found
 
 
+def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same of lists without repetitions and with names of their own: an item's name, the item, and how many lists have it."""
+    for names, counts, items in _buckets(batches):
+        order = np.argsort(items, kind="stable")
+        first = np.concatenate([[0], np.flatnonzero(np.diff(items[order])) + 1])
+        count = np.diff([*first, len(items)])
+        often = np.empty(len(items), np.int64)
+        often[order] = np.repeat(count, count)
+        yield np.repeat(names, counts), items, often
+
+
 def sums(named: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Numbers by name, packed for the partition that adds up a name's numbers: a row for each such partition, not for each name."""
+    """Numbers (or rows of them) by name, packed for the partition that adds up a name's numbers: a row for each such partition, not for each name."""
     for names, numbers in named:
         to = (names.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
@@ -83,6 +100,11 @@ def sums(named: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterat
 SUMS = "bucket int, names binary, numbers binary"
 
 
+def dealt(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Each bucket of blocks or sums in a partition of its own."""
+    return blocks.repartitionById(buckets, "bucket")
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     parts: dict[int, list] = {}
     for batch in batches:
@@ -102,6 +124,14 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield names, total
 
 
+def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From the rows of `sums` for whole buckets, with an item and its frequency as numbers: names, items and frequencies, ordered by name, frequency and item."""
+    for names, numbers in _gathered(batches):
+        items, often = numbers.reshape(-1, 2).T
+        order = np.lexsort((items, often, names))
+        yield names[order], items[order], often[order]
+
+
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """From the rows of `sums` for whole buckets: names and numbers, ordered by name."""
     for names, numbers in _gathered(batches):

@@ -187,8 +187,8 @@ def shared_bands(docs: DataFrame, least_words: int, spread: int, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(names[first]), pa.ListArray.from_arrays(pa.array([*first, len(names)], pa.int32()), pa.array(items))], names=["key", "keys"])
 
     blocks = _rows(docs, id_col, text_col).select("key", "text").mapInArrow(emit, recurring.BLOCK)
-    found = blocks.repartition(buckets, "bucket").mapInArrow(find, recurring.SUMS)
-    return found.repartition(buckets, "bucket").mapInArrow(gather, "key long, keys array<long>")
+    found = recurring.dealt(blocks, buckets).mapInArrow(find, recurring.SUMS)
+    return recurring.dealt(found, buckets).mapInArrow(gather, "key long, keys array<long>")
 
 
 def paragraphs(docs: DataFrame, least_words: int, spread: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
