@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import embedding_dedup, jaccard_join, katz, language_id, packing, quality_classifier, quality_rules, sentencepieces, substring_dedup, token_files
+from sparkloom.llm import centroids, decomposition, embedding_dedup, importance, jaccard_join, katz, language_id, packing, quality_classifier, quality_rules, sentencepieces, substring_dedup, token_files
 from sparkloom.llm.common import remainder, shared_path
 from sparkloom.sources.tables import table
 
@@ -19,6 +19,25 @@ def query(f):
     return f
 
 
+def _lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds over all vectors, a common table each; distance and centroid in one number, so that the smallest decides ties too."""
+    parts = [
+        """kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS c, q FROM kept QUALIFY c < {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, v.q, min({k} * list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - w.q[i]) * (v.q[i] - w.q[i])))::BIGINT + c) AS m
+        FROM kept v CROSS JOIN c{r} w GROUP BY ALL)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.q, o.q) AS q FROM c{r} o LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q
+            FROM (SELECT m % {k} AS c, i, sum(q[i]) AS s, count(*) AS n FROM a{r} CROSS JOIN range(1, 65) t(i) GROUP BY ALL) GROUP BY c) n USING (c))""")
+    return f"""WITH {", ".join(parts)}
+    SELECT vec_id, CAST(m % {k} AS INTEGER) AS cluster, m // {k} AS distance, CAST(sum(m // {k}) OVER (PARTITION BY m % {k}) AS BIGINT) AS cluster_inertia,
+      CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w.q, ',')) AS centroid_sha256
+    FROM a{rounds} v JOIN c{rounds} w ON w.c = m % {k}"""
+
+
 @query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -84,6 +103,26 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op11_binary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = decomposition.decompose(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_centroids"] = _lloyd_sql()
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
