@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import hashing as H
 from sparkloom.functions import text as T
 from sparkloom.operators import entities as E
+from sparkloom.operators import pages as P
+from sparkloom.operators import references as R
 from sparkloom.operators import splitting as S
 from sparkloom.plans.registry import query
 from sparkloom.sources.tables import table
@@ -59,3 +61,32 @@ def question_expanded(spark, sf_dir):
     asked = parts.select(F.col("p_partkey").alias("query"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
     words = parts.groupBy(F.lower("p_type").alias("term")).agg(F.array_sort(F.collect_set(F.split("p_name", " ")[0])).alias("synonyms"))
     return E.expanded(asked, words)
+
+
+@query("chat_resolved")
+def chat_resolved(spark, sf_dir):
+    rows = R.resolved(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return rows.select("conv_id", "turn", F.md5("text").alias("said"), F.md5("resolved").alias("resolved"))
+
+
+@query("chat_questions")
+def chat_questions(spark, sf_dir):
+    """What users ask, with the entities of the ten turns before for pronouns."""
+    rows = R.resolved_questions(table(spark, sf_dir, "conversations"), F.col("role") == "user", "conv_id", "turn", "text")
+    return rows.select("conv_id", "turn", F.md5("text").alias("said"), F.md5("resolved").alias("resolved"))
+
+
+@query("text_context")
+def text_context(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(R.with_context("text")).alias("context"), F.md5(R.without_demonstratives("text")).alias("nouns"))
+
+
+@query("page_tables")
+def page_tables(spark, sf_dir):
+    """A source's documents are its pages."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    whole = P.with_whole_tables(docs, "source", "doc_id", "text", F.floor(F.col("doc_id") / 4096))
+    both = P.with_joined_tables(whole, "source", "doc_id", "text", F.floor(F.col("doc_id") / 4096))
+    kinds = {"starts": P.starts_table("text"), "continues": P.continues_table("text"), "open": P.leaves_table_off("text"), "head": P.has_head("text")}
+    return both.select("source", "doc_id", "pages", F.md5("text").alias("digest"), *[c.alias(n) for n, c in kinds.items()])
