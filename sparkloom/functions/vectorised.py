@@ -60,15 +60,12 @@ def own_patterns(terms: Sequence[str] = (), expressions: Sequence[str] = ()) ->
     return [("CUSTOM", f"(?iu){p}") for p in (*escaped, *expressions)]
 
 
-def redact(c: str | Column, terms: Sequence[str] = (), expressions: Sequence[str] = ()) -> Column:
-    """Confidential parts as <KIND_n>, kind by kind; equal parts of a text have the same number, in any case where spelling doesn't count.
+def _state(out: Column, kinds: list[str], found: Callable[[str], Column]) -> Column:
+    return F.struct(out.alias("out"), *[found(k).alias(k) for k in kinds])
 
-    Each pattern splits the text once; its matches are numbered by their first place among all of their kind.
-    """
-    steps = [*CONFIDENTIAL, *own_patterns(terms, expressions)]
-    kinds = list(dict.fromkeys(kind for kind, _ in steps))
-    none = F.array().cast("array<string>")
-    state = F.struct(text(c).alias("out"), *[none.alias(k) for k in kinds])
+
+def _redacted(state: Column, steps: list[tuple[str, str]], kinds: list[str]) -> Column:
+    """A text and what was found of each kind so far, after all steps; each pattern splits the text once."""
 
     def step(kind: str, pattern: str) -> Callable[[Column], Column]:
         p = f"(?U){pattern}"
@@ -81,7 +78,7 @@ def redact(c: str | Column, terms: Sequence[str] = (), expressions: Sequence[str
             def put(f: Column) -> Column:
                 marks = F.transform(f["names"], lambda x: F.concat(F.lit(f"<{kind}_"), F.array_position(f["all"], x).cast("string"), F.lit(">")))
                 joined = F.array_join(F.zip_with(f["pieces"], marks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-                return F.struct(joined.alias("out"), *[(f["all"] if k == kind else s[k]).alias(k) for k in kinds])
+                return _state(joined, kinds, lambda k: f["all"] if k == kind else s[k])
 
             return F.when(F.size(names) > 0, _let(found, put)).otherwise(s)
 
@@ -89,7 +86,36 @@ def redact(c: str | Column, terms: Sequence[str] = (), expressions: Sequence[str
 
     for kind, pattern in steps:
         state = _let(state, step(kind, pattern))
-    return state["out"]
+    return state
+
+
+def _steps(terms: Sequence[str], expressions: Sequence[str]) -> tuple[list[tuple[str, str]], list[str]]:
+    steps = [*CONFIDENTIAL, *own_patterns(terms, expressions)]
+    return steps, list(dict.fromkeys(kind for kind, _ in steps))
+
+
+def redact(c: str | Column, terms: Sequence[str] = (), expressions: Sequence[str] = ()) -> Column:
+    """Confidential parts as <KIND_n>, kind by kind; equal parts of a text have the same number, in any case where spelling doesn't count.
+
+    Each pattern splits the text once; its matches are numbered by their first place among all of their kind.
+    """
+    steps, kinds = _steps(terms, expressions)
+    none = F.array().cast("array<string>")
+    return _redacted(_state(text(c), kinds, lambda _: none), steps, kinds)["out"]
+
+
+def redact_all(texts: Column, terms: Sequence[str] = (), expressions: Sequence[str] = ()) -> Column:
+    """A list of texts redacted one after the other with numbers that they share."""
+    steps, kinds = _steps(terms, expressions)
+    none = F.array().cast("array<string>")
+    kind = "struct<done:array<string>," + ",".join(f"{k}:array<string>" for k in kinds) + ">"
+
+    def step(s: Column, x: Column) -> Column:
+        after = _redacted(_state(text(x), kinds, lambda k: s[k]), steps, kinds)
+        return _let(after, lambda r: F.struct(F.concat(s["done"], F.array(r["out"])).alias("done"), *[r[k].alias(k) for k in kinds])).cast(kind)
+
+    start = F.struct(none.alias("done"), *[none.alias(k) for k in kinds]).cast(kind)
+    return F.aggregate(texts, start, step, lambda s: s["done"])
 
 
 def embed(c: str | Column, dimensions: int = 384) -> Column:

@@ -30,6 +30,14 @@ def stream_throttle(spark, sf_dir):
     return L.decided(_timed(spark, sf_dir).filter("not ok"), "user_id", ["t", "event_id"], lambda: L.Throttle(24 * 3600), "sent boolean").select("event_id", "sent")
 
 
+@query("stream_single_flight")
+def stream_single_flight(spark, sf_dir):
+    """A user's requests, one at a time until a purchase completes it or six hours have gone."""
+    rows = table(spark, sf_dir, "events")
+    timed = rows.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), (F.col("event_type") == "purchase").alias("done"))
+    return L.decided(timed, "user_id", ["t", "event_id"], lambda: L.InFlight(6 * 3600), "outcome string").select("event_id", "outcome")
+
+
 @query("stream_hash_chain")
 def stream_hash_chain(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("|", "role", "text").alias("content"))

@@ -90,6 +90,34 @@ class Throttle:
         self.last = json.loads(data)
 
 
+class InFlight:
+    """One request of a key at a time: granted unless one is open, until its completion or for `seconds`; a refused one doesn't count.
+
+    `outcome` is granted or refused for a request, closed or idle for a completion (`done`) with or without an open request.
+    """
+
+    def __init__(self, seconds: float = 600.0):
+        self.seconds, self.since = seconds, None
+
+    def step(self, row: dict) -> dict:
+        now = row["t"]
+        if self.since is not None and now - self.since > self.seconds:
+            self.since = None
+        before = self.since
+        if row["done"]:
+            self.since = None
+            return {"outcome": "idle" if before is None else "closed"}
+        if before is None:
+            self.since = now
+        return {"outcome": "granted" if before is None else "refused"}
+
+    def save(self) -> str:
+        return json.dumps(self.since)
+
+    def load(self, data: str) -> None:
+        self.since = json.loads(data)
+
+
 class HashChain:
     """Each row's digest is keyed over its content and the digest before it."""
 
