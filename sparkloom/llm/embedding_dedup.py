@@ -57,40 +57,46 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _stored(column: pa.Array) -> list[bytes | None]:
-    """Lists of numbers as little-endian doubles; None for those that are null, zero or hold null or non-finite components."""
+    """Lists of numbers as little-endian doubles, each scaled by a power of two so that its largest component lies between 0.5 and 1 (no
+    cosine changes by that); None for those that are null, zero or hold null or non-finite components."""
     lengths = column.value_lengths().fill_null(0).to_numpy()
     flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).astype("<f8", copy=False)
     ends = np.cumsum(lengths)
     starts = ends - lengths
     fine = lengths > 0
     if fine.any():
-        with np.errstate(over="ignore", invalid="ignore"):
-            squares = np.add.reduceat(flat * flat, starts[fine])  # not finite where a component isn't
-        fine[fine] = np.isfinite(squares) & (squares > 0)
+        top = np.maximum.reduceat(np.abs(flat), starts[fine])  # not finite where a component isn't
+        fine[fine] = np.isfinite(top) & (top > 0)
+        scale = np.zeros(len(lengths), np.int64)
+        scale[lengths > 0] = np.frexp(np.where(np.isfinite(top), top, 0))[1]
+        flat = np.ldexp(flat, -np.repeat(scale, lengths)) + 0.0  # and -0.0 is 0.0
     data = flat.tobytes()
     return [data[8 * a : 8 * b] if ok else None for a, b, ok in zip(starts, ends, fine, strict=True)]
 
 
-def classes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
-    """(members, classes): members has vec_id and class_id (the smallest vec_id with that vector and label) of every row that can link.
+def classes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, alone): a class is one vector (up to a power of two) of one label, with a name of its own.
 
-    Rows without id or label link with nothing, nor do vectors that are null, zero or hold null or non-finite components. Rows with
-    the same id are kept as they are. Vectors of unlike length are never compared.
+    members has vec_id and class_id of every row that can link, classes the class's vector, smallest vec_id and number of rows, alone
+    the vec_id of rows that link with nothing: those without id or label, and vectors that are null, zero or hold null or non-finite
+    components. Rows with the same id are rows of their own, in one class or in several. Vectors of unlike length are never compared.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_stored(batch.column(2)), pa.binary())], names=["vec_id", "label", "v"])
 
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].alias("v"))
-    rows = rows.filter("vec_id is not null and label is not null and v is not null").mapInArrow(packed, "vec_id long, label string, v binary").filter("v is not null")
-    # -0.0 and 0.0 differ in their bytes, so they are two classes, which the products link
+    named = [vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("string").alias("label")]
+    able = vectors[id_col].isNotNull() & vectors[label_col].isNotNull()
+    rows = vectors.select(*named, F.when(able, vectors[vector_col]).alias("v")).mapInArrow(packed, "vec_id long, label string, v binary")
     rows = written(rows.withColumn("hash", F.sha2("v", 256)), "vectors")
-    found = rows.groupBy("label", "hash").agg(F.min("vec_id").alias("class_id"), F.first("v").alias("v"), F.count("*").alias("copies"))
-    found = written(found, "classes")
-    members = written(rows.join(found.select("label", "hash", "class_id"), ["label", "hash"]).select("vec_id", "class_id"), "members")
+    there = rows.filter("hash is not null")
+    found = there.groupBy("label", "hash").agg(F.min("vec_id").alias("first_id"), F.first("v").alias("v"), F.count("*").alias("copies"))
+    found = written(found.withColumn("class_id", F.monotonically_increasing_id()), "classes")  # a number, fixed by being written
+    members = written(there.join(found.select("label", "hash", "class_id"), ["label", "hash"]).select("vec_id", "class_id"), "members")
+    alone = written(rows.filter("hash is null").select("vec_id"), "alone")
     discard(rows)
-    return members, found
+    return members, found, alone
 
 
 def _tiles(rows: DataFrame, tile: int, cells: int) -> DataFrame:
@@ -191,17 +197,15 @@ def dedup(vectors: DataFrame, *, threshold: float = 0.98, tile: int = 1024, cell
     A row that can't link has no links and is its own component; with a null id its component is null and kept is false. Repeated rows
     link with each other. An empty table gives no rows; other columns aren't read. `cells` bounds the tiles of a slice of `tile` vectors.
     """
-    members, found = classes(vectors, id_col=id_col, vector_col=vector_col, label_col=label_col)
+    members, found, alone = classes(vectors, id_col=id_col, vector_col=vector_col, label_col=label_col)
     tiles = written(_tiles(found, tile, cells), "tiles")
     links = _partners(tiles, threshold)
     discard(tiles)
-    discard(found)
-    copies = members.groupBy("class_id").count()
     partners = links.groupBy("class_id").agg(F.sum("partners").alias("partners"))
-    reached = components(links, "class_id", "root")
-    per_class = copies.join(partners, "class_id", "left").join(reached.withColumnRenamed("id", "class_id"), "class_id", "left")
-    per_class = per_class.select("class_id", (F.col("count") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
-    linked = members.join(per_class, "class_id").select("vec_id", "n_links", "component_id").distinct()
-    ids = vectors.select(vectors[id_col].cast("long").alias("vec_id"))
-    out = ids.join(linked, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    reached = components(links, "class_id", "root").toDF("class_id", "root")
+    per_class = found.select("class_id", "first_id", "copies").join(partners, "class_id", "left").join(reached, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    least = per_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    per_class = per_class.join(least, "root").select("class_id", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), "component_id")
+    linked = members.join(per_class, "class_id").select("vec_id", "n_links", "component_id")
+    out = linked.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
