@@ -10,7 +10,6 @@ Arrow batches: an n-gram's place in the table is a hash of three code points, so
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,6 @@ from sparkloom.llm.tokens import slices
 BITS = 17
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -76,7 +74,7 @@ class Model:
         return self.bias + total / n[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        at = [i for i, t in enumerate(texts) if t and self.labels and _LETTER.search(t)]
+        at = [i for i, t in enumerate(texts) if t and self.labels and any(map(str.isalpha, t))]
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if at:
             p = _softmax(self.odds([texts[i] for i in at]) / self.temperature)
