@@ -5,8 +5,8 @@ filters slide over a chunk and the strongest response of each filter is kept. A
 chunks' responses, which a small dense layer combines into one probability. Training is plain back-propagation with Adam:
 only the place of each maximum has a gradient, so it is cheap.
 
-The network is fitted on the driver on a bounded sample of labelled documents (`max_docs`, of each at most
-`chunks_per_doc` chunks, evenly spread over the whole text). Scoring reads all chunks of all documents.
+The network is fitted on the driver on a bounded sample of labelled rows (`max_docs` of `max_bytes` together), of which all chunks are
+learned from. Scoring reads all chunks of all documents.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkloom.llm.common import discard, written
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, DEPTH, FILTERS, HIDDEN = 8, 4, 8, 32, 16
@@ -45,10 +48,14 @@ class Network:
         x = self.p["bytes"][chunks].reshape(len(chunks), CHUNK // STRIDE, STRIDE * DEPTH)
         return np.concatenate([x[:, :-1], x[:, 1:]], axis=2)
 
-    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-        """The strongest response of each filter in each chunk, and its place."""
-        out = self.windows(chunks) @ self.p["filters"]
-        return np.maximum(out.max(axis=1) + self.p["bias"], 0), out
+    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strongest response of each filter in each chunk, and its place; a block of chunks at a time."""
+        best, places = [], []
+        for a in range(0, len(chunks), _AT_ONCE):
+            out = self.windows(chunks[a : a + _AT_ONCE]) @ self.p["filters"]
+            best.append(np.maximum(out.max(axis=1) + self.p["bias"], 0))
+            places.append(out.argmax(axis=1))
+        return np.concatenate(best), np.concatenate(places)
 
     def combine(self, pool: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of each document, whose chunks begin at `starts`, and what back-propagation needs."""
@@ -62,14 +69,13 @@ class Network:
         """Scores of whole texts; a long text's chunks go through the filters in blocks."""
         parts = [chunked(t) for t in texts]
         starts = np.cumsum([0, *map(len, parts)])[:-1]
-        pool = np.concatenate([self.pooled(p[a : a + _AT_ONCE])[0] for p in _blocks(parts) for a in range(0, len(p), _AT_ONCE)])
+        pool = np.concatenate([self.pooled(p)[0] for p in _blocks(parts)])
         return self.combine(pool, starts)[0]
 
     def gradient(self, docs: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
         chunks, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
         starts = np.cumsum([0, *sizes])[:-1]
-        pool, out = self.pooled(chunks)
-        at = out.argmax(axis=1)
+        pool, at = self.pooled(chunks)
         score, both, hidden = self.combine(pool, starts)
         d = ((score - labels) / len(docs)).astype(np.float32)
         g = {"out": hidden.T @ d, "out_bias": d.sum(keepdims=True)}
@@ -82,11 +88,14 @@ class Network:
         d_pool = d_both[doc, :FILTERS] / sizes[doc, None] + np.where(first_max, d_both[doc, FILTERS:] / ties[doc], 0)
         d_pool = (d_pool * (pool > 0)).astype(np.float32)
         g["bias"] = d_pool.sum(0)
-        place = at[:, :, None] * STRIDE + np.arange(WIDTH)  # chunk, filter, byte under the filter
-        under = chunks[np.arange(len(chunks))[:, None, None], place]
-        g["filters"] = np.einsum("cfk,cf->kf", self.p["bytes"][under].reshape(len(chunks), FILTERS, -1), d_pool)
-        d_bytes = d_pool[:, :, None, None] * self.p["filters"].T.reshape(1, FILTERS, WIDTH, DEPTH)
-        g["bytes"] = np.stack([np.bincount(under.ravel(), d_bytes[..., k].ravel(), 256) for k in range(DEPTH)], axis=1)
+        g |= {"filters": np.zeros_like(self.p["filters"]), "bytes": np.zeros_like(self.p["bytes"])}
+        for a in range(0, len(chunks), _AT_ONCE):
+            part, d_part = chunks[a : a + _AT_ONCE], d_pool[a : a + _AT_ONCE]
+            place = at[a : a + _AT_ONCE, :, None] * STRIDE + np.arange(WIDTH)  # chunk, filter, byte under the filter
+            under = part[np.arange(len(part))[:, None, None], place]
+            g["filters"] += np.einsum("cfk,cf->kf", self.p["bytes"][under].reshape(len(part), FILTERS, -1), d_part)
+            d_bytes = d_part[:, :, None, None] * self.p["filters"].T.reshape(1, FILTERS, WIDTH, DEPTH)
+            g["bytes"] += np.stack([np.bincount(under.ravel(), d_bytes[..., k].ravel(), 256) for k in range(DEPTH)], axis=1).astype(g["bytes"].dtype)
         return g
 
     @classmethod
@@ -129,24 +138,27 @@ def _blocks(parts: list[np.ndarray]) -> Iterator[np.ndarray]:
         yield np.concatenate(held) if len(held) > 1 else held[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = 3000, chunks_per_doc: int = 24, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
-    """Fit on at most `max_docs` labelled documents, the first in the order of a hash of the id. Rows without id or label are left out."""
+def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = 3000, max_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
+    """Fit on whole texts of at most `max_docs` labelled rows of `max_bytes` together, in the order of a hash of the id.
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                parts = chunked((text or "").encode())
-                rows = np.unique(np.linspace(0, len(parts) - 1, min(len(parts), chunks_per_doc)).round().astype(int))
-                out.append(parts[rows].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "chunks"])
-
-    chosen = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).dropna()
+    A row that would exceed the bytes is passed over, so one very long text keeps no others out. Rows without id or label are left
+    out; of texts that share an id the smallest counts, so what reaches the driver is bounded whatever the tables hold.
+    """
+    chosen = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).dropna().distinct()
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(max_docs)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(spread, "id long, label int, chunks binary").collect()  # at most max_docs
-    rows.sort(key=lambda r: (r["id"], r["label"], bytes(r["chunks"])))
-    return Network.fit([np.frombuffer(bytes(r["chunks"]), np.uint8).reshape(-1, CHUNK) for r in rows], [r["label"] for r in rows])
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = written(texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "labelled")  # at most max_docs
+    sizes = rows.select("id", "label", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "id", "label").collect()
+    held, taken = 0, []
+    for r in sizes:
+        if held + r.n <= max_bytes:
+            held += r.n
+            taken.append((r.id, r.label))
+    picked = docs.sparkSession.createDataFrame(taken, rows.select("id", "label").schema)
+    found = rows.join(F.broadcast(picked), ["id", "label"]).collect()  # at most max_bytes of text
+    discard(rows)
+    found.sort(key=lambda r: (r["id"], r["label"]))
+    return Network.fit([chunked(r["text"].encode()) for r in found], [r["label"] for r in found])
 
 
 def score(docs: DataFrame, network: Network, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -156,8 +168,13 @@ def score(docs: DataFrame, network: Network, *, text_col: str = "text", score_co
     """
     if score_col in docs.columns:
         raise ValueError(f"{score_col} is a column already")
+    rows = scored(docs, network, text_col=text_col)
+    return rows.select("row.*", F.col("score").alias(score_col))
+
+
+def scored(docs: DataFrame, network: Network, *, text_col: str = "text") -> DataFrame:
+    """(row, score): the rows of `docs`, whatever their columns are called, as a struct, and their scores."""
     held = docs.sparkSession.sparkContext.broadcast(network.p)  # 20 KB, whatever the input
-    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network()
@@ -165,9 +182,10 @@ def score(docs: DataFrame, network: Network, *, text_col: str = "text", score_co
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                texts = [(t or "").encode() for t in part.column(at).to_pylist()]
+                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 scores = np.concatenate([net.score(texts[i : i + 50]) for i in range(0, len(texts), 50)])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, score_col])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=["row", "score"])
 
-    schema = type(docs.schema)([*docs.schema.fields]).add(score_col, "double")
-    return docs.mapInArrow(run, schema)
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    schema = T.StructType([given.schema["row"], T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(run, schema)
