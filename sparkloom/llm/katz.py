@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import written
+from sparkloom.llm.common import remove, shared_path, written
 from sparkloom.llm.hashes import WordHash, mixed
 from sparkloom.llm.tokens import column_slices, give_back
 
@@ -108,10 +108,10 @@ def coded(docs: DataFrame, train: Column, id_col: str, text_col: str, characters
     return rows.mapInArrow(run, BLOCKS)
 
 
-def _stored(df: DataFrame, buckets: int) -> str:
-    """The name of a table bucketed by block in the warehouse: joins with answers leave it where it is."""
+def _stored(df: DataFrame, buckets: int, path: str) -> str:
+    """The name of a table in the shared folder, bucketed by block: joins with answers leave it where it is."""
     name = f"sparkloom_blocks_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "block").format("parquet").saveAsTable(name)
+    df.write.bucketBy(buckets, "block").format("parquet").option("path", path).saveAsTable(name)
     return name
 
 
@@ -306,11 +306,13 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = _stored(coded(docs, train, id_col, text_col), buckets)
+    path = shared_path(spark, "katz-blocks")
+    stored = _stored(coded(docs, train, id_col, text_col), buckets, path)
     try:
         out, total = _scored(docs, train, spark.table(stored), buckets)
     finally:
         spark.sql(f"DROP TABLE {stored}")
+        remove(spark, path)
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
