@@ -232,7 +232,10 @@ def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str =
     Documents without shingles stay, and so do rows without id. Of repeated rows (same id and text) one stays.
     """
     found = join(docs, n=n, percent=percent, id_col=id_col, text_col=text_col).filter("doc_id = component_id")
-    found = written(found.groupBy(F.col("doc_id").alias("_id"), F.col("of_text").alias("_of_text")).agg(F.count("*").alias("_copies")), "joined")
-    same = (docs[id_col].cast("long") == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_of_text"))
-    once, again = (docs.join(found.filter(some), same, "left_semi") for some in ("_copies = 1", "_copies > 1"))
-    return once.unionByName(again.dropDuplicates([id_col, text_col])).unionByName(docs.filter(docs[id_col].isNull()))
+    found = written(found.groupBy("doc_id", "of_text").agg(F.count("*").alias("copies")), "joined")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # whatever the columns are called
+    rows = docs.select(whole.alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    keyed = rows.withColumn("of_text", F.xxhash64("text"))
+    once, again = (keyed.join(found.filter(some), ["doc_id", "of_text"], "left_semi") for some in ("copies = 1", "copies > 1"))
+    kept = once.select("row").unionByName(again.dropDuplicates(["doc_id", "text"]).select("row"))
+    return kept.unionByName(rows.filter("doc_id is null").select("row")).select("row.*")

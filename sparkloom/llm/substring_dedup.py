@@ -146,7 +146,12 @@ class Runs:
             chosen = _slid(np.maximum, np.concatenate([none, least, none]), spread) == value
         first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         count = np.diff([*first, n])
-        return chosen | ((value == np.repeat(np.minimum.reduceat(value, first), count)) & np.repeat(count < spread, count))
+        chosen |= (value == np.repeat(np.minimum.reduceat(value, first), count)) & np.repeat(count < spread, count)
+        # equal neighbours (one word again and again): inside, where all runs read alike, one place of `spread` is enough
+        first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (value[1:] != value[:-1])]))
+        count = np.diff([*first, n])
+        place = np.arange(n) - np.repeat(first, count)
+        return chosen & ((place < 4 * spread) | (np.repeat(count, count) - place <= 4 * spread) | (place % spread == 0))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
