@@ -172,6 +172,19 @@ def test_without_repeats(make_docs):
     assert out[5].text.startswith(prose(105, 8)[:50]) and out[5].text.endswith(prose(205, 6)[-50:])
 
 
+def test_one_word_again_and_again(make_docs):
+    """A long text of equal words has few runs, and all of it is found in another one, and a passage behind or before it too."""
+    passages = substring_dedup.Passages(["word " * 20_000], substring_dedup.WordHash(), 28, 24)
+    assert 19_972 / 24 < len(passages.runs.text) < 1_100
+    shared = prose(77, 8)
+    rows = [(1, "word " * 3000 + shared), (2, "word " * 5000 + shared + " " + prose(78)), (3, prose(79) + " " + shared + " word" * 2000)]
+    spans = {}
+    for r in substring_dedup.repeated(make_docs(rows)).filter("removed").collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.stop))
+    assert min(a for a, _ in spans[2]) == 0 and max(b for _, b in spans[2]) >= 5 * 5000 + len(shared)
+    assert sum(b - a for a, b in spans[3]) >= len(shared) + 5 * 2000 - 10
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, tile string"
 
 
@@ -202,6 +215,45 @@ def test_vectors(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def brute_rows(rows, threshold=0.98):
+    """The same of rows that may share an id: each row's links, and the smallest id that links between rows lead to."""
+    found = brute_vectors([(k, v, x) for k, (_, v, x) in enumerate(rows)], threshold)
+    least: dict = {}
+    for k, (_, c) in found.items():
+        least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    return sorted((rows[k][0], n, least[c]) for k, (n, c) in found.items())
+
+
+def test_rows_that_share_an_id(spark):
+    """One id with two vectors, in one label and in two; a class of copies under several ids; vectors up to a factor."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 1), (1, [1.0, 0.0], 1), (4, [0.01, 1.0], 1)]
+    rows += [(7, [0.5, 0.5], 0), (5, [0.5, 0.5], 0), (7, [0.5, 0.5], 0), (6, [2.0, 2.0], 0), (9, [0.5, -0.5], 0), (9, [-0.5, 0.5], 0)]
+    df = spark.createDataFrame([(*x, "t") for x in rows], VECTORS)
+    found = embedding_dedup.dedup(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == brute_rows(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in found)
+
+
+def test_vectors_of_any_size(spark):
+    """Components whose squares are beyond doubles, or below them, and signed zeros."""
+    rows = [(0, [1e200, 0.0], 0), (1, [1e-200, -0.0], 0), (2, [3.0, 1e-3], 0), (3, [1e308, 1e308], 0), (4, [1.0, 1.0], 0), (5, [5e-324, 0.0], 0), (6, [0.0, -0.0], 0), (None, [1.0, 1.0], 0), (None, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(df).collect()}
+    assert found == {(0, 3, 0, True), (1, 3, 0, False), (2, 3, 0, False), (5, 3, 0, False), (3, 1, 3, True), (4, 1, 3, False), (6, 0, 6, True), (None, 0, None, False)}
+
+
+def test_columns_of_any_name(spark):
+    """Columns called like those of the search stay as they are."""
+    names = ["_id", "_of_text", "_copies", "row", "of_text", "copies", "d1", "rid", "id", "component_id", "_quality", "score"]
+    rows = [(i, t, *names) for i, t in ((1, prose(1)), (1, prose(1)), (2, prose(1) + " end"), (3, prose(2)), (None, prose(3)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "3", "None"]
+    assert all(r[n] == n for r in kept.collect() for n in names)
+    cut = substring_dedup.without_repeats(docs)
+    assert cut.columns == docs.columns and cut.count() == 5 and all(r[n] == n for r in cut.collect() for n in names)
+
+
 def test_bounds_hold():
     r = np.random.default_rng(4)
     for scale in (1, 1e-3):

@@ -42,4 +42,13 @@ def test_run_is_registered(spark):
     from sparkloom.llm import queries
 
     assert "pipeline" in queries.QUERIES and corpus_pipeline.ORACLE_SQL is None
-    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline"} | {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline"} | {f"op{i}" for i in range(1, 14)}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_quality", "score", "row", "_id", "kept", "votes", "copies"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        after = written(stage(spark, docs, SF), "stage")
+        assert after.columns == docs.columns and all(r[n] == n for r in after.collect() for n in names)
+        docs = after

@@ -123,6 +123,22 @@ def test_network_of_one_label():
     assert quality_classifier.Network.fit([], []).score([b"x"])[0] == 0.5
 
 
+def test_classifier_learns_from_whole_bounded_rows(make_docs, spark, monkeypatch):
+    """Rows that share an id count once, a row beyond the bytes is passed over, and all of a long text is learned from."""
+    seen = []
+    monkeypatch.setattr(quality_classifier.Network, "fit", classmethod(lambda cls, docs, labels: seen.append((docs, labels)) or cls()))
+    long_text = prose(1, 400)
+    docs = make_docs([(1, long_text), (2, "b"), (2, "a"), (3, None), (4, "x" * 500_000), (5, "unlabelled"), (None, "y")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 1), (6, 1), (None, 1), (5, None)], "doc_id long, quality int")
+    quality_classifier.train(docs, labels, max_bytes=100_000)
+    (parts, found), = seen
+    texts = [b"".join(p[:quality_classifier.STEP].tobytes() for p in x).rstrip(b"\0") for x in parts]
+    assert sorted(zip(map(len, parts), found, strict=True)) == sorted([(len(quality_classifier.chunked(long_text.encode())), 1), (1, 0), (1, 0)])
+    assert {t[:20] for t in texts} == {long_text.encode()[:20], b"a", b""}
+    quality_classifier.train(docs, labels, max_docs=1)
+    assert len(seen[1][1]) <= 1
+
+
 def test_classifier_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op7_quality_classifier(spark, sf).filter("held_out").collect()
@@ -135,9 +151,9 @@ def test_classifier_on_held_out_rows(spark):
 def test_language_scores_dont_depend_on_the_batch():
     rows = [("der die das und nicht " * 5, "de"), ("the of and to in is " * 5, "en"), ("le la les et des un " * 5, "fr")] * 20
     model = language_id.fit([language_id.ngram_counts(t) for t, _ in rows], [x for _, x in rows])
-    texts = ["und nicht das", "the and of", "", None, "12 !", "les des", "a", "é"]
+    texts = ["und nicht das", "the and of", "", None, "12 !", "les des", "a", "é", "²½①", "\u0300_٣", "½ʰ"]
     names, scores = model.predict(texts)
-    assert names[:6] == ["de", "en", "und", "und", "und", "fr"]
+    assert names[:6] == ["de", "en", "und", "und", "und", "fr"] and names[8:10] == ["und", "und"] and names[10] != "und"  # numbers and marks aren't letters
     for t, n, s in zip(texts, names, scores, strict=True):
         one = model.predict([t])
         assert one[0][0] == n and one[1][0] == pytest.approx(s)
