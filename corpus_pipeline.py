@@ -19,7 +19,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.3 go. The network learns from labelled rows of the raw table, which has what the rules rejected."""
     labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
     network = quality_classifier.train(table(spark, sf_dir, "documents"), labels)
-    return quality_classifier.score(docs, network, score_col="_quality").filter("_quality >= 0.3").drop("_quality")
+    return quality_classifier.scored(docs, network).filter("score >= 0.3").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
