@@ -66,3 +66,20 @@ def judged(answer: str | Column) -> tuple[Column, Column, Column]:
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(last("SCORE:").try_cast("double"), F.lit(0.0))))
     label = F.lower(last("LABEL:"))
     return score, F.when(label.isin("highly_relevant", "somewhat_relevant"), label).otherwise("not_relevant"), F.coalesce(last("REASONING:"), F.lit("Unable to parse response"))
+
+
+def judged_all(answer: str | Column, n: Column) -> Column:
+    """(score, label, reason) of each of `n` documents in a judge's answer to all of them: sections after the word Document, each with a
+    line for its number. Sections of under three lines are incomplete, those that lack are missing, those too many are left out."""
+    state = lambda score, label, reason: F.struct(score.alias("score"), label.alias("label"), reason.alias("reason"))
+    none = lambda why: state(F.lit(0.0), F.lit("not_relevant"), F.lit(why))
+
+    def one(section: Column) -> Column:
+        lines = F.split(F.trim(section), "\n")
+        body = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
+        return F.when(F.size(lines) < 3, none("Incomplete response")).otherwise(state(*judged(body)))
+
+    sections = F.filter(F.split(F.trim(T.text(answer)), "Document "), lambda s: F.trim(F.translate(s, "\n", " ")) != "")
+    found = F.transform(sections, one)
+    missing = F.array_repeat(none("Missing response"), F.greatest(n - F.size(found), F.lit(0)).cast("int"))
+    return F.slice(F.concat(found, missing), F.lit(1), F.greatest(n, F.lit(0)).cast("int"))

@@ -6,19 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of values that a group is cut into.
+RANGES = 128
+
+
 def percentiles(rows: DataFrame, keys: list[str], value: str, marks: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row per group with a column for each mark (definition, q). Values are ranked, not collected.
+    """One row per group with a column for each mark (definition, q). Values are counted, not collected.
 
     floor_n1: sorted[floor(q (n - 1))]; floor_n: sorted[min(floor(q n), n - 1)]; floor_n_less: sorted[max(0, floor(q n) - 1)];
     exclusive: interpolated at q (n + 1), the maximum below 20 values; median: the true median.
+
+    Equal values are counted before anything is ordered. A group's values are cut into ranges of about equal size; a value's places
+    are those of the ranges before it and of the values before it in its range, so a group of any size is many small sorts.
     """
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    some = rows.filter(F.col(value).isNotNull())
-    ordered = some.withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
-    i, n, x = F.col("_i"), F.col("_n"), F.col(value)
+    some = rows.filter(F.col(value).isNotNull()).select(F.struct(*keys, F.lit(0).alias("")).alias("_key"), F.col(value).alias("_x"))
+    counts = some.groupBy("_key", "_x").agg(F.count("*").alias("_c"))
+    bounds = counts.groupBy("_key").agg(F.array_distinct(F.percentile_approx("_x", [i / RANGES for i in range(1, RANGES)], 10_000)).alias("_bounds"), F.sum("_c").alias("_n"))
+    placed = counts.join(bounds, "_key").withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("_x")))).drop("_bounds")
+    sizes = placed.groupBy("_key", "_range").agg(F.sum("_c").alias("_all"))  # at most RANGES rows a group
+    before = F.sum("_all").over(Window.partitionBy("_key").orderBy("_range")) - F.col("_all")
+    within = F.sum("_c").over(Window.partitionBy("_key", "_range").orderBy("_x"))
+    ordered = placed.join(sizes.withColumn("_before", before).drop("_all"), ["_key", "_range"]).withColumn("_end", F.col("_before") + within)
+    n, x = F.col("_n"), F.col("_x")
 
     def at(place: Column) -> Column:
-        return F.max(F.when(i == place, x))
+        return F.max(F.when((place < F.col("_end")) & (place >= F.col("_end") - F.col("_c")), x))
 
     out = []
     for name, (kind, q) in marks.items():
@@ -34,11 +46,12 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, marks: dict[str, t
             lower, upper = at(low - 1), at(low)
             c = F.when(F.max(n) < 20, F.max(x)).otherwise(lower + F.max(p - low) * (upper - lower))
         elif kind == "median":
-            c = F.percentile(value, F.lit(0.5))
+            c = (at(F.floor((n - 1) / 2)) + at(F.ceil((n - 1) / 2))) / 2
         else:
             raise ValueError(kind)
         out.append(c.alias(name))
-    return ordered.groupBy(*keys).agg(*out)
+    found = ordered.groupBy("_key").agg(*out)
+    return found.select(*[F.col("_key").getField(k).alias(k) for k in keys], *[F.col(f"`{m}`") for m in marks])
 
 
 def top_counts(rows: DataFrame, key: str, n: int = 8) -> DataFrame:
@@ -62,3 +75,20 @@ def calibrated(rows: DataFrame, confidence: str, correct: str, least: int = 5) -
     middle = 0.55 + 0.1 * F.col("bucket")
     value = F.when(F.col("n") >= least, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(confidence) * F.col("accuracy") / middle))).otherwise(F.col(confidence))
     return placed.join(F.broadcast(sizes), "bucket").withColumn("calibrated", value)
+
+
+def routed(rows: DataFrame, route: str | None = None, kind: str | None = None, low: float | None = None, high: float | None = None, holds: str | None = None) -> DataFrame:
+    """Decisions (route, kind, confidence, question, correct) that meet all given conditions: their number, how many were right, the share
+    and the mean confidence; one row. Confidence lies within low and high, the question holds a text in any case."""
+    asked = [
+        F.col("route") == route if route is not None else None,
+        F.col("kind") == kind if kind is not None else None,
+        F.col("confidence") >= low if low is not None else None,
+        F.col("confidence") <= high if high is not None else None,
+        F.contains(F.lower(F.coalesce("question", F.lit(""))), F.lit(holds.lower())) if holds is not None else None,
+    ]
+    out = rows
+    for c in asked:
+        out = out if c is None else out.filter(c)
+    n, right = F.count("*"), F.count_if("correct")
+    return out.agg(n.alias("total"), right.alias("correct"), F.when(n > 0, right / n).otherwise(0.0).alias("accuracy"), F.avg("confidence").alias("confidence"))

@@ -17,10 +17,11 @@ def entity_counts(docs: DataFrame, n: int = 10, id_col: str = "doc_id", text_col
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("count"), "first"))).filter(F.col("rank") <= n).drop("first")
 
 
-def rule_triplets(docs: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", pattern: str = ENTITY) -> DataFrame:
-    """(doc, head, relation, tail): each frequent entity and the next, related by the first cue word of the text."""
+def rule_triplets(docs: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", pattern: str = ENTITY, counts: DataFrame | None = None) -> DataFrame:
+    """(doc, head, relation, tail): each frequent entity and the next, related by the first cue word of the text; `counts` is what `entity_counts` gave."""
     tail = F.lead("entity").over(Window.partitionBy("doc").orderBy("rank"))
-    pairs = entity_counts(docs, n, id_col, text_col, pattern).select("doc", F.col("entity").alias("head"), tail.alias("tail")).filter("tail is not null")
+    counts = entity_counts(docs, n, id_col, text_col, pattern) if counts is None else counts
+    pairs = counts.select("doc", F.col("entity").alias("head"), tail.alias("tail")).filter("tail is not null")
     return pairs.join(docs.select(F.col(id_col).alias("doc"), T.relation(text_col).alias("relation")), "doc").select("doc", "head", "relation", "tail")
 
 
@@ -60,10 +61,15 @@ def neighbours(graph: DataFrame, entities: DataFrame, limit: int = 10) -> DataFr
 
 
 def two_hops(graph: DataFrame, entities: DataFrame, limit: int = 10) -> DataFrame:
-    """(source, rel1, middle, rel2, target, place): paths of two different edges that don't come back."""
+    """(source, rel1, middle, rel2, target, place): paths of two different edges that don't come back, the first `limit` by middle, target and relations.
+
+    Of a middle's neighbours only the first `limit` and one more count (that one may be the source), so a hub in the middle doesn't
+    send each pair of its neighbours. `graph` is read twice: write it first.
+    """
     u = undirected(graph)
     first = entities.select("entity").distinct().join(u, "entity").select(F.col("edge").alias("e1"), F.col("entity").alias("source"), F.col("relation").alias("rel1"), F.col("other").alias("middle"))
-    second = u.select(F.col("edge").alias("e2"), F.col("entity").alias("middle"), F.col("relation").alias("rel2"), F.col("other").alias("target"))
+    near = u.withColumn("_d", F.dense_rank().over(Window.partitionBy("entity").orderBy("other"))).filter(F.col("_d") <= limit + 1)
+    second = near.select(F.col("edge").alias("e2"), F.col("entity").alias("middle"), F.col("relation").alias("rel2"), F.col("other").alias("target"))
     paths = first.join(second, "middle").filter("e1 <> e2 and source <> target").select("source", "rel1", "middle", "rel2", "target").distinct()
     w = Window.partitionBy("source").orderBy("middle", "target", "rel1", "rel2")
     return paths.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)

@@ -86,7 +86,7 @@ def tf_idf(docs: DataFrame, most: int = 10, shortest: int = 2, id_col: str = "do
 
 def density(ranked: DataFrame) -> DataFrame:
     """(doc, density): the mean score of a text's keywords, 1 at most."""
-    return ranked.groupBy("doc").agg(F.round(F.least(F.lit(1.0), F.avg("score")), 8).alias("density"))
+    return ranked.groupBy("doc").agg(F.least(F.lit(1.0), F.avg("score")).alias("density"))
 
 
 def coverage(pairs: DataFrame, ranked: DataFrame, docs: DataFrame, most: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators import ordered
+
 
 def health(rows: DataFrame, status: str, chunks: str, triplets: str) -> DataFrame:
     """Documents by state, and the sums of their chunks and triplets; a missing number counts as 0."""
@@ -30,38 +32,58 @@ def load(rows: DataFrame, time: str, latency: str, ok: Column) -> DataFrame:
     return rows.agg(F.count("*").alias("requests"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("errors"), F.round(F.count("*") / span, 6).alias("rps"), F.round(F.avg(latency), 6).alias("avg_latency"))
 
 
+def row_digest(columns: list[str]) -> Column:
+    """md5 of a row's values, each behind its length; a null has no length, so no two different rows are written alike."""
+    fields = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.md5(F.concat_ws("|", *fields))
+
+
 def fingerprint(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """A digest of each group's rows that doesn't depend on their order: count and sum of the rows' 32-bit hashes, added up before the shuffle."""
-    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
-    total = F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("long"))
-    return rows.groupBy(by).agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), total.cast("string")), 256).alias("fingerprint"))
+    """A digest of each group's rows that doesn't depend on their order: sha256 of their count and the sums of all four words of their
+    128-bit digests. The sums are added up before the shuffle, so a group of any size costs a row per task."""
+    row = row_digest(columns)
+    sums = [F.sum(F.conv(F.substring(row, 8 * i + 1, 8), 16, 10).cast("long")).cast("string") for i in range(4)]
+    return rows.groupBy(by).agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("fingerprint"))
 
 
 def cache_key(parts: dict[str, Column]) -> Column:
-    """sha256 of canonical JSON: keys in order, strings quoted."""
+    """sha256 of canonical JSON: fields in order, texts quoted, numbers and truth values bare, null as null."""
     fields = []
     for k in sorted(parts):
-        fields += [F.lit((", " if fields else "{") + f'"{k}": '), F.to_json(F.array(parts[k].cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(parts[k].cast("string")))) - 2)]
+        bare = F.regexp_extract(F.to_json(F.struct(parts[k].alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+        fields += [F.lit((", " if fields else "{") + f'"{k}": '), F.when(parts[k].isNull(), "null").otherwise(bare)]
     return F.sha2(F.concat(*fields, F.lit("}")), 256)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str], block: Column | None = None) -> DataFrame:
     """Each left row with the values of the last right row of its key at or before its time; null where there is none.
 
-    Both sides go through one shuffle and one sort by key and time; of right rows with the same time the largest values count.
+    A left row without key or time gets nulls, a right one counts for nobody. Of right rows with the same time the largest values count.
+    `block`, an expression that rises with the time (its day), cuts the time of a key into parts that are sorted apart and hand the
+    last values on; without it a key is sorted in one task.
     """
     given = left.select("*", F.lit(1).alias("_of"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values])
-    known = right.select(by, time, F.lit(0).alias("_of"), *[F.col(v).alias(f"_{v}") for v in values])
-    w = Window.partitionBy(by).orderBy(time, "_of", *[f"_{v}" for v in values]).rowsBetween(Window.unboundedPreceding, 0)
+    known = right.filter(F.col(by).isNotNull() & F.col(time).isNotNull()).select(by, time, F.lit(0).alias("_of"), *[F.col(v).alias(f"_{v}") for v in values])
     held = given.unionByName(known, allowMissingColumns=True)
-    last = F.last(F.when(F.col("_of") == 0, F.struct(*[F.col(f"_{v}").alias(v) for v in values])), ignorenulls=True).over(w)
-    return held.withColumn("_last", last).filter("_of = 1").select(*left.columns, *[F.col(f"_last.{v}").alias(f"{v}_as_of") for v in values])
+    value = F.when(F.col("_of") == 0, F.struct(*[F.col(f"_{v}").alias(v) for v in values]))
+    out = ordered.carried(held, [by], [time, "_of", *[f"_{v}" for v in values]], F.lit(0) if block is None else block, value, "_last")
+    good = F.col(by).isNotNull() & F.col(time).isNotNull()
+    return out.filter("_of = 1").select(*left.columns, *[F.when(good, F.col(f"_last.{v}")).alias(f"{v}_as_of") for v in values])
 
 
-def in_interval(points: DataFrame, at: str, intervals: DataFrame, low: str, high: str, width: float) -> DataFrame:
-    """Points joined with the intervals [low, high) that hold them, by cells of `width`: an equi-join on the cell and a residual check."""
-    cells = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return points.withColumn("_cell", F.floor(F.col(at) / width)).join(cells, "_cell").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_cell")
+def in_interval(points: DataFrame, at: str, intervals: DataFrame, low: str, high: str, width: float = 1.0) -> DataFrame:
+    """Points joined with the intervals [low, high) that hold them: an equi-join on cells and a residual check.
+
+    An interval lies in cells of the power of two (of `width`) that is next above its length, two at most; a point looks into one cell of
+    each size that some interval has. Empty intervals hold nothing.
+    """
+    size = F.greatest(F.lit(0), F.ceil(F.log2((F.col(high) - F.col(low)) / width))).cast("int")
+    real = intervals.filter(F.col(low) < F.col(high)).withColumn("_size", size)
+    step = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_size"))
+    cells = real.withColumn("_cell", F.explode(F.array_distinct(F.array(F.floor(F.col(low) / step), F.floor(F.col(high) / step)))))
+    sizes = F.broadcast(real.select("_size").distinct())  # a row for each power of two, 2,100 at most
+    placed = points.filter(F.col(at).isNotNull()).crossJoin(sizes).withColumn("_cell", F.floor(F.col(at) / step))
+    return placed.join(cells, ["_size", "_cell"]).filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_size", "_cell")
 
 
 def in_scope(rows: DataFrame, source: str, allowed: DataFrame) -> DataFrame:
@@ -76,8 +98,8 @@ def without(rows: DataFrame, gone: DataFrame, by: str) -> DataFrame:
 
 
 def overridden(rows: DataFrame, other: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """`rows` with columns replaced by the other table's where that has a value."""
-    better = other.select(by, *[F.col(c).alias(f"_{c}") for c in columns])
+    """`rows` with columns replaced by the other table's where that has a value; of a key that it has twice the largest value of each column counts."""
+    better = other.filter(F.col(by).isNotNull()).groupBy(by).agg(*[F.max(c).alias(f"_{c}") for c in columns])
     return rows.join(better, by, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.sources.shared import written_once
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -32,13 +33,19 @@ def ranked(rows: DataFrame, keys: list[str], score: str, tiebreak: str, k: int |
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "doc_id", query_col: str = "item_id", text_col: str = "text", decimals: int = 8) -> DataFrame:
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, w, length) of all texts, read and cut into tokens once and written: lengths, document and term frequencies all come from it."""
+    return written_once(docs.select(F.col(id_col).alias("doc"), T.tokens(text_col).alias("w")).withColumn("length", F.size("w")), "tokens")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "doc_id", query_col: str = "item_id", text_col: str = "text", decimals: int = 8, words: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, rank) of the k best documents of each query by Okapi BM25, without scores of 0 or less.
 
     Terms that more than half of the documents hold have a negative idf, which is replaced by a quarter of the mean idf. Filter
-    `docs` first to have the statistics of a scope. Only occurrences of query terms are grouped by document.
+    `docs` first to have the statistics of a scope, or give `words`, what `tokenised` made of them. Only occurrences of query terms are
+    grouped by document.
     """
-    words = docs.select(F.col(id_col).alias("doc"), T.tokens(text_col).alias("w")).withColumn("length", F.size("w"))
+    words = tokenised(docs, id_col, text_col) if words is None else words
     stats = words.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).select("term", "n_docs", "mean_length", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
@@ -52,19 +59,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "doc_
     return ranked(scores, ["query"], "score", "doc", k).filter("score > 0")
 
 
-def overlap_search(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "doc_id", query_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def overlap_search(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "doc_id", query_col: str = "item_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
     """As `bm25`, by the number of distinct query tokens that a document holds."""
     terms = queries.select(F.col(query_col).alias("query"), F.explode(F.array_distinct(T.tokens(text_col))).alias("term"))
-    held = docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(T.tokens(text_col))).alias("term"))
+    words = docs.select(F.col(id_col).alias("doc"), T.tokens(text_col).alias("w")) if words is None else words
+    held = words.select("doc", F.explode(F.array_distinct("w")).alias("term"))
     scores = held.join(terms, "term").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score"))
     return ranked(scores, ["query"], "score", "doc", k).filter("score > 0")
 
 
+#: Bytes of query vectors up to which they go to all tasks; beyond, both sides are dealt to a grid of this width.
+SENT_BYTES, GRID = 64 << 20, 16
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float | None = None, block: int = 1024, decimals: int = 6) -> DataFrame:
     """(query, doc, score, rank) of the k nearest vectors of each query by cosine, itself included; exact.
 
-    Both sides go into blocks; a block of queries meets a block of vectors as one matrix product that gives back k rows a query.
-    Null and zero vectors are left out.
+    Both sides go into blocks; a block of queries meets a block of vectors as one matrix product that gives back k rows a query. The
+    queries' blocks go to all tasks if they are small (their size is added up first); else blocks of both sides meet in the cells
+    of a grid, a block of queries in those of its row and a block of vectors in those of its column. Null and zero vectors are left out.
     """
 
     def blocks(df: DataFrame, prefix: str) -> DataFrame:
@@ -89,8 +102,15 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "
                 order = np.lexsort((np.broadcast_to(d, s.shape), -s), axis=1)[:, :k]
                 yield pd.DataFrame({"query": np.repeat(q, order.shape[1]), "doc": d[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
 
-    met = blocks(queries, "q").join(blocks(vectors, "d"), F.col("q_d") == F.col("d_d"))
-    found = met.mapInPandas(best, "query long, doc long, score double")
+    size = queries.agg(F.coalesce(F.sum(F.size(vector_col).cast("long") * 8), F.lit(0))).first()[0]
+    if size <= SENT_BYTES:
+        met = blocks(vectors, "d").join(F.broadcast(blocks(queries, "q")), F.col("q_d") == F.col("d_d"))
+    else:
+        cells = F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))
+        rows = blocks(queries, "q").withColumns({"i": F.pmod(F.xxhash64("q_ids"), F.lit(GRID)).cast("int"), "j": cells})
+        columns = blocks(vectors, "d").withColumns({"j": F.pmod(F.xxhash64("d_ids"), F.lit(GRID)).cast("int"), "i": cells})
+        met = rows.join(columns, ["i", "j"]).filter("q_d = d_d")
+    found = met.select("q_ids", "q_m", "d_ids", "d_m").mapInPandas(best, "query long, doc long, score double")
     out = ranked(found, ["query"], "score", "doc", k)
     return out if threshold is None else out.filter(F.col("score") >= threshold)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import chunks as C
 from sparkloom.operators import graph as G
 from sparkloom.plans.registry import query
+from sparkloom.sources.shared import written_once
 from sparkloom.sources.tables import table
 
 
@@ -108,13 +109,15 @@ _UNDIRECTED = "un AS (SELECT head AS h, relation AS r, tail AS t, head AS entity
 _SEEDS = "se AS (SELECT DISTINCT entity FROM r WHERE doc % 50 = 0 AND rank = 1)"
 
 
-def _triplets(spark, sf_dir):
+def _triplets(spark, sf_dir, counts=None):
     docs = table(spark, sf_dir, "documents")
-    return G.rule_triplets(docs, pattern=_ENT).join(docs.select(F.col("doc_id").alias("doc"), "source"), "doc").withColumn("confidence", (F.col("doc") % 10) / 10)
+    return G.rule_triplets(docs, pattern=_ENT, counts=counts).join(docs.select(F.col("doc_id").alias("doc"), "source"), "doc").withColumn("confidence", (F.col("doc") % 10) / 10)
 
 
-def _seeds(spark, sf_dir):
-    return G.entity_counts(table(spark, sf_dir, "documents"), pattern=_ENT).filter("doc % 50 = 0 and rank = 1").select("entity").distinct()
+def _graph(spark, sf_dir):
+    """(edges, seeds), both from entities that are counted and written once; the edges are written too, since searches read them twice."""
+    counts = written_once(G.entity_counts(table(spark, sf_dir, "documents"), pattern=_ENT), "entities")
+    return written_once(G.edges(_triplets(spark, sf_dir, counts)), "edges"), counts.filter("doc % 50 = 0 and rank = 1").select("entity").distinct()
 
 
 @query("graph_triplets", f"WITH {_TRIPLETS} SELECT doc, head, relation, tail FROM tr")
@@ -139,7 +142,7 @@ def graph_best_triplets(spark, sf_dir):
     SELECT se.entity, relation, other, place FROM se LEFT JOIN (SELECT * FROM n WHERE place <= 10) n ON n.entity = se.entity""",
 )
 def graph_neighbours(spark, sf_dir):
-    return G.neighbours(G.edges(_triplets(spark, sf_dir)), _seeds(spark, sf_dir)).select("entity", "relation", "other", "place")
+    return G.neighbours(*_graph(spark, sf_dir)).select("entity", "relation", "other", "place")
 
 
 @query(
@@ -149,7 +152,7 @@ def graph_neighbours(spark, sf_dir):
     SELECT source, rel1, middle, rel2, target, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY middle, target, rel1, rel2) AS place FROM pa) WHERE place <= 10""",
 )
 def graph_two_hops(spark, sf_dir):
-    return G.two_hops(G.edges(_triplets(spark, sf_dir)), _seeds(spark, sf_dir)).select("source", "rel1", "middle", "rel2", "target", "place")
+    return G.two_hops(*_graph(spark, sf_dir)).select("source", "rel1", "middle", "rel2", "target", "place")
 
 
 @query(

@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from sparkloom.plans import analytics, documents, events, ingest, reports, retrieve, rules, streams, structure, texts, verify  # noqa: F401
+    from sparkloom.plans import analytics, documents, events, ingest, reports, retrieve, rules, scores, streams, structure, texts, verify  # noqa: F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import questions as Q
 from sparkloom.functions import text as T
+from sparkloom.operators import ordered
 from sparkloom.operators import reports as R
 from sparkloom.plans.registry import query
 from sparkloom.sources.tables import table
@@ -76,8 +77,8 @@ def report_most_chunks(spark, sf_dir):
 
 @query(
     "report_fingerprint",
-    """WITH r AS (SELECT source, md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(lang, ''), coalesce(CAST(n_chars AS VARCHAR), ''))) AS m FROM documents)
-    SELECT source, sha256(count(*) || '|' || CAST(sum(CAST('0x' || substr(m, 1, 8) AS BIGINT)) AS BIGINT)) AS fingerprint FROM r GROUP BY 1""",
+    f"""WITH r AS (SELECT source, md5({" || '|' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "lang", "n_chars"))}) AS m FROM documents)
+    SELECT source, sha256(count(*) || {" || ".join(f"'|' || CAST(sum(CAST('0x' || substr(m, {8 * i + 1}, 8) AS BIGINT)) AS BIGINT)" for i in range(4))}) AS fingerprint FROM r GROUP BY 1""",
 )
 def report_fingerprint(spark, sf_dir):
     return R.fingerprint(table(spark, sf_dir, "documents"), "source", ["doc_id", "lang", "n_chars"])
@@ -95,17 +96,19 @@ def report_recent_traces(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(50)
 
 
-@query("report_sessions", "SELECT user_id, max(ts) AS updated_at, count(*) AS n, arg_max(event_type, ts) AS last FROM events GROUP BY 1 ORDER BY updated_at DESC")
+@query("report_sessions", "SELECT user_id, max(ts) AS updated_at, count(*) AS n, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY 1 ORDER BY updated_at DESC, user_id")
 def report_sessions(spark, sf_dir):
     """Sessions, the last used first."""
-    return _events(spark, sf_dir).groupBy("user_id").agg(F.max("ts").alias("updated_at"), F.count("*").alias("n"), F.max_by("event_type", "ts").alias("last")).orderBy(F.desc("updated_at"))
+    return _events(spark, sf_dir).groupBy("user_id").agg(F.max("ts").alias("updated_at"), F.count("*").alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last")).orderBy(F.desc("updated_at"), "user_id")
 
 
-@query("report_files", "SELECT regexp_extract(url, '[^/]*$') AS filename, url AS source, row_number() OVER (PARTITION BY lower(regexp_extract(url, '[^/]*$')) ORDER BY lower(url), page_id) AS place FROM pages")
+@query("report_files", "SELECT regexp_extract(url, '[^/]*$') AS filename, url AS source, row_number() OVER (ORDER BY lower(regexp_extract(url, '[^/]*$')), lower(url), page_id) AS place FROM pages")
 def report_files(spark, sf_dir):
+    """The list of files by name and source, with the place of each. The list is cut by the names' first two letters, not sorted in one task."""
     name = F.substring_index("url", "/", -1)
-    w = Window.partitionBy(F.lower(name)).orderBy(F.lower("url"), "page_id")
-    return table(spark, sf_dir, "pages").select(name.alias("filename"), F.col("url").alias("source"), F.row_number().over(w).alias("place"))
+    rows = table(spark, sf_dir, "pages").select(name.alias("filename"), F.col("url").alias("source"), F.lower(name).alias("_name"), F.lower("url").alias("_source"), "page_id")
+    placed = ordered.numbered(rows, [], ["_name", "_source", "page_id"], F.substring("_name", 1, 2))
+    return placed.select("filename", "source", "place")
 
 
 @query("report_window", "SELECT least(168, greatest(1, 500)) AS hours, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 168 HOUR")
@@ -126,18 +129,19 @@ def report_window(spark, sf_dir):
 def join_as_of(spark, sf_dir):
     """Each purchase with the value of the user's last view before it."""
     rows = _events(spark, sf_dir)
-    return R.as_of(rows.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), rows.filter("event_type = 'view'").select("user_id", "ts", "value"), "user_id", "ts", ["value"])
+    return R.as_of(rows.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), rows.filter("event_type = 'view'").select("user_id", "ts", "value"), "user_id", "ts", ["value"], F.date_trunc("day", "ts"))
 
 
 @query(
     "join_interval",
-    """WITH b AS (SELECT p_partkey AS bucket, p_partkey * 2.5 AS low, p_partkey * 2.5 + 7.5 AS high FROM part WHERE p_partkey < 100)
+    """WITH b AS (SELECT p_partkey AS bucket, p_partkey * 2.5 AS low, p_partkey * 2.5 + 2.5 * (1 + p_partkey % 7) AS high FROM part)
     SELECT bucket, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN b ON value >= low AND value < high GROUP BY 1""",
 )
 def join_interval(spark, sf_dir):
-    """Values by overlapping buckets (the first hundred parts stand for a hundred fixed buckets)."""
-    buckets = spark.range(100).select(F.col("id").alias("bucket"), (F.col("id") * 2.5).alias("low"), (F.col("id") * 2.5 + 7.5).alias("high"))
-    met = R.in_interval(_events(spark, sf_dir), "value", F.broadcast(buckets), "low", "high", 5.0)  # a hundred rows
+    """Values by overlapping buckets of seven lengths, one for each part."""
+    key = F.col("p_partkey")
+    buckets = table(spark, sf_dir, "part").select(key.alias("bucket"), (key * 2.5).alias("low"), (key * 2.5 + 2.5 * (1 + key % 7)).alias("high"))
+    met = R.in_interval(_events(spark, sf_dir), "value", buckets, "low", "high", 2.5)
     return met.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -188,9 +192,9 @@ def log_memory_fallback(spark, sf_dir):
     return R.or_most_recent(hits, rows.select("user_id").distinct(), rows.select("user_id", "event_id"), "user_id", "event_id")
 
 
-@query("hash_cache_key", """SELECT item_id, sha256('{"a": "general", "q": ' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ', "s": "' || item_id % 7 || '"}') AS key FROM benchmark""")
+@query("hash_cache_key", """SELECT item_id, sha256('{"a": "general", "q": ' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ', "s": ' || item_id % 7 || ', "u": ' || CASE WHEN item_id % 2 = 0 THEN 'true' ELSE 'null' END || '}') AS key FROM benchmark""")
 def hash_cache_key(spark, sf_dir):
-    key = R.cache_key({"q": T.text("text"), "s": F.col("item_id") % 7, "a": F.lit("general")})
+    key = R.cache_key({"q": T.text("text"), "s": F.col("item_id") % 7, "a": F.lit("general"), "u": F.when(F.col("item_id") % 2 == 0, True)})
     return table(spark, sf_dir, "benchmark").select("item_id", key.alias("key"))
 
 

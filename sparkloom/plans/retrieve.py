@@ -62,7 +62,8 @@ def retrieve_dense_relaxed(spark, sf_dir):
 
 def _fused(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return R.fuse({"bm25": (R.bm25(docs, asked, 10), 0.4), "overlap": (R.overlap_search(docs, asked, 10), 0.6)})
+    words = R.tokenised(docs)
+    return R.fuse({"bm25": (R.bm25(docs, asked, 10, words=words), 0.4), "overlap": (R.overlap_search(docs, asked, 10, words=words), 0.6)})
 
 
 @query("retrieve_fused", f"WITH {_FUSED} SELECT query, doc, round(hybrid_score, 8) AS hybrid_score, n_channels, round(bm25_score, 5) AS bm25_score, overlap_score FROM fu")
@@ -140,8 +141,9 @@ _KS = [1, 3, 5, 10]
 
 def _evaluated(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    a = R.bm25(docs, asked, 10).withColumn("system", F.lit("bm25"))
-    b = R.overlap_search(docs, asked, 10).withColumn("system", F.lit("overlap"))
+    words = R.tokenised(docs)
+    a = R.bm25(docs, asked, 10, words=words).withColumn("system", F.lit("bm25"))
+    b = R.overlap_search(docs, asked, 10, words=words).withColumn("system", F.lit("overlap"))
     good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("doc")).distinct()
     # a stand-in for judgements: the good documents among any system's answers
     both = a.unionByName(b)

@@ -89,7 +89,8 @@ _SIDES = f"{_bm25_sql(k=10)}, {_OVERLAP}, bo AS (SELECT query, doc, score FROM b
 
 def _sides(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return R.bm25(docs, asked, 10), R.overlap_search(docs, asked, 10)
+    words = R.tokenised(docs)
+    return R.bm25(docs, asked, 10, words=words), R.overlap_search(docs, asked, 10, words=words)
 
 
 @query("merge_paths", f"WITH {_SIDES} SELECT query, doc, count(*) AS paths, round(max(score) * (1 + 0.2 * (count(*) - 1)), 5) AS boosted FROM bo GROUP BY ALL")
