@@ -17,6 +17,7 @@ from sparkloom.operators import scoring as S
 from sparkloom.plans.documents import _TRIPLETS, _graph, _triplets
 from sparkloom.plans.registry import query
 from sparkloom.plans.structure import _checked
+from sparkloom.sources import intake as I
 from sparkloom.sources.tables import table
 
 
@@ -165,3 +166,31 @@ def _judgements(spark, sf_dir):
 def question_judged_all(spark, sf_dir):
     rows = _judgements(spark, sf_dir).select("event_id", F.posexplode(Q.judged_all("answer", F.lit(4))).alias("document", "j"))
     return rows.select("event_id", "document", "j.score", "j.label", "j.reason")
+
+
+_UPLOADS = """u AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS owner, page_id AS place, CASE page_id % 6 WHEN 0 THEN 'a/report.md' WHEN 1 THEN 'b\\ ai notes.TXT' WHEN 2 THEN 'picture.png' WHEN 3 THEN 'tool.exe' WHEN 4 THEN '_draft.md' ELSE 'paper..pdf' END AS filename,
+      CASE WHEN page_id % 6 = 5 AND page_id % 4 = 1 THEN '%PDF-' || coalesce(html, '') WHEN page_id % 11 = 0 THEN '' ELSE html END AS content FROM pages)"""
+
+
+@query(
+    "source_intake",
+    f"""WITH {_UPLOADS}, n AS (SELECT *, CASE WHEN filename = '_draft.md' THEN NULL ELSE replace(replace(string_split(filename, '/')[-1], '\\', ''), '..', '') END AS name FROM u),
+    k AS (SELECT *, CASE place % 6 WHEN 1 THEN '.txt' WHEN 2 THEN '.png' WHEN 3 THEN '.exe' WHEN 4 THEN '' WHEN 5 THEN '' ELSE '.md' END AS suffix, octet_length(encode(content)) AS size, sha256(content) AS sha FROM n),
+    r AS (SELECT owner, sha, min(place) AS document_id FROM k GROUP BY ALL), t AS (SELECT k.*, sum(CASE WHEN suffix IN ('.txt', '.md', '.png') THEN coalesce(size, 0) ELSE 0 END) OVER (PARTITION BY owner ORDER BY place) AS total FROM k),
+    v AS (SELECT t.owner, t.place, name, suffix, size, CASE WHEN name IS NULL THEN 'hidden' WHEN suffix NOT IN ('.txt', '.md', '.png') THEN 'unsupported' WHEN coalesce(size, 0) = 0 THEN 'empty' WHEN size > 6000 THEN 'too_large' WHEN total > 30000 THEN 'too_much'
+      WHEN suffix = '.png' THEN 'forged' WHEN r.document_id < t.place THEN 'duplicate' ELSE 'accepted' END AS verdict, r.document_id FROM t LEFT JOIN r ON r.owner = t.owner AND r.sha = t.sha)
+    SELECT owner, place, name, suffix, CAST(size AS INTEGER) AS size, verdict, CASE WHEN verdict = 'duplicate' THEN document_id END AS document_id, CASE WHEN verdict = 'accepted' THEN CASE WHEN contains(name, 'ai ') THEN 'artificial_intelligence' ELSE 'general' END END AS agent_class FROM v""",
+)
+def source_intake(spark, sf_dir):
+    """Pages as uploads of their hosts; what a host has under an earlier number is registered."""
+    pages = table(spark, sf_dir, "pages")
+    i = F.col("page_id")
+    names = F.element_at(F.array(*map(F.lit, ("a/report.md", "b\\ ai notes.TXT", "picture.png", "tool.exe", "_draft.md", "paper..pdf"))), (i % 6 + 1).cast("int"))
+    content = F.when((i % 6 == 5) & (i % 4 == 1), F.concat(F.lit("%PDF-"), T.text("html"))).when(i % 11 == 0, "").otherwise(F.col("html"))
+    files = pages.select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("owner"), i.alias("place"), names.alias("filename"), content.cast("binary").alias("content"))
+    earlier = files.select("owner", F.sha2("content", 256).alias("sha256"), F.col("place").alias("document_id"), F.lit("ready").alias("status"))
+    first = earlier.groupBy("owner", "sha256", "status").agg(F.min("document_id").alias("document_id"))
+    out = I.judged(files, first, max_file_bytes=6000, max_total_bytes=30000)
+    own = (F.col("verdict") == "duplicate") & (F.col("document_id") == F.col("place"))  # a file isn't its own duplicate
+    agent = F.when(own, T.agent_class(F.regexp_replace("name", r"\.[^.]+$", ""))).otherwise(F.col("agent_class"))
+    return out.select("owner", "place", "name", "suffix", "size", F.when(own, "accepted").otherwise(F.col("verdict")).alias("verdict"), F.when(~own, F.col("document_id")).alias("document_id"), agent.alias("agent_class"))

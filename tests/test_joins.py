@@ -111,3 +111,28 @@ def test_two_hops_past_hubs(spark):
         want |= {(s, r1, m, r2, t, k + 1) for k, (m, t, r1, r2) in enumerate(sorted(paths)[:10])}
     found = G.two_hops(df, spark.createDataFrame([(s,) for s in seeds], "entity string")).select("source", "rel1", "middle", "rel2", "target", "place")
     assert set(map(tuple, found.collect())) == want
+
+
+def test_uploads(spark, tmp_path):
+    from sparkloom.sources import intake as I
+
+    png, pdf = b"\x89PNG\r\n\x1a\n rest", b"%PDF-1.4"
+    files = [
+        ("a.md", b"text"), ("../../etc/b.md", b"text b"), ("c.png", png), ("d.png", b"GIF89a"), ("e.PDF", pdf), (".hidden.md", b"x"), ("_x.md", b"x"), ("noend", b"x"), ("f.txt", b""), ("g.txt", None),
+        ("h.txt", b"x" * 50), ("i..md", b"text"), ("", b"x"), (None, b"x"), ("j.webp", b"RIFF1234WEBP"), ("k.md/", b"known"), ("l.jpeg", b"\xff\xd8\xff"), ("ocr\\m.md", b"failed once"),
+    ]
+    rows = spark.createDataFrame([("me", i, n, c) for i, (n, c) in enumerate(files)] + [("you", 0, "k.md", b"known")], "owner string, place int, filename string, content binary")
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    registry = spark.createDataFrame([("me", digest(b"known"), 7, "ready"), ("me", digest(b"known"), 5, None), ("me", digest(b"failed once"), 9, "failed"), (None, digest(b"text"), 1, "ready")], "owner string, sha256 string, document_id int, status string")
+    found = {(r.owner, r.place): (r.name, r.verdict, r.document_id, r.agent_class) for r in I.judged(rows, registry, max_file_bytes=40).collect()}
+    names = {0: "a.md", 1: "b.md", 2: "c.png", 3: "d.png", 4: "e.PDF", 7: "noend", 8: "f.txt", 9: "g.txt", 10: "h.txt", 11: "imd", 14: "j.webp", 15: "k.md", 16: "l.jpeg", 17: "ocrm.md"}
+    verdicts = {3: "forged", 5: "hidden", 6: "hidden", 7: "unsupported", 8: "empty", 9: "empty", 10: "too_large", 11: "unsupported", 12: "hidden", 13: "hidden", 15: "duplicate"}
+    for i in range(len(files)):
+        assert found["me", i][:3] == (names.get(i), verdicts.get(i, "accepted"), 5 if i == 15 else None), i
+    assert found["you", 0][1] == "accepted" and found["me", 2][3] == "pdf_text" and found["me", 0][3] == "general"
+    much = {r.place: r.verdict for r in I.judged(rows, registry, max_total_bytes=10).collect() if r.owner == "me"}
+    assert much[0] == much[1] == "accepted" and much[2] == "too_much" and much[5] == "hidden"
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up/z.md").write_bytes(b"from a folder")
+    out = I.judged(I.uploaded(spark, str(tmp_path / "up"), "me"), registry).collect()
+    assert [(r.name, r.verdict, r.sha256) for r in out] == [("z.md", "accepted", digest(b"from a folder"))]
