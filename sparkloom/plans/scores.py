@@ -21,7 +21,29 @@ from sparkloom.sources import intake as I
 from sparkloom.sources.tables import table
 
 
-@query("question_strategies")
+def _has(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+def _like(column: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, '{p}', 'i')" for p in patterns) + ")"
+
+
+_STRATEGIES = f"""t AS (SELECT conv_id, turn, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM conversations),
+    c AS (SELECT *, len(list_filter(string_split_regex(trim(low), '\\s+'), lambda w: w IN ({", ".join(f"'{w}'" for w in S.QUESTION_WORDS)}))) AS q, {" + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in S.CONNECTORS)} AS j,
+      {" + ".join(f"CASE WHEN {_has('low', words)} THEN {weight} ELSE 0 END" for weight, words in S.INDICATORS)} AS b, length(t) - length(replace(t, '?', '')) AS m1, length(t) - length(replace(t, '？', '')) AS m2, lower(trim(t)) AS a FROM t),
+    s AS (SELECT *, CAST(CASE WHEN length(t) < 15 THEN 0 WHEN length(t) < 40 THEN 1 WHEN length(t) < 80 THEN 2 ELSE 3 END + CASE q WHEN 0 THEN 0.5 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END + CASE WHEN j >= 3 THEN 2 WHEN j >= 1 THEN 1 ELSE 0 END
+      + CASE WHEN m1 + m2 > 1 THEN 1 ELSE 0 END + least(3.0, b) AS DOUBLE) AS score, a <> '' AND ({_like('a', S.TASK)} OR {_like('a', S.FACT)} OR {_has('a', '?？')}) AS facts, len(regexp_extract_all(a, '[A-Za-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]')) AS n FROM c),
+    w AS (SELECT *, a <> '' AND ({_like('a', S.FORCE_WEB)} OR ({_like('a', S.FRESH)} AND NOT {_like('a', S.CASUAL)} AND facts)) AS web FROM s)"""
+
+
+@query(
+    "question_strategies",
+    f"""WITH {_STRATEGIES} SELECT conv_id, turn, score, CASE WHEN score <= 2 THEN 'simple' WHEN score <= 5 THEN 'medium' ELSE 'complex' END AS level,
+      ({_has('t', '和与')} AND {_has('t', S.SPLITS[0][1][:5])}) OR {_has('t', ["以及", "还有", "另外", "and also", "as well as"])} OR length(t) > 50 OR m1 > 1 OR m2 > 1 OR ({_has('t', S.SPLITS[1][1])} AND length(t) > 30) AS needed,
+      CASE {" ".join(f"WHEN {_has('t', words)} THEN '{name}'" for name, words in S.SPLITS)} ELSE 'general' END AS how, web,
+      a <> '' AND NOT web AND NOT {_like('a', S.TASK)} AND ({_like('a', S.CASUAL)} OR (n > 0 AND n <= 12 AND {_has('a', ["你", "我", "咱们", "我们"])} AND NOT facts)) AS small_talk FROM w""",
+)
 def question_strategies(spark, sf_dir):
     """Complexity, decomposition, web and small talk of each turn."""
     turns = table(spark, sf_dir, "conversations")
@@ -98,7 +120,15 @@ def _referring(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", said.alias("text"))
 
 
-@query("text_references")
+_CITED = "list_transform(list_filter(regexp_extract_all(t, '\\[([^\\]]+)\\]', 1), lambda x: regexp_matches(x, '^\\d+$|^[A-Z][a-z]+\\s+\\d{4}')), lambda x: {'id': x, 'text': '[' || x || ']', 'type': 'citation'})"
+_CROSSED = "list_transform(regexp_extract_all(t, '(?i)(Chapter|Section|Figure|Table)\\s+\\d+\\.?\\d*'), lambda x: {'id': regexp_extract(x, '\\s+(.*)$', 1), 'text': regexp_extract(x, '^\\w+') || ' ' || regexp_extract(x, '\\s+(.*)$', 1), 'type': 'cross_reference'})"
+
+
+@query(
+    "text_references",
+    f"""WITH p AS (SELECT p_partkey, p_name || ' [' || p_partkey || '] as in Section ' || p_size || '.' || p_partkey || ' and TABLE ' || p_size || ' [see] [Smith 20' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '], figure x' AS t FROM part)
+    SELECT p_partkey, CAST(i - 1 AS INTEGER) AS "at", r.id AS id, r.text AS text, r.type AS type FROM (SELECT p_partkey, list_concat({_CITED}, {_CROSSED}) AS l FROM p), unnest(l) WITH ORDINALITY AS u(r, i)""",
+)
 def text_references(spark, sf_dir):
     return _referring(spark, sf_dir).select("p_partkey", F.posexplode(K.references("text")).alias("at", "r")).select("p_partkey", "at", "r.*")
 
