@@ -28,14 +28,14 @@ _WORDS = f"""w AS (SELECT doc_id AS doc, u.word FROM documents, unnest(list_filt
     k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, word) AS place FROM s)"""
 
 
-@query("text_keywords", f"WITH {_WORDS} SELECT doc, place, word, round(score, 7) AS score FROM k WHERE place <= 10")
+@query("text_keywords", f"WITH {_WORDS} SELECT doc, place, word, score FROM k WHERE place <= 10")
 def text_keywords(spark, sf_dir):
-    return K.tf_idf(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 7))
+    return K.tf_idf(table(spark, sf_dir, "documents"))
 
 
-@query("text_density", f"WITH {_WORDS} SELECT doc, round(least(1.0, avg(score)), 7) AS density FROM k WHERE place <= 10 GROUP BY doc")
+@query("text_density", f"WITH {_WORDS} SELECT doc, round(least(1.0, avg(score)), 12) AS density FROM k WHERE place <= 10 GROUP BY doc")
 def text_density(spark, sf_dir):
-    return K.density(K.tf_idf(table(spark, sf_dir, "documents"))).withColumn("density", F.round("density", 7))
+    return K.density(K.tf_idf(table(spark, sf_dir, "documents"))).withColumn("density", F.round("density", 12))
 
 
 @query("text_rank")
