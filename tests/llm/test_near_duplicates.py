@@ -1,6 +1,8 @@
 """Jaccard join, repeated passages, embeddings and components against brute force."""
 
+import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -172,6 +174,29 @@ def test_without_repeats(make_docs):
     assert out[5].text.startswith(prose(105, 8)[:50]) and out[5].text.endswith(prose(205, 6)[-50:])
 
 
+def test_recall_of_paragraphs_against_all_pairs(spark):
+    """Of the whole small table: every pair of chosen paragraphs in two documents with a similarity of 0.75 or more lies in reported passages."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text}
+    ids, found = list(texts), []
+    p = substring_dedup.Passages([texts[i] for i in ids], substring_dedup.WordHash(), 28, 24)
+    sets = [set(p.shingle_set(k).tolist()) for k in range(len(p.first))]
+    holders: dict = {}
+    for k, x in enumerate(sets):
+        for item in x:
+            holders.setdefault(item, []).append(k)
+    common = Counter(pair for ks in holders.values() for pair in itertools.combinations(ks, 2) if p.text[pair[0]] != p.text[pair[1]])
+    pairs = [(a, b) for (a, b), n in common.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    spans: dict = {}
+    for r in queries.op4_substring_dedup(spark, SF).collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.stop))
+    for pair in pairs:
+        for k in pair:
+            start, stop = int(p.start[k]), int(p.stop[k])
+            covered = sum(max(0, min(stop, b) - max(start, a)) for a, b in spans.get(ids[p.text[k]], []))
+            found.append(covered >= 0.98 * (stop - start))
+    assert len(pairs) > 50 and np.mean(found) >= 0.98, (len(pairs), np.mean(found))
+
+
 def test_one_word_again_and_again(make_docs):
     """A long text of equal words has few runs, and all of it is found in another one, and a passage behind or before it too."""
     passages = substring_dedup.Passages(["word " * 20_000], substring_dedup.WordHash(), 28, 24)
