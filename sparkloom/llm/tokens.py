@@ -26,7 +26,11 @@ WORD_END = f"[^{SPACE}]+"
 
 
 class TextEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes. Remembers up to `remembered` pieces, then starts anew."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    Pieces are remembered in two generations of about `remembered`: a full one becomes the old one, what is used from there moves
+    on, and the rest goes when the next is full. So frequent pieces are encoded once and rare ones take bounded room.
+    """
 
     def __init__(self, tokenizer: str, cut: str, remembered: int = 600_000, longest: int = 200):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,20 +40,30 @@ class TextEncoder:
         self.cut = re.compile(cut)
         self.remembered, self.longest = remembered, longest
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > self.remembered:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         pieces = [self.cut.findall(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        new = list({p for row in pieces for p in row if p not in known})
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = array("I", found.ids).tobytes()
-        out = [b"".join(map(known.__getitem__, row)) for row in pieces]
+        found = [list(map(known.get, row)) for row in pieces]
+        holes = [[j for j, ids in enumerate(row) if ids is None] for row in found]
+        new = []
+        for piece in {row[j] for row, at in zip(pieces, holes, strict=True) for j in at}:
+            if piece in before:
+                known[piece] = before[piece]
+            else:
+                new.append(piece)
+        for piece, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[piece] = array("I", encoded.ids).tobytes()
+        for row, ids, at in zip(pieces, found, holes, strict=True):
+            for j in at:
+                ids[j] = known[row[j]]
         for piece in new:
             if len(piece) > self.longest:
                 del known[piece]
-        return out
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=4)
