@@ -33,9 +33,13 @@ def ranked(rows: DataFrame, keys: list[str], score: str, tiebreak: str, k: int |
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
+def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc"), T.tokens(text_col).alias("w")).withColumn("length", F.size("w"))
+
+
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, w, length) of all texts, read and cut into tokens once and written: lengths, document and term frequencies all come from it."""
-    return written_once(docs.select(F.col(id_col).alias("doc"), T.tokens(text_col).alias("w")).withColumn("length", F.size("w")), "tokens")
+    """(doc, w, length) of all texts, cut into tokens once and written, for several searches; for one, cutting anew was quicker than writing."""
+    return written_once(_words(docs, id_col, text_col), "tokens")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "doc_id", query_col: str = "item_id", text_col: str = "text", decimals: int = 8, words: DataFrame | None = None) -> DataFrame:
@@ -45,7 +49,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "doc_
     `docs` first to have the statistics of a scope, or give `words`, what `tokenised` made of them. Only occurrences of query terms are
     grouped by document.
     """
-    words = tokenised(docs, id_col, text_col) if words is None else words
+    words = _words(docs, id_col, text_col) if words is None else words
     stats = words.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).select("term", "n_docs", "mean_length", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
@@ -62,7 +66,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "doc_
 def overlap_search(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "doc_id", query_col: str = "item_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
     """As `bm25`, by the number of distinct query tokens that a document holds."""
     terms = queries.select(F.col(query_col).alias("query"), F.explode(F.array_distinct(T.tokens(text_col))).alias("term"))
-    words = docs.select(F.col(id_col).alias("doc"), T.tokens(text_col).alias("w")) if words is None else words
+    words = _words(docs, id_col, text_col) if words is None else words
     held = words.select("doc", F.explode(F.array_distinct("w")).alias("term"))
     scores = held.join(terms, "term").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score"))
     return ranked(scores, ["query"], "score", "doc", k).filter("score > 0")
