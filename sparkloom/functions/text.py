@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,11 @@ def text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body uses it; inside a function of array items, once and not per item."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(c: str | Column, pattern: str) -> Column:
     """All matches of a pattern, whole."""
     return F.regexp_extract_all(text(c), F.lit(pattern), F.lit(0))

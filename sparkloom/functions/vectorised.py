@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.functions.text import EMBEDDING_TOKEN, text, tokens
+from sparkloom.functions.text import EMBEDDING_TOKEN, let, text, tokens
 
 # --- Fixed values: what counts as confidential, in the order in which it is looked for; kinds whose spelling doesn't count; runs of punctuation ---
 CONFIDENTIAL = [
@@ -31,11 +31,6 @@ PUNCTUATION = r"[!?！？。．\.]{3,}"
 # --- end of fixed values ---
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 @F.pandas_udf(T.StringType())
 def _nfkc(c: pd.Series) -> pd.Series:
     return c.str.normalize("NFKC")
@@ -80,12 +75,12 @@ def _redacted(state: Column, steps: list[tuple[str, str]], kinds: list[str]) ->
                 joined = F.array_join(F.zip_with(f["pieces"], marks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
                 return _state(joined, kinds, lambda k: f["all"] if k == kind else s[k])
 
-            return F.when(F.size(names) > 0, _let(found, put)).otherwise(s)
+            return F.when(F.size(names) > 0, let(found, put)).otherwise(s)
 
         return numbered
 
     for kind, pattern in steps:
-        state = _let(state, step(kind, pattern))
+        state = let(state, step(kind, pattern))
     return state
 
 
@@ -112,7 +107,7 @@ def redact_all(texts: Column, terms: Sequence[str] = (), expressions: Sequence[s
 
     def step(s: Column, x: Column) -> Column:
         after = _redacted(_state(text(x), kinds, lambda k: s[k]), steps, kinds)
-        return _let(after, lambda r: F.struct(F.concat(s["done"], F.array(r["out"])).alias("done"), *[r[k].alias(k) for k in kinds])).cast(kind)
+        return let(after, lambda r: F.struct(F.concat(s["done"], F.array(r["out"])).alias("done"), *[r[k].alias(k) for k in kinds])).cast(kind)
 
     start = F.struct(none.alias("done"), *[none.alias(k) for k in kinds]).cast(kind)
     return F.aggregate(texts, start, step, lambda s: s["done"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators.references import trimmed
 from sparkloom.operators.verification import unmatched_numbers
+from sparkloom.sources.shared import written_once
 
 # --- Fixed values: personal data that stops a check; words that are no names; signs of a negation; shares of the stages ---
 PERSONAL = [
@@ -44,26 +45,38 @@ def _names(c: Column) -> Column:
 
 def missing_names(answer: Column, source: Column) -> Column:
     """Names of several words, or Chinese ones, that the source doesn't have: no word of it, or for Chinese neither the name nor a part."""
-    known = F.array_distinct(_names(source))
-    new = F.filter(F.array_except(_names(answer), known), lambda x: ~x.isin(NO_NAMES))
 
-    def unknown(x: Column) -> Column:
-        near = source.contains(x) | F.exists(known, lambda s: x.contains(s) | s.contains(x))
-        words = F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
-        return F.when(x.rlike(f"^{CHINESE}"), ~near).otherwise(x.contains(" ") & ~F.forall(words, lambda w: source.contains(w)))
+    def missing(known: Column) -> Column:
+        new = F.filter(F.array_except(_names(answer), known), lambda x: ~x.isin(NO_NAMES))
 
-    return F.filter(new, unknown)
+        def unknown(x: Column) -> Column:
+            near = source.contains(x) | F.exists(known, lambda s: x.contains(s) | s.contains(x))
+            words = F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
+            return F.when(x.rlike(f"^{CHINESE}"), ~near).otherwise(x.contains(" ") & ~F.forall(words, lambda w: source.contains(w)))
+
+        return F.filter(new, unknown)
+
+    return T.let(F.array_distinct(_names(source)), missing)
 
 
 def negation_conflict(answer: Column, source: Column) -> Column:
     """Just one side negates, and both speak of the same: two words or word stems in common, one of each, or a Chinese run."""
-    han = [F.array_distinct(T.matches(c, CHINESE + "{2,4}")) for c in (answer, source)]
-    a, s = (F.array_distinct(F.concat(T.matches(F.lower(c), r"(?U)\b\w{3,}\b"), h)) for c, h in zip((answer, source), han, strict=True))
-    shared = F.size(F.array_intersect(a, s))
-    stems = F.array_distinct(F.transform(F.filter(s, lambda x: F.length(x) >= 4), lambda x: F.left(x, F.lit(4))))
-    stemmed = F.size(F.filter(a, lambda x: (F.length(x) >= 4) & F.array_contains(stems, F.left(x, F.lit(4)))))
-    alike = F.arrays_overlap(*han) | (shared >= 2) | ((shared >= 1) & (stemmed >= 1)) | (stemmed >= 2)
-    return F.when(answer.rlike(NEGATION) != source.rlike(NEGATION), alike).otherwise(False)
+    def words(c: Column) -> Column:
+        han = F.array_distinct(T.matches(c, CHINESE + "{2,4}"))
+        return F.struct(han.alias("han"), F.array_distinct(F.concat(T.matches(F.lower(c), r"(?U)\b\w{3,}\b"), han)).alias("all"))
+
+    def stem(x: Column) -> Column:
+        return F.left(x, F.lit(4))
+
+    def alike(w: Column) -> Column:
+        a, s = w["a"]["all"], w["s"]["all"]
+        shared = F.size(F.array_intersect(a, s))
+        stems = F.array_distinct(F.transform(F.filter(s, lambda x: F.length(x) >= 4), stem))
+        stemmed = T.let(stems, lambda known: F.size(F.filter(a, lambda x: (F.length(x) >= 4) & F.array_contains(known, stem(x)))))
+        return F.arrays_overlap(w["a"]["han"], w["s"]["han"]) | (shared >= 2) | ((shared >= 1) & (stemmed >= 1)) | (stemmed >= 2)
+
+    both = F.struct(words(answer).alias("a"), words(source).alias("s"))
+    return F.when(answer.rlike(NEGATION) != source.rlike(NEGATION), T.let(both, alike)).otherwise(False)
 
 
 def _issue(name: str, when: Column) -> Column:
@@ -72,15 +85,17 @@ def _issue(name: str, when: Column) -> Column:
 
 def rule_issues(answer: Column, source: Column) -> Column:
     """date_mismatch, number_mismatch (once per number), entity_mismatch, negation_conflict; none where answer or source is empty."""
-    dates, numbers = [T.dates(c) for c in (answer, source)], [T.numbers(c) for c in (answer, source)]
-    off = F.when((F.size(numbers[0]) > 0) & (F.size(numbers[1]) > 0), F.size(unmatched_numbers(*numbers))).otherwise(0)
-    found = F.concat(
-        _issue("date_mismatch", (F.size(dates[1]) > 0) & (F.size(F.array_except(*dates)) > 0)),
-        F.array_repeat(F.lit("number_mismatch"), off),
-        _issue("entity_mismatch", F.size(missing_names(answer, source)) > 0),
-        _issue("negation_conflict", negation_conflict(answer, source)),
-    )
-    return F.when((answer != "") & (source != ""), found).otherwise(F.array().cast("array<string>"))
+    def issues(f: Column) -> Column:
+        off = F.when((F.size(f["n"]) > 0) & (F.size(f["n_source"]) > 0), F.size(unmatched_numbers(f["n"], f["n_source"]))).otherwise(0)
+        return F.concat(
+            _issue("date_mismatch", (F.size(f["d_source"]) > 0) & (F.size(F.array_except(f["d"], f["d_source"])) > 0)),
+            F.array_repeat(F.lit("number_mismatch"), off),
+            _issue("entity_mismatch", F.size(missing_names(answer, source)) > 0),
+            _issue("negation_conflict", negation_conflict(answer, source)),
+        )
+
+    figures = F.struct(T.dates(answer).alias("d"), T.dates(source).alias("d_source"), T.numbers(answer).alias("n"), T.numbers(source).alias("n_source"))
+    return F.when((answer != "") & (source != ""), T.let(figures, issues)).otherwise(F.array().cast("array<string>"))
 
 
 def _stage(name: str, confidence: Column, issues: Column) -> Column:
@@ -94,24 +109,29 @@ def personal(answer: Column) -> Column:
 
 def by_rules(answer: Column, source: Column) -> Column:
     """Personal data: confidence 0. Else 0.2 less for each issue, 0 at least."""
-    found, issues = personal(answer), rule_issues(answer, source)
-    return F.when(F.size(found) > 0, _stage("rules", F.lit(0.0), found)).otherwise(_stage("rules", F.greatest(F.lit(0.0), 1.0 - 0.2 * F.size(issues)), issues))
+    checked = T.let(rule_issues(answer, source), lambda issues: _stage("rules", F.greatest(F.lit(0.0), 1.0 - 0.2 * F.size(issues)), issues))
+    return T.let(personal(answer), lambda found: F.when(F.size(found) > 0, _stage("rules", F.lit(0.0), found)).otherwise(checked))
 
 
 def by_sentences(answer: Column, source: Column) -> Column:
     """Sentences of over 10 characters whose numbers and dates the source has, and a quarter of their words; an issue if over 30 % fail."""
     said = F.filter(F.transform(F.split(answer, r"(?U)[。！？.!?]\s*"), trimmed), lambda x: F.length(x) > 10)
-    numbers, dates, words = T.numbers(source), T.dates(source), F.array_distinct(T.matches(F.lower(source), r"(?U)\w+"))
+    facts = F.struct(T.numbers(source).alias("numbers"), T.dates(source).alias("dates"), F.array_distinct(T.matches(F.lower(source), r"(?U)\w+")).alias("words"))
 
-    def fails(s: Column) -> Column:
-        own = F.array_distinct(T.matches(F.lower(s), r"(?U)\w+"))
-        share = F.when(F.size(own) > 0, F.size(F.array_intersect(own, words)) / F.greatest(F.size(own), F.lit(1))).otherwise(0.0)
-        return (F.size(unmatched_numbers(T.numbers(s), numbers)) > 0) | (F.size(F.array_except(T.dates(s), dates)) > 0) | (share < 0.25)
+    def fails(s: Column, f: Column) -> Column:
+        few = lambda own: F.when(F.size(own) > 0, F.size(F.array_intersect(own, f["words"])) / F.greatest(F.size(own), F.lit(1))).otherwise(0.0) < 0.25
+        off = (F.size(unmatched_numbers(T.numbers(s), f["numbers"])) > 0) | (F.size(F.array_except(T.dates(s), f["dates"])) > 0)
+        return off | T.let(F.array_distinct(T.matches(F.lower(s), r"(?U)\w+")), few)
 
-    bad, n = F.size(F.filter(said, fails)), F.size(said)
-    some = _stage("sentences", 1.0 - bad / F.greatest(n, F.lit(1)), _issue("nli_contradiction", bad > n * 0.3))
-    none = F.array().cast("array<string>")
-    return F.when(n == 0, _stage("sentences", F.lit(1.0), none)).when(source == "", _stage("sentences", F.lit(0.5), none)).otherwise(some)
+    def some(v: Column) -> Column:
+        return _stage("sentences", 1.0 - v["bad"] / F.greatest(v["n"], F.lit(1)), _issue("nli_contradiction", v["bad"] > v["n"] * 0.3))
+
+    def staged(said: Column) -> Column:
+        counted = T.let(facts, lambda f: F.struct(F.size(F.filter(said, lambda s: fails(s, f))).alias("bad"), F.size(said).alias("n")))
+        none = F.array().cast("array<string>")
+        return F.when(F.size(said) == 0, _stage("sentences", F.lit(1.0), none)).when(source == "", _stage("sentences", F.lit(0.5), none)).otherwise(T.let(counted, some))
+
+    return T.let(said, staged)
 
 
 def by_citations(answer: Column, citations: Column, docs: Column) -> Column:
@@ -120,16 +140,21 @@ def by_citations(answer: Column, citations: Column, docs: Column) -> Column:
     Numbers or dates without citation or [mark]; a document that isn't there; a cited number that its document lacks (once for each
     number of the answer).
     """
-    numbers = F.size(T.numbers(answer))
-    bare = (F.size(citations) == 0) & (F.size(T.matches(answer, r"(?U)\[\d+\]")) == 0) & ((numbers > 0) | (F.size(T.dates(answer)) > 0))
 
-    def one(c: Column) -> Column:
-        found = F.filter(docs, lambda d: d["doc"] == c["doc"])
-        off = F.size(unmatched_numbers(T.numbers(c["content"]), T.numbers(F.get(found, F.lit(0))["content"]))) > 0
-        return F.when(F.size(found) == 0, F.array(F.lit("citation_invalid"))).when(off, F.array_repeat(F.lit("citation_mismatch"), numbers)).otherwise(F.array().cast("array<string>"))
+    def staged(numbers: Column) -> Column:
+        bare = (F.size(citations) == 0) & (F.size(T.matches(answer, r"(?U)\[\d+\]")) == 0) & ((numbers > 0) | (F.size(T.dates(answer)) > 0))
+
+        def one(c: Column) -> Column:
+            def against(found: Column) -> Column:
+                off = F.size(unmatched_numbers(T.numbers(c["content"]), T.numbers(F.get(found, F.lit(0))["content"]))) > 0
+                return F.when(F.size(found) == 0, F.array(F.lit("citation_invalid"))).when(off, F.array_repeat(F.lit("citation_mismatch"), numbers)).otherwise(F.array().cast("array<string>"))
+
+            return T.let(F.filter(docs, lambda d: d["doc"] == c["doc"]), against)
+
+        issues = F.concat(_issue("missing_citation", bare), F.flatten(F.transform(citations, one)))
+        return T.let(issues, lambda i: _stage("citations", F.greatest(F.lit(0.0), 1.0 - 0.15 * F.size(i)), i))
 
-    issues = F.concat(_issue("missing_citation", bare), F.flatten(F.transform(citations, one)))
-    return _stage("citations", F.greatest(F.lit(0.0), 1.0 - 0.15 * F.size(issues)), issues)
+    return T.let(F.size(T.numbers(answer)), staged)
 
 
 def validated(answers: DataFrame, judge: Judge | None = None, sentences: bool = False) -> DataFrame:
@@ -146,8 +171,8 @@ def validated(answers: DataFrame, judge: Judge | None = None, sentences: bool =
     stops = F.size(personal(F.col("_answer"))) > 0
 
     def then(df: DataFrame, stage: Column) -> DataFrame:
-        goes_on = ~stops & (F.element_at("stages", -1)["confidence"] >= 0.5)
-        return df.withColumn("stages", F.when(goes_on, F.concat("stages", F.array(stage))).otherwise(F.col("stages")))
+        goes_on = lambda s: ~stops & (F.element_at(s, -1)["confidence"] >= 0.5)
+        return df.withColumn("stages", T.let(F.col("stages"), lambda s: F.when(goes_on(s), F.concat(s, F.array(stage))).otherwise(s)))
 
     if sentences:
         out = then(out, by_sentences(F.col("_answer"), F.col("_source")))
@@ -155,6 +180,7 @@ def validated(answers: DataFrame, judge: Judge | None = None, sentences: bool =
     out = out.withColumn("issues", F.flatten(F.transform("stages", lambda s: s["issues"])))
     doubt = ~stops & (F.size("issues") > 0) & F.exists("stages", lambda s: s["confidence"] < 0.7)
     if judge is not None:
+        out = written_once(out, "stages")  # both branches read it
         again = judge(out.filter(doubt)).withColumn("stages", F.concat("stages", F.array(F.col("judged").cast(STAGE)))).drop("judged")
         again = again.withColumn("issues", F.flatten(F.transform("stages", lambda s: s["issues"])))
         out = out.filter(~doubt).unionByName(again)

@@ -20,7 +20,7 @@ def unmatched_numbers(answer: Column, source: Column, tolerance: float = 0.15) -
     def close(a: Column, s: Column) -> Column:
         return F.when((a == 0) | (s == 0), a == s).otherwise(F.abs(a - s) / F.greatest(F.abs(a), F.abs(s)) <= tolerance)
 
-    return F.filter(answer, lambda a: ~F.exists(source, lambda s: close(a, s)))
+    return T.let(source, lambda known: F.filter(answer, lambda a: ~F.exists(known, lambda s: close(a, s))))
 
 
 def unsupported(pairs: DataFrame, answer: str = "answer", evidence: str = "evidence") -> DataFrame:

@@ -1,6 +1,7 @@
 """Staged checks of answers against plain Python, with the rows that reach each stage."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,14 @@ def test_query_on_the_whole_small_table(spark):
     want = {k: checked(r.answer, pairs(r.docs), pairs(r.citations)) for k, r in given.items()}
     assert {(r.conv_id, r.turn): (r.stages, r.reached, r.issues.split(",") if r.issues else [], r.confidence) for r in rows} == want
     assert len({r.reached for r in rows}) > 1
+
+
+def test_long_answers_search_their_evidence_once(spark):
+    """Before, each pattern went over the evidence again for every word, number, name and sentence of the answer."""
+    said = " ".join(f"Word{i} Alpha{i} costs {i} dollars and not{i} thing{i}." for i in range(60))
+    held = " ".join(f"Other{i} Beta{i} costs {1000 + i * 7} euros never thing{i}." for i in range(200))
+    rows = spark.range(12).select(F.lit(said).alias("answer"), F.array(*[F.struct(F.lit(str(k)).alias("doc"), F.lit(held).alias("content")) for k in range(5)]).alias("docs"))
+    rows = rows.withColumn("citations", F.slice("docs", 1, 1))
+    began = time.monotonic()
+    assert C.validated(rows, judge=C.support_judge(), sentences=True).select("reached", "confidence").distinct().count() == 1
+    assert time.monotonic() - began < 25
