@@ -45,6 +45,9 @@ ASKED = [
 BOOST = 1.15
 # --- end of fixed values ---
 
+#: Lengths that one list of forms covers when forms near one another are looked for.
+BAND = 8
+
 
 def tagged(text: str | Column, patterns: Sequence[str]) -> Column:
     """All matches as (rule, at, text): rule after rule, in the order of the text."""
@@ -131,36 +134,26 @@ def expanded(questions: DataFrame, synonyms: DataFrame, ratio: float = 3.0, most
     return asked_.join(lists, "query", "left").select("query", F.when(F.col("new").isNotNull(), whole).otherwise(F.col("text")).alias("expanded"))
 
 
-def _cuts(rows: DataFrame, by: str, low: str, distance: int) -> DataFrame:
-    """`rows` with `cut`: the lower-cased form without up to `distance` characters. Forms within that distance have a cut in common."""
-    out = rows.withColumn("cut", F.col(low))
-    every = out
-    for _ in range(distance):
-        places = F.sequence(F.lit(1), F.greatest(F.length("cut"), F.lit(1)))
-        out = out.withColumn("cut", F.explode(F.transform(places, lambda i: F.concat(F.substr(F.col("cut"), F.lit(1), i - 1), F.substr(F.col("cut"), i + 1))))).distinct()
-        every = every.unionByName(out)
-    return every.distinct()
-
-
 def agreed(ours: DataFrame, theirs: DataFrame, distance: int = 2) -> DataFrame:
     """(doc, text, confidence, by_both, ours): the entities of two extractors as one list per text.
 
     Both have (doc, place, text, confidence). Of their forms that are equal in lower case the first counts. One of ours that is equal to
     one of theirs, or else within the edit distance of one (the nearest, then the first), raises its confidence by `BOOST`, up to 1; the
-    rest are new. Nearness is found by a join on forms with characters left out, so no list meets another whole.
+    rest are new. Their forms of a text lie in lists by length, and one of ours meets the one list that holds all lengths near its own.
     """
     low = F.lower(F.trim("text"))
-    mine = ours.select("doc", F.col("place").alias("at"), F.trim("text").alias("text"), low.alias("low"), "confidence")
+    mine = ours.select("doc", F.trim("text").alias("text"), low.alias("low"), "confidence").withColumn("band", F.floor(F.length("low") / BAND))
     known = theirs.select("doc", "place", F.trim("text").alias("text"), low.alias("low"), "confidence")
-    known = known.groupBy("doc", "low").agg(F.min(F.struct("place", "text", "confidence")).alias("f")).select("doc", "low", "f.*")
-    exact = mine.join(known.select("doc", "low", F.col("low").alias("to")), ["doc", "low"], "left")
-    left = exact.filter("to is null").select("doc", "low").distinct()
-    near = _cuts(left, "doc", "low", distance).join(_cuts(known.select("doc", F.col("low").alias("other"), "place"), "doc", "other", distance), ["doc", "cut"])
-    near = near.select("doc", "low", F.struct(F.levenshtein("low", "other").alias("d"), "place", "other").alias("m")).filter(F.col("m.d") <= distance)
-    best = near.groupBy("doc", "low").agg(F.min("m")["other"].alias("near"))
-    matched = exact.join(best, ["doc", "low"], "left").select("doc", "at", "text", "low", "confidence", F.coalesce("to", "near").alias("to"))
+    known = known.groupBy("doc", "low").agg(F.min(F.struct("place", "text", "confidence")).alias("f"))
+    n = F.length("low")
+    bands = F.sequence(F.floor(F.greatest(n - distance, F.lit(0)) / BAND), F.floor((n + distance) / BAND))
+    lists = known.select("doc", F.explode(bands).alias("band"), F.struct("f.place", "low").alias("x")).groupBy("doc", "band").agg(F.collect_list("x").alias("near"))
+    away = lambda x: F.when(F.abs(F.length("low") - F.length(x["low"])) <= distance, F.levenshtein(F.col("low"), x["low"], distance))
+    measured = F.transform("near", lambda x: F.struct(away(x).alias("d"), x["place"].alias("place"), x["low"].alias("low")))
+    best = F.array_min(F.filter(measured, lambda m: m["d"] >= 0))["low"]  # an equal form is at distance 0; one too far at -1 or null
+    matched = mine.join(lists, ["doc", "band"], "left").select("doc", "text", "confidence", best.alias("to"))
     votes = matched.filter("to is not null").groupBy("doc", F.col("to").alias("low")).agg(F.count("*").alias("n"))
-    raised = known.join(votes, ["doc", "low"], "left").select(
+    raised = known.select("doc", "low", "f.text", "f.confidence").join(votes, ["doc", "low"], "left").select(
         "doc", "text", F.when(F.col("n") > 0, F.least(F.lit(1.0), F.col("confidence") * F.pow(F.lit(BOOST), "n"))).otherwise(F.col("confidence")).alias("confidence"),
         (F.coalesce("n", F.lit(0)) > 0).alias("by_both"), F.lit(False).alias("ours"),
     )

@@ -132,3 +132,14 @@ def test_expansion(spark):
     words = spark.createDataFrame([("ml", ["machine learning", "Meta Language"]), ("ai", ["artificial intelligence", "MACHINE LEARNING"]), ("ML", ["unused"])], "term string, synonyms array<string>")
     found = {r.query: r.expanded for r in E.expanded(asked, words).collect()}
     assert found == {1: "What is ML in AI ? machine learning Meta Language artificial intelligence", 2: "no entity", 3: "ML machine learning Meta Language", 4: "", 5: "ML machine learning Meta Language"}
+
+
+def test_agreement_of_long_forms(spark):
+    """Before, a form of n characters became n * n / 2 forms of its length, so these didn't end."""
+    a, b = "Ab" + "Cde" * 2000, "Xy" + "Zuv" * 2000
+    columns = "doc long, place int, text string, confidence double"
+    ours = [(i, k, x + str(k), 0.5) for i in range(4) for k, x in enumerate((a, b, "abcdefgh", "abcdef"))]
+    theirs = [(i, k, x, 0.6) for i in range(4) for k, x in enumerate((a[:-1], "Q" + b[2:] + "9", "abcdefgh", "abcdefg"))]
+    found = {(r.doc, r.text): (r.by_both, r.ours, round(r.confidence, 6)) for r in E.agreed(spark.createDataFrame(ours, columns), spark.createDataFrame(theirs, columns)).collect()}
+    want = {a[:-1]: (True, False, 0.69), "Q" + b[2:] + "9": (False, False, 0.6), "abcdefgh": (True, False, 0.69), "abcdefg": (True, False, 0.69), b + "1": (False, True, 0.5)}
+    assert found == {(i, t): w for i in range(4) for t, w in want.items()}
