@@ -5,12 +5,15 @@ Every ranking has an explicit tiebreak: equal scores go by ascending id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
 from sparkloom.functions import text as T
 from sparkloom.sources.shared import written_once
@@ -42,12 +45,83 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return written_once(_words(docs, id_col, text_col), "tokens")
 
 
+#: Terms of queries, each counted for its query, up to which they go to all tasks; queries of one table of scores; its additions at a time.
+SENT_TERMS, TOGETHER, ADDED = 1 << 18, 256, 1 << 21
+
+
+def _sent(words: DataFrame, asked: DataFrame) -> bool:
+    """Whether the queries are few enough to go to all tasks, and each document is one row with a number as id."""
+    numbers = isinstance(words.schema["doc"].dataType, D.IntegralType) and isinstance(asked.schema["query"].dataType, (D.IntegralType, D.StringType))
+    return numbers and asked.limit(SENT_TERMS + 1).count() <= SENT_TERMS and words.groupBy("doc").count().filter("count > 1 or doc is null").isEmpty()
+
+
+def _scored_in_place(words: DataFrame, weights: DataFrame, k: int, decimals: int, held: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(query, doc, score): each task's k best of each query by the sum of weight x held(occurrences, length) over the query's terms.
+
+    `weights` (query, term, weight) goes to all tasks. A task adds up the scores of its own documents and gives back only the best of
+    them, so neither occurrences nor pairs of query and document are shuffled.
+    """
+    by_query: dict = {}
+    for r in weights.select("query", "term", "weight").toLocalIterator():
+        by_query.setdefault(r["query"], []).append((r["term"], r["weight"]))
+    asked, blocks = list(by_query), []
+    for a in range(0, len(asked), TOGETHER):
+        rows = sorted((t, q, w) for q, x in enumerate(asked[a : a + TOGETHER]) for t, w in by_query[x])
+        terms, first = np.unique(np.array([t for t, _, _ in rows], object), return_index=True)
+        blocks.append((asked[a : a + TOGETHER], list(terms), np.append(first, len(rows)), np.array([q for _, q, _ in rows]), np.array([w for _, _, w in rows])))
+
+    def scores(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, block: tuple) -> np.ndarray:
+        ids, _, first, queries, weight = block
+        times = first[term + 1] - first[term]
+        of = np.repeat(np.arange(len(term)), times)
+        at = np.arange(len(of)) + np.repeat(first[term] - (np.cumsum(times) - times), times)
+        return np.bincount(row[of] * len(ids) + queries[at], value[of] * weight[at], n * len(ids)).reshape(n, len(ids))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [pa.array(b[1], pa.string()) for b in blocks]
+        # of each block: query, score and document of the best so far, and score and document that a full list ends with
+        kept = [(np.zeros(0, int), np.zeros(0), np.zeros(0, "<i8")) for _ in blocks]
+        floors = [(np.zeros(len(b[0])), np.full(len(b[0]), np.iinfo("<i8").min)) for b in blocks]
+        for batch in batches:
+            lists, length, docs = (batch.column(c) for c in ("w", "length", "doc"))
+            ends = lists.offsets.to_numpy()
+            flat, length, docs = lists.values.slice(ends[0], ends[-1] - ends[0]), length.to_numpy(), docs.to_numpy()
+            of = np.repeat(np.arange(len(docs)), np.diff(ends))
+            for i, block in enumerate(blocks):
+                found = pc.fill_null(pc.index_in(flat, value_set=sets[i]), -1).to_numpy()
+                key, tf = np.unique((of * len(sets[i]) + found)[found >= 0], return_counts=True)
+                if not len(key):
+                    continue
+                row, term = np.divmod(key, len(sets[i]))
+                value = held(tf, length[row])
+                parts = np.cumsum(block[2][term + 1] - block[2][term]) // ADDED  # whole documents, about as many additions each
+                starts = np.unique(np.searchsorted(row, row[np.flatnonzero(np.diff(parts, prepend=-1))]))
+                for a, b in zip(starts, [*starts[1:], len(row)], strict=True):
+                    here, place = np.unique(row[a:b], return_inverse=True)
+                    s, d, (low, last) = np.round(scores(place, term[a:b], value[a:b], len(here), block), decimals), docs[here].astype("<i8"), floors[i]
+                    r, q = np.nonzero((s > low) | ((s == low) & (d[:, None] < last)))
+                    q, s, d = (np.concatenate(x) for x in zip(kept[i], (q, s[r, q], d[r]), strict=True))
+                    order = np.lexsort((d, -s, q))
+                    q, s, d = q[order], s[order], d[order]
+                    rank = np.arange(len(q)) - np.searchsorted(q, q)
+                    kept[i] = tuple(x[rank < k] for x in (q, s, d))
+                    full = rank == k - 1
+                    low[q[full]], last[q[full]] = s[full], d[full]
+        for (ids, *_), (q, s, d) in zip(blocks, kept, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q], pa.string() if text else pa.int64()), pa.array(d), pa.array(s)], ["query", "doc", "score"])
+
+    kind, doc = weights.schema["query"].dataType, words.schema["doc"].dataType
+    text = isinstance(kind, D.StringType)
+    found = words.select("doc", "w", "length").mapInArrow(best, f"query {'string' if text else 'long'}, doc long, score double")
+    return found.select(F.col("query").cast(kind).alias("query"), F.col("doc").cast(doc).alias("doc"), "score")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "doc_id", query_col: str = "item_id", text_col: str = "text", decimals: int = 8, words: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, rank) of the k best documents of each query by Okapi BM25, without scores of 0 or less.
 
     Terms that more than half of the documents hold have a negative idf, which is replaced by a quarter of the mean idf. Filter
-    `docs` first to have the statistics of a scope, or give `words`, what `tokenised` made of them. Only occurrences of query terms are
-    grouped by document.
+    `docs` first to have the statistics of a scope, or give `words`, what `tokenised` made of them. Queries up to `SENT_TERMS` go to the
+    documents; beyond, or where rows share an id, occurrences of query terms are grouped by document.
     """
     words = _words(docs, id_col, text_col) if words is None else words
     stats = words.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
@@ -57,6 +131,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: str = "doc_
     asked = queries.select(F.col(query_col).alias("query"), F.explode(T.tokens(text_col)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     wanted = asked.select("term").distinct()
     idf = raw.join(wanted, "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
+    if _sent(words, asked):
+        weights = idf.join(asked, "term").select("query", "term", (F.col("times") * F.col("idf")).alias("weight"))
+        average = stats.first()["mean_length"]
+        out = _scored_in_place(words, weights, k, decimals, lambda tf, length: tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average)))
+        return ranked(out, ["query"], "score", "doc", k)
     tf = words.select("doc", "length", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scores = tf.join(idf, "term").join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum(part), decimals).alias("score"))
@@ -67,6 +146,9 @@ def overlap_search(docs: DataFrame, queries: DataFrame, k: int = 6, *, id_col: s
     """As `bm25`, by the number of distinct query tokens that a document holds."""
     terms = queries.select(F.col(query_col).alias("query"), F.explode(F.array_distinct(T.tokens(text_col))).alias("term"))
     words = _words(docs, id_col, text_col) if words is None else words
+    if _sent(words, terms):
+        out = _scored_in_place(words, terms.withColumn("weight", F.lit(1.0)), k, 0, lambda tf, length: np.ones(len(tf)))
+        return ranked(out, ["query"], "score", "doc", k)
     held = words.select("doc", F.explode(F.array_distinct("w")).alias("term"))
     scores = held.join(terms, "term").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score"))
     return ranked(scores, ["query"], "score", "doc", k).filter("score > 0")

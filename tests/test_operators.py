@@ -228,3 +228,23 @@ def test_compression_of_every_query(spark):
     df = spark.createDataFrame([(docs, ["x"])], "docs array<struct<doc:long,sentences:array<string>>>, terms array<string>")
     found = df.select(U.compressed_in_turn(F.col("docs"), F.col("terms"), budget=100).alias("k")).first().k
     assert [(k.doc, len(k.text)) for k in found] == [(1, 30), (3, 20), (5, 50)]
+
+
+@pytest.mark.parametrize("search", [R.bm25, R.overlap_search])
+def test_searches_score_documents_where_they_lie(spark, monkeypatch, search):
+    """Before, every pair of query and document that share a word was shuffled. The joins that larger query sets take give the same rows."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(1, 40) if (i * 7 + j * j) % (j % 9 + 2) == 0) + (" w3" * (i % 4)), "x") for i in range(300)] + [(300, None, "x"), (301, "", "x"), (302, "w1 w1 中文", "x")], "doc_id long, text string, term string")
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i} w{2 * i} zz") for i in range(1, 20)] + [(50, None), (51, "中 w1")], "item_id int, text string").repartition(3)
+    rows = lambda found: sorted(map(tuple, found.select("query", "doc", F.round("score", 6), "rank").collect()))
+    few = search(docs, asked, 4)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    ours = rows(few)
+    monkeypatch.setattr(R, "TOGETHER", 3)
+    monkeypatch.setattr(R, "ADDED", 10)
+    assert rows(search(docs, asked, 4)) == ours
+    monkeypatch.setattr(R, "SENT_TERMS", 0)
+    assert rows(search(docs, asked, 4)) == ours and len(ours) > 70
+    monkeypatch.undo()
+    shared = docs.unionByName(docs.filter("doc_id < 5"))
+    assert "Join" in search(shared, asked, 4)._jdf.queryExecution().optimizedPlan().toString()
