@@ -46,17 +46,27 @@ def _ranks(lists: pa.Array, span: int, damping: float, rounds: int) -> tuple[np.
     return of, coded.dictionary.take(pa.array(nodes % (len(coded.dictionary) or 1))), np.round(score / np.where(best[of] > 0, best[of], 1), 9)
 
 
+#: Words of texts that are ranked at once, whole texts only.
+RANKED_WORDS = 1 << 17
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of whole texts with about `RANKED_WORDS` words each, so that no part's graph grows with the batch."""
+    words = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.flatnonzero(np.diff(words // RANKED_WORDS, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def text_rank(docs: DataFrame, most: int = 10, span: int = 5, damping: float = 0.85, rounds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, place, word, score): the words that words near them lead to, relative to the best; of equal scores by spelling.
 
     Two different words are linked as often as they stand less than `span` words apart. Rows that share an id are texts of their own; a
-    text without words has no rows. A batch of texts is worked on at once, and nothing is shuffled.
+    text without words has no rows. Texts are worked on some at a time, and nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _parts(whole)):
             of, word, score = _ranks(batch.column(1), span, damping, rounds)
             spelling = pc.rank(word, tiebreaker="dense").to_numpy(zero_copy_only=False) if len(word) else np.zeros(0)
             order = np.lexsort((spelling, -score, of))
