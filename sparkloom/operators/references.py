@@ -41,11 +41,14 @@ def sentences(c: str | Column) -> Column:
 
 def mentioned(sentence: Column, most: int | None = None) -> Column:
     """Entities of a sentence, each once in any case, rule after rule; the last `most` of them."""
+
+    def chosen(f: Column) -> Column:
+        distinct = F.array_distinct(f["keys"])
+        last = distinct if most is None else T.let(distinct, lambda d: F.slice(d, F.greatest(F.lit(1), F.size(d) - (most - 1)), most))
+        return F.transform(last, lambda k: F.element_at(f["found"], F.array_position(f["keys"], k).cast("int")))
+
     found = F.concat(*[T.matches(sentence, f"(?U){p}") for p in ENTITIES])
-    keys = F.transform(found, F.lower)
-    distinct = F.array_distinct(keys)
-    chosen = distinct if most is None else F.slice(distinct, F.greatest(F.lit(1), F.size(distinct) - (most - 1)), most)
-    return F.transform(chosen, lambda k: F.element_at(found, F.array_position(keys, k).cast("int")))
+    return T.let(T.let(found, lambda f: F.struct(f.alias("found"), F.transform(f, F.lower).alias("keys"))), chosen)
 
 
 def _first(c: Column, pattern: str, put: Column) -> Column:
@@ -100,10 +103,12 @@ def with_context(c: str | Column, most: int = 10, shown: int = 3) -> Column:
         return F.when(F.array_contains(stack, entity), stack).when(F.size(stack) >= most, F.slice(grown, 2, most)).otherwise(grown)
 
     def step(state: Column, sentence: Column) -> Column:
-        stack = F.aggregate(mentioned(sentence), state["stack"], push)
-        tail = F.slice(stack, F.greatest(F.lit(1), F.size(stack) - (shown - 1)), shown)
-        said = F.when(F.size(stack) > 0, F.concat(F.lit("[Context: "), F.array_join(tail, ", "), F.lit("] "), sentence)).otherwise(sentence)
-        return F.struct(stack.alias("stack"), F.concat(state["said"], F.array(said)).alias("said"))
+        def after(stack: Column) -> Column:
+            tail = F.slice(stack, F.greatest(F.lit(1), F.size(stack) - (shown - 1)), shown)
+            said = F.when(F.size(stack) > 0, F.concat(F.lit("[Context: "), F.array_join(tail, ", "), F.lit("] "), sentence)).otherwise(sentence)
+            return F.struct(stack.alias("stack"), F.concat(state["said"], F.array(said)).alias("said"))
+
+        return T.let(F.aggregate(mentioned(sentence), state["stack"], push), after)
 
     return F.aggregate(sentences(c), F.struct(none.alias("stack"), none.alias("said")), step, lambda s: F.array_join(s["said"], " "))
 

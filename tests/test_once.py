@@ -23,3 +23,7 @@ def test_texts_are_ranked_some_at_a_time(spark, monkeypatch):
     parts = list(K._parts(batch))
     assert len(parts) > 2 and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
     assert sorted(map(tuple, K.text_rank(texts(spark)).collect())) == sorted(map(tuple, whole))
+
+
+def test_entities_of_a_sentence_are_looked_for_once(spark):
+    assert analysed(texts(spark).select(R.with_context("text").alias("x"))).count("regexp_extract_all(") == len(R.ENTITIES)
