@@ -24,7 +24,8 @@ def with_synonyms(rows: DataFrame, synonyms: DataFrame, most: int = 2) -> DataFr
     """(query, words, expression): each word and behind it up to `most` of its synonyms (term, synonym) in order of spelling, none twice in a
     question; and the words joined, those with synonyms as a group of alternatives."""
     place = F.row_number().over(Window.partitionBy("term").orderBy("synonym"))
-    top = synonyms.select("term", "synonym").dropna().distinct().withColumn("_p", place).filter(F.col("_p") <= most)
+    asked = rows.select(F.col("word").alias("term")).distinct()  # no list is made of terms that no question has
+    top = synonyms.join(asked, "term", "left_semi").select("term", "synonym").dropna().distinct().withColumn("_p", place).filter(F.col("_p") <= most)
     lists = top.groupBy("term").agg(F.array_sort(F.collect_list("synonym")).alias("more"))
     met = rows.join(lists, F.col("word") == F.col("term"), "left").select("query", "at", F.concat(F.array("word"), F.coalesce("more", F.array().cast("array<string>"))).alias("group"))
     found = met.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("at", "group"))).alias("l"))

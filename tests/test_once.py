@@ -27,3 +27,9 @@ def test_texts_are_ranked_some_at_a_time(spark, monkeypatch):
 
 def test_entities_of_a_sentence_are_looked_for_once(spark):
     assert analysed(texts(spark).select(R.with_context("text").alias("x"))).count("regexp_extract_all(") == len(R.ENTITIES)
+
+
+def test_only_asked_terms_have_synonyms_listed(spark):
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "z")], "query long, at int, word string")
+    found = D.with_synonyms(rows, spark.createDataFrame([("a", "b"), ("q", "r")], "term string, synonym string"))
+    assert "LeftSemi" in analysed(found) and found.first().expression == "(a OR b) z"
