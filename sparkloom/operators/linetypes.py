@@ -66,10 +66,15 @@ def level(title: Column) -> Column:
 
 def kind(line: Column) -> Column:
     """The place of a line's own kind in `KINDS`, and 8 more if it could go on in a block of code."""
+
+    def of(x: Column) -> Column:
+        own, end, code = x["own"], x["end"], x["code"]
+        base = F.when(own == "", 0).when(is_title(own), 1).when(_any(end, ITEMS), 2).when(_any(end, ROWS), 3).when(x["code_end"], 4).otherwise(5)
+        return base + F.when((own != "") & code, 8).otherwise(0)
+
     end = F.regexp_replace(line, f"(?U){SPACE}+$", "")
-    own = trimmed(line)
-    base = F.when(own == "", 0).when(is_title(own), 1).when(_any(end, ITEMS), 2).when(_any(end, ROWS), 3).when(is_code(end), 4).otherwise(5)
-    return base + F.when((own != "") & is_code(line), 8).otherwise(0)
+    cut = F.struct(trimmed(line).alias("own"), end.alias("end"), is_code(line).alias("code"))
+    return X.let(X.let(cut, lambda x: F.struct(x["own"].alias("own"), x["end"].alias("end"), x["code"].alias("code"), is_code(x["end"]).alias("code_end"))), of)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -103,7 +108,8 @@ def typed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     no bullet, and half its indent as its level. Rows that share an id are texts of one number, so give each its own.
     """
     lines = F.split(X.text(text_col), LINE_END)
-    kinds = docs.select(F.col(id_col).alias("doc"), lines.alias("lines"), _blocks(F.transform(lines, kind)).alias("blocks"), F.transform(lines, kind).alias("kinds"))
+    marked = X.let(lines, lambda x: F.struct(x.alias("lines"), F.transform(x, kind).alias("kinds")))
+    kinds = docs.select(F.col(id_col).alias("doc"), marked.alias("m")).withColumn("blocks", _blocks("m.kinds")).select("doc", "m.lines", "m.kinds", "blocks")
     rows = kinds.select("doc", F.posexplode(F.arrays_zip("lines", "blocks", "kinds")).alias("at", "x")).filter("x.blocks >= 0")
     rows = rows.select("doc", F.col("x.blocks").alias("block"), "at", F.col("x.lines").alias("line"), F.col("x.kinds").bitwiseAND(7).alias("kind"))
     grouped = rows.groupBy("doc", "block").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "line"))).alias("l"))
@@ -111,10 +117,12 @@ def typed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own = trimmed(first["line"])
 
     def put(x: Column) -> Column:
-        word = trimmed(x["line"])
-        last = F.right(word, F.lit(1))
-        glued = last.rlike(HAN) | F.lit(JOINED_BEHIND).contains(last) | ~last.rlike(r"[\p{L}\p{N}]")
-        return F.concat(word, F.when(glued, "").otherwise(" "))
+        def spaced(word: Column) -> Column:
+            last = F.right(word, F.lit(1))
+            glued = last.rlike(HAN) | F.lit(JOINED_BEHIND).contains(last) | ~last.rlike(r"[\p{L}\p{N}]")
+            return F.concat(word, F.when(glued, "").otherwise(" "))
+
+        return X.let(trimmed(x["line"]), spaced)
 
     paragraph = F.concat(F.array_join(F.transform(F.slice(F.col("l"), F.lit(1), F.size("l") - 1), put), ""), trimmed(F.element_at("l", -1)["line"]))
     bare = own

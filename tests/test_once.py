@@ -33,3 +33,8 @@ def test_only_asked_terms_have_synonyms_listed(spark):
     rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "z")], "query long, at int, word string")
     found = D.with_synonyms(rows, spark.createDataFrame([("a", "b"), ("q", "r")], "term string, synonym string"))
     assert "LeftSemi" in analysed(found) and found.first().expression == "(a OR b) z"
+
+
+def test_a_line_is_trimmed_once(spark):
+    df = texts(spark)
+    assert analysed(df.select(N.kind(df.text).alias("x"))).count("regexp_replace(") == 4
