@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import questions as Q
 from sparkloom.functions import text as T
+from sparkloom.sources.shared import written_once
 
 RANKED = "doc long, place int, word string, score double"
 
@@ -50,10 +54,11 @@ def _ranks(lists: pa.Array, span: int, damping: float, rounds: int) -> tuple[np.
 RANKED_WORDS = 1 << 17
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of whole texts with about `RANKED_WORDS` words each, so that no part's graph grows with the batch."""
-    words = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    starts = np.flatnonzero(np.diff(words // RANKED_WORDS, prepend=-1))
+def _parts(batch: pa.RecordBatch, sizes: pa.Array | None = None, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of whole texts with about `RANKED_WORDS` words each (or `size` of what `sizes` counts), so that no part's graph grows with the batch."""
+    sizes, size = pc.list_value_length(batch.column(1)) if sizes is None else sizes, size or RANKED_WORDS
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.flatnonzero(np.diff(ends // size, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=False):
         yield batch.slice(a, b - a)
 
@@ -78,18 +83,90 @@ def text_rank(docs: DataFrame, most: int = 10, span: int = 5, damping: float = 0
     return docs.select(F.col(id_col).cast("long"), words(text_col)).mapInArrow(run, RANKED)
 
 
+#: Characters of texts that are counted at once, and about how many words of the vocabulary every task knows.
+COUNTED_CHARACTERS, KNOWN_WORDS = 1 << 23, 1 << 18
+_BAG = "doc long, words string, counts string"
+
+
+def _by_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (part for batch in batches for part in _parts(batch, pc.binary_length(batch.column(1)), COUNTED_CHARACTERS))
+
+
+def _counted(texts: DataFrame, shortest: int) -> DataFrame:
+    """(doc, words, counts): the distinct words of each text (doc, low: in lower case) and how often it has them, joined by spaces; texts without words have no row."""
+    token, stop = re.compile(re.sub(r"\\x\{(\w+)\}", r"\\u\1", T.BM25_TOKEN)), frozenset(T.REWRITE_STOP_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_characters(batches):
+            bags = [[(w, n) for w, n in Counter(token.findall(low)).items() if len(w) >= shortest and w not in stop] for low in batch.column(1).to_pylist()]
+            said = [(" ".join([w for w, _ in b]), " ".join([str(n) for _, n in b])) for b in bags if b]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(map(bool, bags), pa.bool_())), *[pa.array([x[k] for x in said], pa.string()) for k in range(2)]], names=["doc", "words", "counts"])
+
+    return texts.mapInArrow(run, _BAG)
+
+
+def _bags(docs: DataFrame, shortest: int, id_col: str, text_col: str) -> DataFrame:
+    """`_counted`, one row for all texts that share an id. Only those are shuffled."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.lower(T.text(text_col)).alias("low"))
+    several = written_once(texts.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc").alias("shared")), "shared-ids")
+    same = F.col("doc").eqNullSafe(F.col("shared"))
+    parts = _counted(texts.join(several, same, "left_semi"), shortest).select("doc", F.explode(F.arrays_zip(F.split("words", " ").alias("word"), F.split("counts", " ").alias("n"))).alias("w"))
+    sums = parts.groupBy("doc", F.col("w.word").alias("word")).agg(F.sum(F.col("w.n").cast("long")).alias("n"))
+    whole = sums.groupBy("doc").agg(F.collect_list(F.struct("word", "n")).alias("w")).select("doc", F.array_join("w.word", " ").alias("words"), F.array_join(F.col("w.n").cast("array<string>"), " ").alias("counts"))
+    return _counted(texts.join(several, same, "left_anti"), shortest).unionByName(whole)
+
+
+def _texts_of_words(bags: DataFrame) -> DataFrame:
+    """(word, df): in how many texts a word is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_characters(batches):
+            found = pc.value_counts(pc.list_flatten(pc.split_pattern(batch.column(1), " ")))
+            yield pa.RecordBatch.from_arrays(found.flatten(), names=["word", "df"])
+
+    return bags.select("doc", "words").mapInArrow(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
+
+
+def _candidates(bags: DataFrame, known: list[tuple[str, float]], rare: tuple[float, float], most: int) -> DataFrame:
+    """(doc, word, share, idf) of the words of a text that may be among its `most` best; idf is null for words that aren't `known`, which lies in `rare`."""
+    names, idf = pa.array([w for w, _ in known], pa.string()), np.array([*(x for _, x in known), 0.0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_characters(batches):
+            words = pc.split_pattern(batch.column(1), " ")
+            size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            word, n = pc.list_flatten(words), pc.list_flatten(pc.split_pattern(batch.column(2), " ")).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            share = n / np.bincount(row, n, len(size))[row]
+            at = pc.fill_null(pc.index_in(word, names), -1).to_numpy(zero_copy_only=False)
+            least, best = (share * np.where(at >= 0, idf[at], x) for x in rare)
+            falling = least[np.lexsort((-least, row))]
+            bound = np.full(len(size), -np.inf)
+            full = size >= most
+            bound[full] = falling[first[full] + most - 1]
+            may = np.flatnonzero(best >= bound[row] - 2e-9)  # scores are rounded to 9 places
+            picked = pa.array(may)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[may])), word.take(picked), pa.array(share[may]), pa.array(idf[at[may]], mask=at[may] < 0)], names=["doc", "word", "share", "idf"])
+
+    return bags.mapInArrow(run, "doc long, word string, share double, idf double")
+
+
 def tf_idf(docs: DataFrame, most: int = 10, shortest: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, place, word, score): share of the text's words times the logarithm of all texts with words over those with the word.
 
-    Rows that share an id are one text.
+    Rows that share an id are one text. Words are counted where a text lies. All tasks know the words that are in many texts, fewer than
+    `KNOWN_WORDS`; a word that isn't one of them is in few texts, which bounds its score on both sides. Only words that may be among the
+    best by these bounds leave their text, and only rare ones look their count up.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.explode(words(text_col, shortest)).alias("word"))
-    counts = rows.groupBy("doc", "word").agg(F.count("*").alias("n"))
-    of_word = counts.groupBy("word").agg(F.count("*").alias("df"))
-    texts = rows.select("doc").distinct().agg(F.count("*").alias("texts"))
-    total = F.sum("n").over(Window.partitionBy("doc"))
-    scored = counts.withColumn("total", total).join(of_word, "word").crossJoin(F.broadcast(texts))  # one row
-    scored = scored.withColumn("score", F.round(F.col("n") / F.col("total") * F.ln(F.col("texts") / F.col("df")), 9))
+    bags = written_once(_bags(docs, shortest, id_col, text_col), "bags")
+    of_word = written_once(_texts_of_words(bags), "texts-of-words")
+    texts, pairs = bags.count(), of_word.agg(F.sum("df")).first()[0] or 0
+    many = pairs // KNOWN_WORDS + 1  # words in so many texts are no more than KNOWN_WORDS
+    of_word = of_word.withColumn("idf", F.ln(F.lit(texts) / F.col("df")))
+    known = [(r.word, r.idf) for r in of_word.filter(F.col("df") >= many).collect()]
+    candidates = written_once(_candidates(bags, known, (max(0.0, math.log(max(texts, 1) / many)), math.log(max(texts, 1))), most), "candidates")
+    rare = candidates.filter("idf is null").drop("idf").join(of_word.drop("df"), "word")
+    scored = candidates.filter("idf is not null").unionByName(rare).withColumn("score", F.round(F.col("share") * F.col("idf"), 9))
     place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), "word"))
     return scored.withColumn("place", place).filter(F.col("place") <= most).select("doc", "place", "word", "score")
 

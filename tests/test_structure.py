@@ -77,6 +77,32 @@ def test_text_rank_of_odd_texts(spark):
     assert K.text_rank(df.limit(0)).count() == 0 and K.tf_idf(df.limit(0)).count() == 0
 
 
+def tf_idf(texts: dict, most: int = 10) -> list:
+    bags = {i: Counter(words(t)) for i, t in texts.items() if words(t)}
+    df = Counter(w for b in bags.values() for w in b)
+    scores = {i: sorted((-round(n / b.total() * math.log(len(bags) / df[w]), 9), w) for w, n in b.items()) for i, b in bags.items()}
+    return sorted((str(i), p + 1, w, -s) for i, found in scores.items() for p, (s, w) in enumerate(found[:most]))
+
+
+@pytest.mark.parametrize("known", [1, 40, 1 << 18])
+def test_tf_idf_takes_only_words_that_may_be_among_the_best_out_of_a_text(spark, monkeypatch, known):
+    taken = []
+    find = K._candidates
+    monkeypatch.setattr(K, "KNOWN_WORDS", known)
+    monkeypatch.setattr(K, "_candidates", lambda *a: taken.append(find(*a)) or taken[-1])
+    draw = random.Random(3)
+    said = [" ".join(f"w{int(draw.paretovariate(0.5)) % 3000}" for _ in range(draw.choice([3, 30, 300]))) for _ in range(120)]
+    rows = [*enumerate(said), (200, "The WORD w1 w2"), (200, "word w3 中文 a-b_c"), (200, None), (201, ""), (202, "the of"), (None, "w1 lone"), (None, "w2"), (203, said[0]), (203, said[0])]
+    texts: dict = {}
+    for i, t in rows:
+        texts[i] = f"{texts.get(i, '')} {t or ''}"
+    found = K.tf_idf(spark.createDataFrame(rows, "doc_id long, text string"), most=5).collect()
+    want = tf_idf(texts, 5)
+    assert sorted((str(r.doc), r.place, r.word, pytest.approx(r.score, abs=2e-9)) for r in found) == want
+    pairs = sum(len(set(words(t))) for t in texts.values())
+    assert taken[0].count() <= (pairs / 2 if known > 40 else pairs)
+
+
 def test_prepared_texts(spark):
     df = spark.createDataFrame([(1, "中文　文本  测试"), (2, "plain english words"), (3, None), (4, "混合 text")], "doc_id long, text string")
     rows = {r.doc: r for r in K.prepared(df).collect()}
