@@ -11,8 +11,9 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,35 +63,57 @@ def leaves(message: str) -> list[tuple[int, int, str]]:
     return found
 
 
-@F.pandas_udf(LEAF)
-def _leaves(messages: pd.Series) -> pd.Series:
-    return messages.map(leaves)
+#: Characters of messages that are held as Python texts at once.
+CHARACTERS = 1 << 21
 
 
-def rebuilt(message: str, found: list[dict], texts: list[str]) -> str:
-    """A message with other texts in the places of those that were found in it."""
+def _parts(batch: pa.RecordBatch, message: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of whole messages with about `CHARACTERS` bytes each, besides one longer message."""
+    ends = np.cumsum(pc.binary_length(batch.column(message)).to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.flatnonzero(np.diff(ends // CHARACTERS, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=False):
+        yield batch.slice(a, b - a)
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, message, found) of rows (row, message)."""
+    for batch in (part for whole in batches for part in _parts(whole, 1)):
+        found = [leaves(m.as_py()) for m in batch.column(1)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
+        columns = [pa.array([x[k] for f in found for x in f], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names=["begin", "end", "text"]))], names=["row", "message", "found"])
+        del found, columns
+    pa.default_memory_pool().release_unused()
+
+
+def rebuilt(message: str, changed: list[dict]) -> str:
+    """A message with other texts in their places (begin, end, text); a `plain` one isn't JSON, so its text isn't quoted."""
     out, at = [], 0
-    for f, text in zip(found, texts, strict=True):
-        quoted = message[f["begin"] : f["end"]]
-        whole = f["text"] == quoted and len(quoted) == len(message)  # not JSON
-        out += [message[at : f["begin"]], text if whole else quoted if text == f["text"] else json.dumps(text, ensure_ascii=False)]
+    for f in changed:
+        out += [message[at : f["begin"]], f["text"] if f["plain"] else json.dumps(f["text"], ensure_ascii=False)]
         at = f["end"]
     return "".join(out) + message[at:]
 
 
+def _put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, message) of rows (row, message, changed)."""
+    for batch in (part for whole in batches for part in _parts(whole, 1)):
+        new = [rebuilt(m.as_py(), c.as_py()) for m, c in zip(*batch.columns[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["row", "message"])
+    pa.default_memory_pool().release_unused()
+
+
 def redacted(rows: DataFrame, column: str, terms: tuple[str, ...] = (), expressions: tuple[str, ...] = ()) -> DataFrame:
     """`rows` with the confidential parts of a JSON message as <KIND_n>; equal parts of a message have one number, in whatever string they stand.
 
-    A null message becomes an empty text; one that isn't JSON is redacted as a whole. Other columns stay.
+    A null message becomes an empty text; one that isn't JSON is redacted as a whole. Other columns stay. Messages are taken apart and put
+    together some at a time, and only texts that change go back to their places.
     """
     rest = [c for c in rows.columns if c != column]
-    given = rows.select(F.struct(*rest, F.lit(0).alias("")).alias("row"), X.text(column).alias("message")).withColumn("found", _leaves("message"))
-    given = given.withColumn("texts", V.redact_all(F.transform("found", lambda x: x["text"]), terms, expressions))
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [rebuilt(*(c[i].as_py() for c in batch.columns[1:])) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["row", "message"])
-
+    given = rows.select(F.struct(*rest, F.lit(0).alias("")).alias("row"), X.text(column).alias("message"))
     schema = T.StructType([given.schema["row"], T.StructField("message", T.StringType())])
-    return given.mapInArrow(put, schema).select(*[F.col("message").alias(c) if c == column else F.col("row").getField(c).alias(c) for c in rows.columns])
+    found = given.mapInArrow(_found, T.StructType([*schema, T.StructField("found", LEAF)]))
+    found = found.withColumn("texts", V.redact_all(F.transform("found", lambda x: x["text"]), terms, expressions))
+    edits = F.zip_with("found", "texts", lambda x, t: F.when(x["text"] != t, F.struct(x["begin"].alias("begin"), x["end"].alias("end"), t.alias("text"), (x["text"] == F.col("message")).alias("plain"))))
+    done = found.select("row", "message", F.filter(edits, lambda e: e.isNotNull()).alias("changed")).mapInArrow(_put, schema)
+    return done.select(*[F.col("message").alias(c) if c == column else F.col("row").getField(c).alias(c) for c in rows.columns])

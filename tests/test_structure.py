@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -319,6 +320,43 @@ def test_messages(spark):
     assert found[k + 4] == '  {"a" : "<EMAIL_1>" , "a":"<EMAIL_2>","n":1.0e5 }' and found[k + 5] == ""
 
 
+def test_messages_are_taken_apart_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(J, "CHARACTERS", 40)
+    messages = ['{"a": "x@y.org"}', "", "not json", '["' + "b" * 100 + '"]', "[]", '"q"', '{"a": "é"}']
+    read: list = []
+
+    def batches():
+        read.append(pa.RecordBatch.from_arrays([pa.array(range(len(messages))), pa.array(messages)], names=["row", "message"]))
+        yield read[0]
+
+    parts = J._found(batches())
+    first = next(parts)
+    assert first.num_rows < len(messages)
+    parts = [first, *parts]
+    rows = pa.Table.from_batches(parts).to_pylist()
+    assert len(parts) > 1 and [r["message"] for r in rows] == messages and [r["row"] for r in rows] == list(range(len(messages)))
+    assert [[(f["begin"], f["end"], f["text"]) for f in r["found"]] for r in rows] == [J.leaves(m) for m in messages]
+    sizes = [[len(m.as_py().encode()) for m in p.column(1)] for p in parts]
+    assert all(sum(x) - max(x) <= 40 for x in sizes)
+
+
+def test_only_changed_texts_go_back_to_their_messages(spark, monkeypatch):
+    put, seen = J._put, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        def each():
+            for batch in batches:
+                seen.add(sum(len(c) for c in batch.column(2).to_pylist()))
+                yield batch
+
+        return put(each())
+
+    monkeypatch.setattr(J, "_put", counted)
+    rows = [('["one", "a@b.org", "two"]',), ('"three"',), ("four a@b.org",)]
+    found = J.redacted(spark.createDataFrame(rows, "t string"), "t").collect()
+    assert sorted(r.t for r in found) == ['"three"', '["one", "<EMAIL_1>", "two"]', "four <EMAIL_1>"] and seen.value == 2
+
+
 def test_message_query_on_the_whole_small_table(spark):
     rows = {r.message: r.digest for r in registry.QUERIES["text_redacted_messages"](spark, SF).collect()}
     for r in pq.read_table(f"{SF}/events.parquet").to_pylist():
