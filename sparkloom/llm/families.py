@@ -54,6 +54,16 @@ def minima(s: np.ndarray) -> np.ndarray:
     return s[[int(np.argmin(mixed(h, k))) for k in range(MINIMA if len(s) else 0)]]
 
 
+def all_minima(items: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """`minima` of many sets that lie one after the other, a row for each; none is empty."""
+    first = np.cumsum(count) - count
+    out = np.empty((len(count), MINIMA), np.int64)
+    for k in range(MINIMA if len(count) else 0):
+        h = mixed(items.view(np.uint64), k)  # one to one: each set has one place with its least
+        out[:, k] = items[h == np.repeat(np.minimum.reduceat(h, first), count)]
+    return out
+
+
 def heads(routes: DataFrame) -> DataFrame:
     """(rid, g) from (rid, round, token, score): the head that most of a set's routes name, where that isn't the set itself."""
     top = routes.groupBy("round", "token").agg(F.max(F.struct("score", "rid")).alias("top"), F.count("*").alias("count")).filter("count > 1")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from texts import prose, sentence
 
-from sparkloom.llm import embedding_dedup, hashes, jaccard_join, queries, substring_dedup
+from sparkloom.llm import embedding_dedup, families, hashes, jaccard_join, queries, substring_dedup
 from sparkloom.llm.components import Forest, components
 
 SF = "/root/testdata/sf0.001"
@@ -164,6 +164,43 @@ def test_passages_dont_depend_on_the_batch():
         assert whole.bands()[at].tolist() == one.bands().tolist()
 
 
+def test_words_are_hashed_where_they_lie():
+    """Equal words (A-Z as a-z) have equal hashes wherever they lie, other words others, whatever is done at a time; none is looked up."""
+    text = " ".join([prose(1), "Ab aB ba b a aa aaa É é 中文 文中 \U0001f600", "x" * 3000, prose(1).upper(), *(f"w{i} {i}w" for i in range(3000))])
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    spots = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    begins, ends = np.array(spots).T
+    found = hashes.WordHash.within(codes, begins, ends)
+    assert all(hashes.WordHash.within(codes, begins, ends, n).tolist() == found.tolist() for n in (1, 50, 1000))
+    by_word: dict = {}
+    for (a, b), h in zip(spots, found.tolist(), strict=True):
+        by_word.setdefault(re.sub("[A-Z]", lambda m: m[0].lower(), text[a:b]), set()).add(h)
+    assert all(len(x) == 1 for x in by_word.values()) and len(set.union(*by_word.values())) == len(by_word)
+    assert not len(hashes.WordHash.within(codes, begins[:0], ends[:0]))
+    known = hashes.WordHash()
+    assert len(substring_dedup.Passages([text], known, 28, 24).runs.text) and not known.known
+
+
+def test_a_passage_that_stays_is_not_cut(make_docs):
+    """The second document has its passage from the first, in one line there, so it is no row that stays, though the third has a near copy of its line."""
+    passage = loose(31, 60)
+    near = edited(passage, [30])
+    rows = [(1, f"{loose(32, 90)} {passage} {loose(33, 90)}"), (2, f"{loose(34, 40)}\n{passage}\n{loose(35, 40)}"), (3, f"{loose(36, 40)}\n{near}\n{loose(37, 40)}")]
+    found = sorted((r.doc_id, r.removed, dict(rows)[r.doc_id][r.start : r.stop]) for r in substring_dedup.repeated(make_docs(rows)).collect())
+    assert [x for x in found if x[0] < 3] == [(1, False, found[0][2]), (2, True, passage)] and found[0][2] in passage
+    assert (3, True, near) in found
+
+
+def test_sets_of_many_paragraphs_at_once():
+    p = substring_dedup.Passages([prose(1), "", prose(2) + " " + "word " * 60 + ".", prose(3, 30)], hashes.WordHash(), 28, 24)
+    at = np.arange(0, len(p.first), 2)
+    items, ends = p.short_sets(at)
+    assert [items[a:b].tolist() for a, b in itertools.pairwise(ends)] == [np.unique(p.shingle_set(i).astype(np.int32)).tolist() for i in at]
+    assert families.all_minima(items.astype(np.int64), np.diff(ends)).tolist() == [families.minima(items[a:b].astype(np.int64)).tolist() for a, b in itertools.pairwise(ends)]
+    none = at[:0]
+    assert p.short_sets(none)[1].tolist() == [0] and families.all_minima(none, none).shape == (0, families.MINIMA)
+
+
 def test_without_repeats(make_docs):
     rows, passage = passage_cases()
     docs = make_docs([*rows, (20, passage), (21, passage)])
