@@ -3,7 +3,8 @@
 A run is 28 words that begin at a word which is chosen by content: of 24 neighbouring words that a run can begin at, the one
 whose first five words have the smallest hash. So a passage of 51 words or more that stands in two documents, wherever it begins
 and ends and however it is punctuated, has at least one run in common in both, while a text has about one run for 12 words. Runs
-are compared by 128-bit digests; equal ones are one cluster.
+are compared by 96 bits of digests; equal ones are one cluster. They meet in the task of their digest's bucket, which names the document that
+keeps them, and come back to their row, where those that overlap become one island.
 
 Copies with changed words are found by paragraphs: whole sentences of at least 28 words that begin at a sentence which is chosen
 the same way, of the sentences that begin within 24 words of any sentence's start.
