@@ -1,7 +1,7 @@
 """Resampling documents towards a target distribution by importance weights over hashed word runs.
 
 A document is a row of a sparse matrix: how often its runs of words fall in each bucket of a hash. The matrix is written once, as
-blocks of compressed sparse rows (bounds of the rows, buckets as differences, counts), and everything else reads it: sums by
+compressed sparse rows (buckets as differences, counts), and everything else reads it some rows at a time: sums by
 column give the distributions of all documents and of the target, a bucket's gain is the logarithm of their ratio, and the
 product of the matrix with the gains gives every document's weight. Weights plus Gumbel noise from a hash of the id rank the
 documents, so the highest ones are a sample without replacement. A rank is a place within a sorted range and the number of rows
@@ -30,7 +30,8 @@ _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 #: Bytes of a long text whose words are in memory at a time.
 _AT_ONCE = 2_000_000
 
-BLOCK = "first_row long, doc_ids array<long>, n_words binary, bounds binary, buckets binary, counts binary"
+#: A row is a document: Spark reads 4096 rows of a Parquet file at once, so a row that held many documents would take memory with the size of a file.
+SPARSE = "row long, doc_id long, n_words long, buckets binary, counts binary"
 ROWS = "row long, doc_id long, n_words long, n_features long, weight long, score long"
 
 
@@ -66,7 +67,7 @@ def counted(text: bytes | None, buckets: int, longest: int) -> tuple[int, np.nda
 
 
 def matrix(docs: DataFrame, *, buckets: int = 10_000, longest: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The blocks of compressed sparse rows of all documents; a row without text or words has no entries."""
+    """The compressed sparse row of each document; one without text or words has no entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -74,40 +75,39 @@ def matrix(docs: DataFrame, *, buckets: int = 10_000, longest: int = 2, id_col:
             ids = batch.column(0)
             for a, b, texts in column_slices(batch.column(1)):
                 rows = [counted(t, buckets, longest) for t in texts]
-                steps = np.concatenate([np.diff(at.astype(np.int64), prepend=0) for _, at, _ in rows])
-                bounds = np.cumsum([0, *(len(at) for _, at, _ in rows)])
-                yield pa.RecordBatch.from_pydict({
-                    "first_row": pa.array([row], pa.int64()), "doc_ids": pa.array([ids.slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
-                    "n_words": [np.array([n for n, _, _ in rows], "<i8").tobytes()], "bounds": [bounds.astype("<i8").tobytes()],
-                    "buckets": [steps.astype("<u4").tobytes()], "counts": [np.concatenate([c for _, _, c in rows]).astype("<u4").tobytes()],
-                })
+                steps = [np.diff(at.astype(np.int64), prepend=0).astype("<u4").tobytes() for _, at, _ in rows]
+                counts = [c.astype("<u4").tobytes() for _, _, c in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b - a)), ids.slice(a, b - a), pa.array([n for n, _, _ in rows], pa.int64()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], names=["row", "doc_id", "n_words", "buckets", "counts"])
                 row += b - a
         give_back()
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("binary")).mapInArrow(run, BLOCK)
+    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("binary")).mapInArrow(run, SPARSE)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(first row, ids, numbers of words, bounds, buckets, counts) of each block."""
-    for first, ids, words, bounds, steps, counts in zip(*(batch.column(n).to_pylist() for n in ("first_row", "doc_ids", "n_words", "bounds", "buckets", "counts")), strict=True):
-        bounds, counts = np.frombuffer(bounds, "<i8"), np.frombuffer(counts, "<u4").astype(np.int64)
-        total = np.cumsum(np.frombuffer(steps, "<u4"), dtype=np.int64)  # the differences start anew in each row
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some rows of the matrix at a time, with the bounds, buckets and counts of their entries."""
+    for a, b, steps in column_slices(batch.column("buckets")):
+        part = batch.slice(a, b - a)
+        bounds = np.cumsum([0, *(len(x) // 4 for x in steps)])
+        total = np.cumsum(np.frombuffer(b"".join(steps), "<u4"), dtype=np.int64)  # the differences start anew in each row
         before = np.concatenate([[0], total])[bounds[:-1]]
-        yield first, ids, np.frombuffer(words, "<i8"), bounds, total - np.repeat(before, np.diff(bounds)), counts
+        counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), "<u4").astype(np.int64)
+        yield part, bounds, total - np.repeat(before, np.diff(bounds)), counts
 
 
-def column_sums(blocks: DataFrame, buckets: int) -> np.ndarray:
+def column_sums(sparse: DataFrame, buckets: int) -> np.ndarray:
     """How often each bucket occurs in all rows. A task gives one number per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for *_, at, counts in _rows(batch):
+            for _, _, at, counts in _parts(batch):
                 np.add.at(total, at, counts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+        give_back()
 
-    found = blocks.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most `buckets` rows
+    found = sparse.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most `buckets` rows
     out = np.zeros(buckets, np.int64)
     for r in found:
         out[r.bucket] = r.n
@@ -127,20 +127,21 @@ def noise(seed: int, doc_id: int | None) -> int:
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-def weighed(blocks: DataFrame, gain: np.ndarray, seed: int) -> DataFrame:
+def weighed(sparse: DataFrame, gain: np.ndarray, seed: int) -> DataFrame:
     """One row per document: the matrix times the gains, over the number of features and rounded down, and the score with noise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, ids, words, bounds, at, counts in _rows(batch):
+            for part, bounds, at, counts in _parts(batch):
                 total = np.concatenate([[0], np.cumsum(gain[at] * counts)])
                 number = np.concatenate([[0], np.cumsum(counts)])
                 n = np.diff(number[bounds])
                 weight = np.diff(total[bounds]) // np.maximum(n, 1)
-                score = weight + np.array([noise(seed, i) for i in ids], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(ids))), pa.array(ids, pa.int64()), pa.array(words), pa.array(n), pa.array(weight), pa.array(score)], names=["row", "doc_id", "n_words", "n_features", "weight", "score"])
+                score = weight + np.array([noise(seed, i) for i in part.column("doc_id").to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "n_words")), pa.array(n), pa.array(weight), pa.array(score)], names=["row", "doc_id", "n_words", "n_features", "weight", "score"])
+        give_back()
 
-    return blocks.mapInArrow(run, ROWS)
+    return sparse.mapInArrow(run, ROWS)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +175,8 @@ def resample(docs: DataFrame, target: DataFrame, *, percent: int = 25, buckets:
     id are documents of their own with the same noise; equal scores are ranked by id, rows without id last, and rows of one id in
     the order they are read. An empty target has every bucket equally likely; an empty table gives no rows. Other columns aren't read.
     """
-    blocks = written(matrix(docs, buckets=buckets, longest=longest, id_col=id_col, text_col=text_col), "matrix", compression="zstd")
+    sparse = written(matrix(docs, buckets=buckets, longest=longest, id_col=id_col, text_col=text_col), "matrix", compression="zstd")
     wanted = column_sums(matrix(target, buckets=buckets, longest=longest, id_col=target_id_col, text_col=target_text_col), buckets)
-    scored = written(weighed(blocks, gains(column_sums(blocks, buckets), wanted), seed), "weights")
-    discard(blocks)
+    scored = written(weighed(sparse, gains(column_sums(sparse, buckets), wanted), seed), "weights")
+    discard(sparse)
     return drawn(scored, percent, least_words)

@@ -78,3 +78,12 @@ def test_equal_scores_span_ranges(spark):
     rows = spark.range(3000).selectExpr("id AS row", "cast(7 AS long) AS doc_id", "cast(20 AS long) AS n_words", "cast(1 AS long) AS n_features", "cast(5 AS long) AS weight", "cast(5 AS long) AS score").repartition(8)
     found = importance.drawn(rows, 50, 20).collect()
     assert sorted(r.rank for r in found if r.rank) == list(range(1, 1501)) and len(found) == 3000
+
+
+def test_a_row_of_the_matrix_is_a_document(spark):
+    """Spark reads 4096 rows of a file at once, whatever they hold: a row is one document with an entry for each bucket at most."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' x', 7 * id, ' '), 40) AS text").coalesce(1)
+    long = spark.range(1).selectExpr("9999 AS doc_id", "array_join(transform(sequence(1, 300000), i -> concat('w', i)), ' ') AS text")
+    sparse = importance.matrix(docs.unionByName(long), buckets=5000)
+    sizes = [sum(len(x) for x in r if isinstance(x, (bytes, bytearray))) for r in sparse.collect()]
+    assert len(sizes) == 3001 and sorted(sizes)[-2] <= 8 * 5 and max(sizes) <= 8 * 5000
