@@ -228,3 +228,18 @@ def test_page_query_on_the_whole_small_table(spark):
         by.setdefault(r["source"], []).append((r["doc_id"], r["text"] or ""))
     want = {(s, i): (md5(t), n) for s, ps in by.items() for i, t, n in joined([x[:2] for x in whole(ps)])}
     assert {(r.source, r.doc_id): (r.digest, r.pages) for r in registry.QUERIES["page_tables"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize(("ours", "plain"), [(P.with_whole_tables, whole), (P.with_joined_tables, joined)])
+def test_pages_of_one_place_are_put_together_in_the_order_of_their_texts(spark, ours, plain):
+    rng = random.Random(3)
+    docs = {s: sorted(((rng.choice([None, 0, 1, 2]), rng.choice(PAGES)) for _ in range(30)), key=lambda p: (p[0] is not None, p)) for s in ("a", None)}
+    df = spark.createDataFrame([(s, i, t) for s, ps in docs.items() for i, t in ps], "s string, n long, body string").repartition(4)
+    rows = ours(df, "s", "n", "body", F.floor(F.col("n") / 2)).collect()
+    assert sorted(((r.s, r.n, r.body, r.pages) for r in rows), key=str) == sorted(((s, *x) for s, ps in docs.items() for x in plain(ps)), key=str)
+
+
+def test_pages_without_tables_stay_where_they_lie(spark):
+    """Texts of pages that can't go together aren't shuffled: the result reads them from the table."""
+    plan = registry.QUERIES["page_tables"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
