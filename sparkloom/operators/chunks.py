@@ -33,13 +33,29 @@ def parents_and_children(docs: DataFrame, parent: tuple[int, int] = (1500, 200),
     return up.select("doc_id", "source", "parent_index", F.posexplode(windows(F.col("parent"), *child)).alias("child_index", "text"))
 
 
+def _short(c: Column, preview: int) -> Column:
+    return F.when(F.length(c) > preview, F.concat(F.substr(c, F.lit(1), F.lit(preview)), F.lit("..."))).otherwise(c)
+
+
+def _position(index: Column, last: Column) -> Column:
+    return F.when(index == 0, "start").when(index == last, "end").otherwise("middle")
+
+
 def with_neighbours(chunks: DataFrame, preview: int = 100) -> DataFrame:
     """Previews of the chunks before and after, and the position: start, middle or end; an only chunk is the start."""
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
-    short = F.when(F.length("chunk") > preview, F.concat(F.substr("chunk", F.lit(1), F.lit(preview)), F.lit("..."))).otherwise(F.col("chunk"))
     last = F.max("chunk_index").over(Window.partitionBy("doc_id"))
-    position = F.when(F.col("chunk_index") == 0, "start").when(F.col("chunk_index") == last, "end").otherwise("middle")
-    return chunks.withColumn("_short", short).withColumns({"previous": F.lag("_short").over(w), "next": F.lead("_short").over(w), "position": position}).drop("_short")
+    previous, following = F.lag("_short").over(w), F.lead("_short").over(w)
+    return chunks.withColumn("_short", _short(F.col("chunk"), preview)).withColumns({"previous": previous, "next": following, "position": _position(F.col("chunk_index"), last)}).drop("_short")
+
+
+def chunk_with_neighbours(docs: DataFrame, size: int, overlap: int, preview: int = 100, text_col: str = "text") -> DataFrame:
+    """`chunk` and `with_neighbours` of whole documents, whose chunks find their neighbours before they are parted: no row is moved."""
+    rest = [c for c in docs.columns if c != text_col]
+    cut = docs.select(*rest, windows(F.col(text_col), size, overlap).alias("_cut"))
+    near = lambda i: _short(F.get("_cut", i), preview)
+    told = F.transform("_cut", lambda x, i: F.struct(x.alias("chunk"), near(i - 1).alias("previous"), near(i + 1).alias("next"), _position(i, F.size("_cut") - 1).alias("position")))
+    return cut.select(*rest, F.posexplode(told).alias("chunk_index", "_told")).select(*rest, "chunk_index", "_told.*")
 
 
 def packed_sentences(sentences: Column, size: int = 500, overlap: int = 50) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
@@ -90,22 +90,25 @@ def entities(c: str | Column) -> dict[str, Column]:
 
 def enriched(chunks: DataFrame, key: list[str], text: str = "chunk", most: int = 10) -> DataFrame:
     """`chunks` with type, length, word_count, keywords (the most frequent words of over three letters; of equal counts the first in the
-    text), entities found, has_question, has_code, has_url, has_email and importance. `key` tells chunks apart; `position` (start, middle
-    or end) is used where there is one."""
+    text), entities found, has_question, has_code, has_url, has_email and importance. `key` tells chunks apart, of which each is told where it
+    lies; `position` (start, middle or end) is used where there is one."""
     t = T.text(text)
     words = F.filter(F.split(F.regexp_replace(F.lower(t), r"(?U)[^\w\s]", " "), r"(?U)[\s\x1c-\x1f]+"), lambda w: (F.length(w) > 3) & ~w.isin(NO_KEYWORDS))
-    counts = chunks.select(F.struct(*key).alias("_key"), F.posexplode(words).alias("_at", "_word")).groupBy("_key", "_word").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_n"), "_first"))
-    top = counts.withColumn("_place", place).filter(F.col("_place") <= most).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_place", "_word"))).alias("_top"))
-    rows = chunks.withColumn("_key", F.struct(*key)).join(top, "_key", "left").drop("_key")
+    # equal words stand together in the order of the words; a run of them is a word, its length and its first place
+    rows = chunks.withColumn("_sorted", F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))))
+    begins = lambda x, i: F.when((i == 0) | (F.get("_sorted", i - 1)["word"] != x["word"]), i)
+    rows = rows.withColumn("_runs", F.filter(F.transform("_sorted", begins), lambda i: i.isNotNull()))
+    ends = lambda k: F.coalesce(F.get("_runs", k + 1), F.size("_sorted"))
+    counts = F.transform("_runs", lambda i, k: F.struct((i - ends(k)).alias("_minus"), F.get("_sorted", i)["at"].alias("_first"), F.get("_sorted", i)["word"].alias("_word")))
+    rows = rows.withColumn("_top", F.slice(F.array_sort(counts), 1, most))
     said = F.filter(F.split(trimmed(t), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
     rows = rows.withColumns(
         {
-            "type": kind(text), "length": F.length(t), "word_count": F.size(said), "keywords": F.coalesce(F.transform("_top", lambda x: x["_word"]), F.array().cast("array<string>")),
+            "type": kind(text), "length": F.length(t), "word_count": F.size(said), "keywords": F.transform("_top", lambda x: x["_word"]),
             "entities": F.struct(*[x.alias(n) for n, x in entities(text).items()]), "has_question": _any(t, ["?", "？"]), "has_code": _any(t, ["```", "def ", "class ", "function"]),
             "has_url": _any(t, ["http://", "https://"]), "has_email": t.contains("@") & t.contains("."),
         }
-    ).drop("_top")
+    ).drop("_top", "_runs", "_sorted")
     position = F.col("position") if "position" in chunks.columns else F.lit("middle")
     return rows.withColumn("importance", importance(position))
 

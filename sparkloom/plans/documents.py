@@ -42,7 +42,7 @@ def chunk_parents_children(spark, sf_dir):
     SELECT doc_id, chunk_index, lag(short) OVER w AS previous, lead(short) OVER w AS next, CASE WHEN chunk_index = 0 THEN 'start' WHEN chunk_index = last THEN 'end' ELSE 'middle' END AS position FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)""",
 )
 def chunk_neighbours(spark, sf_dir):
-    rows = C.with_neighbours(C.chunk(table(spark, sf_dir, "documents").select("doc_id", "text"), 600, 120))
+    rows = C.chunk_with_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"), 600, 120)
     return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "previous", "next", "position")
 
 

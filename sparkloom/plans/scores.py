@@ -107,7 +107,7 @@ def graph_signals(spark, sf_dir):
 @query("chunk_enriched")
 def chunk_enriched(spark, sf_dir):
     """Chunks with type, counts, keywords, entities, flags and importance, beside their position and neighbours."""
-    rows = C.with_neighbours(C.chunk(table(spark, sf_dir, "documents").select("doc_id", "text"), 600, 120))
+    rows = C.chunk_with_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"), 600, 120)
     out = K.enriched(rows, ["doc_id", "chunk_index"])
     found = [F.array_join(F.col("entities")[n], " ").alias(n) for n in K.ENTITIES]
     return out.select("doc_id", "chunk_index", "type", "length", "word_count", F.array_join("keywords", " ").alias("keywords"), *found, "has_question", "has_code", "has_url", "has_email", "position", F.round("importance", 8).alias("importance"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_cascade import dates, numbers, unmatched
 
 from sparkloom.operators import cascade
+from sparkloom.operators import chunks as C
 from sparkloom.operators import chunktypes as K
 from sparkloom.operators import scoring as S
 from sparkloom.plans import registry, scores
@@ -254,6 +255,19 @@ def test_chunks_on_the_whole_small_table(spark):
     assert rows == want
 
 
+@pytest.mark.parametrize("name", ["chunk_enriched", "chunk_neighbours"])
+def test_chunks_are_told_of_where_they_lie(spark, name):
+    """Neither chunks nor their words are shuffled."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_neighbours_of_chunks_before_and_after_they_are_parted(spark):
+    docs = spark.createDataFrame([(i, "abcdefghij" * i) for i in (0, 1, 2, 3, 5, 20, 40)] + [(99, None)], "doc_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "chunk_index", "chunk", "previous", "next", "position").collect()))
+    assert rows(C.chunk_with_neighbours(docs, 30, 10, 12)) == rows(C.with_neighbours(C.chunk(docs, 30, 10), 12)) != []
+
+
 def references(t):
     out = [(x, f"[{x}]", "citation") for x in re.findall(r"\[([^\]]+)\]", t) if x.isdigit() or re.match(r"[A-Z][a-z]+\s+\d{4}", x)]
     return out + [(n, f"{k} {n}", "cross_reference") for k, n in re.findall(K.CROSS, t)]
